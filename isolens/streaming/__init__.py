@@ -1,0 +1,6 @@
+"""Streaming entry points.
+
+The workload this library reproduces is batch only (finished files in, tables out), so no
+stateful streaming operator exists.  Every row-level function in ``isolens.functions`` is a plain
+column expression and can be applied to a streaming DataFrame as it stands.
+"""
