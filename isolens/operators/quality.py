@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..functions.formatting import join_reasons
+from ..functions.formatting import fixed, join_reasons
 from .relations import as_list, compare_on_key, null_safe_join, union_all
 from .reports import one_value
 
@@ -50,7 +50,7 @@ def failure_reasons(coverage: str, coverage_status: str, calls: Sequence[tuple[s
     ``calls`` lists (tool name, status column, call column).
     """
     cov = F.col(coverage)
-    low = F.when(cov.isNotNull(), F.format_string(f"Low Coverage (%.2fX < {min_coverage:.0f}X)", cov)).otherwise(F.lit("Coverage QC Failed"))
+    low = F.when(cov.isNotNull(), F.concat(F.lit("Low Coverage ("), fixed(cov, 2), F.lit(f"X < {min_coverage:.0f}X)"))).otherwise(F.lit("Coverage QC Failed"))
     parts = [(F.col(coverage_status) == "FAIL", low), (F.col(coverage_status) == "MISSING", F.lit("Missing Coverage Data"))]
     for tool, status, call in calls:
         text = F.nullif(F.trim(F.col(call)), F.lit(""))
@@ -63,9 +63,9 @@ def audit_label(final: str, in_tree: Column, has_record: Column, reasons: Column
                 call_statuses: Sequence[str], ambiguous_call: str, wanted: str, min_coverage: float, all_pass: str) -> Column:
     """Decision text per genome: tree membership first, then screening exclusion, then ordinary failure."""
     calls_ok = reduce(lambda a, b: a & b, [F.col(c) == "PASS" for c in call_statuses])
-    exception = F.format_string(
-        f"PASS: Historical coverage exception; confirmed {wanted} by both typing tools; coverage %.2fX (<{min_coverage:.0f}X); retained in final tree",
-        F.col(coverage))
+    exception = F.concat(
+        F.lit(f"PASS: Historical coverage exception; confirmed {wanted} by both typing tools; coverage "), fixed(coverage, 2),
+        F.lit(f"X (<{min_coverage:.0f}X); retained in final tree"))
     flagged = F.concat(F.lit("PASS: Present in historical final tree despite retrospective QC flag"),
                        F.when(reasons != "", F.concat(F.lit(" ["), reasons, F.lit("]"))).otherwise(F.lit("")))
     screened = F.concat(F.lit("FAIL: Excluded during initial composition/phylogenetic screening"),

@@ -181,9 +181,9 @@ def _(q):
 
 
 @query("extract_ids", "S13", r"""
-SELECT DISTINCT unnest(regexp_extract_all(html, '/[a-z]{2}[a-z]*\b', 0)) AS id FROM {pages}""")
+SELECT DISTINCT unnest(regexp_extract_all(html, 'href="/[A-Za-z]+"', 0)) AS id FROM {pages}""")
 def _(q):
-    return formats.extract_ids(q("pages"), "html", r"/[a-z]{2}[a-z]*\b")
+    return formats.extract_ids(q("pages"), "html", r'href="/[A-Za-z]+"')
 
 
 @query("tree_tips", "S14", """
