@@ -21,6 +21,7 @@ from ..functions.formatting import format_cell
 from .ranking import level_index
 from .relations import as_list, null_safe_join
 from .reports import complete, counts, one_value
+from .reshape import with_runs
 
 # Thresholds of the reports.
 FDR_ALPHA = 0.05
@@ -59,6 +60,31 @@ def feature_counts(presence: DataFrame, groups: DataFrame, sample: str, feature,
     return c.withColumn("k_all", F.sum("k").over(W.partitionBy(*run, *feature)))
 
 
+def scenario_counts(presence: DataFrame, groups: DataFrame, sample: str, feature, group: str, flag: str,
+                    names=("all_snps", "vertical_only")) -> DataFrame:
+    """Feature counts of both scenarios (all rows, unflagged rows) from one pass over the calls."""
+    feature = as_list(feature)
+    once = presence.groupBy(sample, *feature).agg(F.min(F.col(flag).cast("int")).alias("__f"))
+    c = once.join(groups.select(sample, group), sample).groupBy(*feature, group).agg(
+        F.count(F.lit(1)).alias("a"), F.count_if(F.col("__f") == 0).alias("v"))
+    rows = F.array(F.struct(F.lit(names[0]).alias("scenario"), F.col("a").alias("k")), F.struct(F.lit(names[1]).alias("scenario"), F.col("v").alias("k")))
+    return c.select(*feature, group, F.inline(rows)).where("k > 0")
+
+
+def roll_runs(counted: DataFrame, group: str, keys, value: str = "k") -> DataFrame:
+    """Counts per label to counts per scheme × mode run.
+
+    Runs only merge or drop labels, so they are derived from the count table and the calls are
+    never multiplied by the number of runs.
+    """
+    keys = as_list(keys)
+    return with_runs(counted, group).groupBy("scheme", "mode", *keys, group).agg(F.sum(value).alias(value))
+
+
+def with_feature_total(fc: DataFrame, keys) -> DataFrame:
+    return fc.withColumn("k_all", F.sum("k").over(W.partitionBy(*as_list(keys))))
+
+
 def group_totals(groups: DataFrame, group: str, run=()) -> DataFrame:
     """Group size n and run size M."""
     run = as_list(run)

@@ -228,8 +228,8 @@ def oracle(text: str) -> str:
     ctes = ",\n".join(f"{name} AS ({sql.strip()})" for name, sql in needed.items())
     if not ctes:
         return body
-    if body[:5].upper() == "WITH ":
+    if body.startswith("WITH RECURSIVE CTES"):
+        return f"WITH RECURSIVE {ctes},\n{body[len('WITH RECURSIVE CTES'):]}"
+    if body.startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
-    if body[:14].upper() == "WITH RECURSIVE":
-        raise ValueError("recursive checks must not use bindings with WITH RECURSIVE prefix")
     return f"WITH {ctes}\n{body}"
