@@ -27,7 +27,7 @@ grid AS (SELECT ft.pos, ft.ref, ft.alt, gt.lineage, coalesce(fc.k, 0) AS k, k_al
 # exact upper tail by log-gamma terms, once per distinct table
 _HYPER = """hp AS (SELECT k, k_all, n, n_all, sum(exp(lgamma(k_all + 1) - lgamma(i + 1) - lgamma(k_all - i + 1) + lgamma(n_all - k_all + 1) - lgamma(n - i + 1) - lgamma(n_all - k_all - n + i + 1) - lgamma(n_all + 1) + lgamma(n + 1) + lgamma(n_all - n + 1))) AS p
  FROM (SELECT *, unnest(generate_series(greatest(k, n + k_all - n_all, 0), least(k_all, n))) AS i FROM (SELECT DISTINCT k, k_all, n, n_all FROM grid WHERE GATE)) GROUP BY ALL)"""
-_TESTED = """tp AS (SELECT grid.*, GATE AS eligible, least(1, p) AS p FROM grid LEFT JOIN hp ON grid.k = hp.k AND grid.k_all = hp.k_all AND grid.n = hp.n AND grid.n_all = hp.n_all AND (GATEG)),
+_TESTED = """tp AS (SELECT grid.*, GATE AS eligible, CASE WHEN p IS NOT NULL THEN least(1, p) END AS p FROM grid LEFT JOIN hp ON grid.k = hp.k AND grid.k_all = hp.k_all AND grid.n = hp.n AND grid.n_all = hp.n_all AND (GATEG)),
 rk AS (SELECT *, rank() OVER (PARTITION BY SCOPE ORDER BY p) + count(*) OVER (PARTITION BY SCOPE, p) - 1 AS r, count(p) OVER (PARTITION BY SCOPE) AS m FROM tp WHERE p IS NOT NULL),
 bh AS (SELECT *, least(1, min(p * m / r) OVER (PARTITION BY SCOPE ORDER BY p DESC)) AS fdr FROM rk),
 tested AS (SELECT tp.*, bh.fdr, 100.0 * tp.k / tp.n AS percent_in, CASE WHEN tp.n_all > tp.n THEN 100.0 * (tp.k_all - tp.k) / (tp.n_all - tp.n) ELSE 0 END AS percent_out FROM tp LEFT JOIN bh USING (KEYS))"""
@@ -61,7 +61,7 @@ def _(q):
 
 
 _SRC_GRID = """fc AS (SELECT lineage, pos, ref, alt, source, count(DISTINCT sample) AS k FROM {variants} JOIN {groups} USING (sample) GROUP BY ALL),
-gt AS (SELECT lineage, source, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY lineage) AS BIGINT) AS n_all FROM {groups} GROUP BY ALL), ft AS (SELECT lineage, pos, ref, alt, CAST(sum(k) AS BIGINT) AS k_all FROM fc GROUP BY ALL),
+gt AS (SELECT lineage, source, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY lineage) AS BIGINT) AS n_all FROM {groups} GROUP BY lineage, source), ft AS (SELECT lineage, pos, ref, alt, CAST(sum(k) AS BIGINT) AS k_all FROM fc GROUP BY ALL),
 grid AS (SELECT ft.lineage, ft.pos, ft.ref, ft.alt, gt.source, coalesce(fc.k, 0) AS k, k_all, n, n_all FROM ft JOIN gt USING (lineage) LEFT JOIN fc ON fc.lineage = ft.lineage AND fc.pos = ft.pos AND fc.ref = ft.ref AND fc.alt = ft.alt AND fc.source = gt.source)"""
 
 
@@ -111,7 +111,7 @@ def _(q):
 _RUN_GRID = RUNS_SQL + """, v AS (SELECT sample, pos, ref, alt, bool_and(EXISTS (SELECT 1 FROM {intervals} i WHERE i.sample = x.sample AND x.pos BETWEEN i.start_pos AND i.end_pos)) AS masked FROM {variants} x GROUP BY ALL),
 vs AS (SELECT 'all_snps' AS scenario, * FROM v UNION ALL SELECT 'vertical_only', * FROM v WHERE NOT masked),
 fc AS (SELECT scheme, mode, scenario, pos, ref, alt, lineage, count(*) AS k FROM vs JOIN runs USING (sample) GROUP BY ALL),
-gt AS (SELECT scheme, mode, lineage, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY scheme, mode) AS BIGINT) AS n_all FROM runs GROUP BY ALL),
+gt AS (SELECT scheme, mode, lineage, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY scheme, mode) AS BIGINT) AS n_all FROM runs GROUP BY scheme, mode, lineage),
 ft AS (SELECT scheme, mode, scenario, pos, ref, alt, CAST(sum(k) AS BIGINT) AS k_all FROM fc GROUP BY ALL),
 grid AS (SELECT ft.scheme, ft.mode, ft.scenario, ft.pos, ft.ref, ft.alt, gt.lineage, coalesce(fc.k, 0) AS k, k_all, n, n_all FROM ft JOIN gt USING (scheme, mode)
  LEFT JOIN fc ON fc.scheme = ft.scheme AND fc.mode = ft.mode AND fc.scenario = ft.scenario AND fc.pos = ft.pos AND fc.ref = ft.ref AND fc.alt = ft.alt AND fc.lineage = gt.lineage)"""
@@ -275,11 +275,11 @@ def _(q):
 
 @query("adjust_p", "W4", """
 WITH t AS (SELECT o_custkey, o_orderkey, o_totalprice / 500000 AS p FROM {orders}), r AS (SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY p) AS rk, count(*) OVER (PARTITION BY o_custkey) AS m FROM t)
-SELECT o_orderkey, round(least(1, min(p * m / rk) OVER (PARTITION BY o_custkey ORDER BY p DESC)), 9) AS p_bh, round(least(1, max(p * (m - rk + 1)) OVER (PARTITION BY o_custkey ORDER BY p)), 9) AS p_holm FROM r""")
+SELECT o_orderkey, round(least(1, min(p * m / rk) OVER (PARTITION BY o_custkey ORDER BY p DESC)), 12) AS p_bh, round(least(1, max(p * (m - rk + 1)) OVER (PARTITION BY o_custkey ORDER BY p)), 12) AS p_holm FROM r""")
 def _(q):
     t = q("orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") / 500000).alias("p"))
     t = enrichment.adjust_p(enrichment.adjust_p(t, "bh", "p", "o_custkey", "p_bh"), "holm", "p", "o_custkey", "p_holm")
-    return rounded(t.select("o_orderkey", "p_bh", "p_holm"), "p_bh", "p_holm", digits=9)
+    return rounded(t.select("o_orderkey", "p_bh", "p_holm"), "p_bh", "p_holm", digits=12)
 
 
 @query("cld", "T11", f"""
