@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions import stats
 from ..functions.dates import assign_bin
 from ..functions.formatting import format_cell
+from ..session import cut_lineage
 from .ranking import level_index
 from .relations import as_list, null_safe_join
 from .reports import complete, counts, one_value
@@ -96,32 +97,37 @@ def feature_grid(fc: DataFrame, totals: DataFrame, feature, group: str, run=())
     """Every feature against every group of its run, absent counts as zero.
 
     The (few) groups of a run are packed into one row, so the grid is an explode and not a product.
+    The grid is materialised: it is count-table sized, several tests read it, and the calls behind
+    it are then scanned once.
     """
     feature, run = as_list(feature), as_list(run)
     packed = totals.groupBy(*run).agg(F.collect_list(F.struct(group, "n", "n_all")).alias("__g"))
     per = fc.groupBy(*run, *feature).agg(F.first("k_all").alias("k_all"), F.map_from_entries(F.collect_list(F.struct(group, "k"))).alias("__k"))
     joined = per.join(packed, run) if run else per.withColumn("__g", one_value(totals, F.collect_list(F.struct(group, "n", "n_all"))))
     d = joined.withColumn("__x", F.explode("__g"))
-    return d.select(*run, *feature, F.col("__x")[group].alias(group), F.coalesce(F.try_element_at("__k", F.col("__x")[group]), F.lit(0)).alias("k"),
-                    "k_all", F.col("__x")["n"].alias("n"), F.col("__x")["n_all"].alias("n_all"))
+    return cut_lineage(d.select(
+        *run, *feature, F.col("__x")[group].alias(group), F.coalesce(F.try_element_at("__k", F.col("__x")[group]), F.lit(0)).alias("k"),
+        "k_all", F.col("__x")["n"].alias("n"), F.col("__x")["n_all"].alias("n_all")))
 
 
 # --- multiple testing ------------------------------------------------------------------------
 
 
-def bh(df: DataFrame, p: str = "p", by=(), out: str = "fdr") -> DataFrame:
-    """Benjamini-Hochberg over the rows of each scope that have a p-value.
+# Above this many distinct p-values the ordered pass is split into buckets of the p scale.
+SINGLE_PASS_LIMIT = 2_000_000
 
-    Ranks are taken over distinct p-values with their multiplicities, in buckets of the p scale, so
-    the ordered work is split even when one scope holds most tests.
-    """
-    by = as_list(by)
-    bucket = F.floor(F.log10(F.greatest(F.col("__p"), F.lit(1e-300))) * -16).cast("int")
-    ps = (df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__c"))
-          .withColumn("__b", bucket))
-    up = W.partitionBy(*by).orderBy(F.desc("__b"))  # small p first
+
+def _bh_of_table(ps: DataFrame, by: list[str], limit: int = SINGLE_PASS_LIMIT) -> DataFrame:
+    """FDR of a table of distinct p-values (by, __p, __c = number of tests); ``ps`` is read several times."""
+    if ps.count() <= limit:
+        up = W.partitionBy(*by).orderBy("__p").rowsBetween(W.unboundedPreceding, 0)
+        down = W.partitionBy(*by).orderBy(F.desc("__p")).rowsBetween(W.unboundedPreceding, 0)
+        q = ps.withColumn("__q", F.col("__p") * F.sum("__c").over(W.partitionBy(*by)) / F.sum("__c").over(up))
+        return q.select(*by, "__p", F.least(F.lit(1.0), F.min("__q").over(down)).alias("__fdr"))
+    ps = ps.withColumn("__b", F.floor(F.log10(F.greatest(F.col("__p"), F.lit(1e-300))) * -16).cast("int"))
+    small_first = W.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(W.unboundedPreceding, 0)
     sizes = ps.groupBy(*by, "__b").agg(F.sum("__c").alias("__n"))
-    sizes = sizes.select(*by, "__b", (F.sum("__n").over(up.rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__off"),
+    sizes = sizes.select(*by, "__b", (F.sum("__n").over(small_first) - F.col("__n")).alias("__off"),
                          F.sum("__n").over(W.partitionBy(*by)).alias("__m"))
     inner = W.partitionBy(*by, "__b")
     q = null_safe_join(ps, sizes, [*by, "__b"], "inner")
@@ -132,8 +138,35 @@ def bh(df: DataFrame, p: str = "p", by=(), out: str = "fdr") -> DataFrame:
     later = later.select(*by, "__b", F.min("__bq").over(
         W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)).alias("__after"))
     q = null_safe_join(q, later, [*by, "__b"], "inner")
-    q = q.select(*by, "__p", F.least(F.lit(1.0), F.col("__in"), F.col("__after")).alias(out))
-    return null_safe_join(df, q.withColumnRenamed("__p", p), [*by, p], "left")
+    return q.select(*by, "__p", F.least(F.lit(1.0), F.col("__in"), F.col("__after")).alias("__fdr"))
+
+
+def bh(df: DataFrame, p: str = "p", by=(), out: str = "fdr", limit: int = SINGLE_PASS_LIMIT) -> DataFrame:
+    """Benjamini-Hochberg over the rows of each scope that have a p-value.
+
+    Ranks are taken over distinct p-values with their multiplicities.  That table is materialised
+    once, and its size decides between one ordered pass per scope and a pass per p bucket.
+    """
+    by = as_list(by)
+    ps = cut_lineage(df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__c")))
+    q = _bh_of_table(ps, by, limit).withColumnsRenamed({"__p": p, "__fdr": out})
+    return null_safe_join(df, q, [*by, p], "left")
+
+
+def test_once(df: DataFrame, cells: Sequence[str], value: Column, scope=(), out: str = "fdr") -> DataFrame:
+    """p-value of a test on a few counts, and its FDR inside ``scope``; null cells are not tested.
+
+    The test runs once per distinct table of counts and scope.  Those tables are few next to the
+    features, are materialised once, and carry both numbers back in a single join.
+    """
+    scope, cells = as_list(scope), list(cells)
+    keys = [*scope, *[c for c in cells if c not in scope]]
+    t = df.where(" AND ".join(f"{c} IS NOT NULL" for c in cells)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"))
+    t = cut_lineage(t.withColumn("__p", value))
+    ps = t.groupBy(*scope, "__p").agg(F.sum("__c").alias("__c"))
+    fdr = _bh_of_table(ps, scope)
+    t = null_safe_join(t.drop("__c"), fdr, [*scope, "__p"], "inner").withColumnsRenamed({"__p": "p", "__fdr": out})
+    return df.join(t, keys, "left").select(*df.columns, "p", out)
 
 
 def holm(df: DataFrame, p: str = "p", by=(), order: Sequence[str] = (), out: str = "p_holm") -> DataFrame:
@@ -167,8 +200,7 @@ def hypergeom_enrichment(grid: DataFrame, scope, min_total: int | None = MIN_TOT
     """
     ok = F.lit(True) if min_total is None else (F.col("k_all") >= min_total) & (F.col("k_all") < F.col("n_all"))
     d = grid.withColumn("eligible", ok).withColumn("__k", F.when(F.col("eligible"), F.col("k")))
-    d = once_per_table(d, ["__k", "k_all", "n", "n_all"], stats.hypergeom_sf("__k", "n_all", "k_all", "n"), "p").drop("__k")
-    d = bh(d, "p", scope)
+    d = test_once(d, ["__k", "k_all", "n", "n_all"], stats.hypergeom_sf("__k", "n_all", "k_all", "n"), scope)
     rest = F.col("n_all") - F.col("n")
     return d.select(*grid.columns, "eligible", "p", "fdr",
                     F.when(F.col("n") > 0, F.col("k") / F.col("n") * 100.0).otherwise(F.lit(0.0)).alias("percent_in"),
@@ -281,7 +313,10 @@ def chi2_statistic(entries: Column) -> tuple[Column, Column]:
 
 
 def chi2_omnibus(eligible: DataFrame, key, n_tables: int = 5000, seed: int = 12345, monte_carlo: bool = True) -> DataFrame:
-    """Chi-square per feature; tables with an expected count below 5 are resampled instead."""
+    """Chi-square per feature; tables with an expected count below 5 are resampled instead.
+
+    Materialised, so follow-up tests do not run the tail function or the resampling again.
+    """
     chi2, low = chi2_statistic(F.col("tested"))
     ok = F.col("reason") == ""
     d = eligible.withColumn("chi2", F.when(ok, chi2)).withColumn("min_expected", F.when(ok, low))
@@ -298,7 +333,7 @@ def chi2_omnibus(eligible: DataFrame, key, n_tables: int = 5000, seed: int = 123
         mc = run(F.when(ok & sparse, F.transform("tested", lambda e: e["k"])).otherwise(none),
                  F.when(ok & sparse, F.transform("tested", lambda e: e["n"])).otherwise(none), F.xxhash64(*as_list(key)))
         d = d.withColumn("p_mc", mc).withColumn("p", F.when(ok & sparse, F.col("p_mc")).otherwise(F.col("p"))).drop("p_mc")
-    return d
+    return cut_lineage(d)
 
 
 def group_pair_tables(eligible: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -321,7 +356,8 @@ def fisher_vs_rest(grid: DataFrame, scope) -> DataFrame:
     t = grid.where((F.col("n") > 0) & (F.col("n_all") > F.col("n"))).select(
         "*", F.col("k").alias("a"), (F.col("n") - F.col("k")).alias("b"), (F.col("k_all") - F.col("k")).alias("c"),
         (F.col("n_all") - F.col("n") - F.col("k_all") + F.col("k")).alias("d"))
-    t = bh(fisher_tables(t), "p", scope)
+    t = test_once(t, ["a", "b", "c", "d"], stats.fisher_two_sided("a", "b", "c", "d"), scope)
+    t = t.withColumn("odds_ratio", stats.odds_ratio("a", "b", "c", "d"))
     return t.withColumn("percent_in", 100.0 * F.col("a") / F.col("n")).withColumn("percent_out", 100.0 * F.col("c") / (F.col("n_all") - F.col("n")))
 
 
@@ -330,8 +366,9 @@ def fisher_pairwise(grid: DataFrame, feature, group: str, order: Sequence[str],
     feature, run = as_list(feature), as_list(run)
     entry = F.struct(level_index(group, order).alias("o"), F.col(group).alias("g"), F.col("k").alias("k"), F.col("n").alias("n"))
     packed = grid.where(F.col("n") > 0).groupBy(*run, *feature).agg(F.array_sort(F.collect_list(entry)).alias("tested"))
-    pairs = fisher_tables(group_pair_tables(packed, [*run, *feature]))
-    return bh(pairs, "p", [*run, "group1", "group2"])
+    pairs = group_pair_tables(packed, [*run, *feature])
+    t = test_once(pairs, ["a", "b", "c", "d"], stats.fisher_two_sided("a", "b", "c", "d"), [*run, "group1", "group2"])
+    return t.withColumn("odds_ratio", stats.odds_ratio("a", "b", "c", "d"))
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))

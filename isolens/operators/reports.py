@@ -90,13 +90,14 @@ def marker_frequency(df: DataFrame, id_col: str, markers: str, clamp_hi: bool =
 
     ``markers`` is an array column holding each marker of the isolate once; one row per isolate.
     """
-    n_all = df.agg(F.count(F.lit(1)).alias("n_total"), F.count_if(F.size(markers) == 0).alias("n_isolates"))
-    total = one_value(df, F.count(F.lit(1)))
-    per = df.select(F.explode(markers).alias("marker")).groupBy("marker").agg(F.count(F.lit(1)).alias("n_isolates"))
-    rows = union_all(
-        per.withColumn("type", F.lit(kind)).withColumn("n_total", total),
-        n_all.select(F.lit(susceptible).alias("marker"), "n_isolates", F.lit(susceptible).alias("type"), "n_total"),
-    )
+    # one pass: every isolate also emits one null marker, which counts all isolates and the bare ones
+    d = df.select(F.explode(F.array_append(markers, F.lit(None).cast("string"))).alias("marker"), (F.size(markers) == 0).alias("bare"))
+    c = d.groupBy("marker").agg(F.count(F.lit(1)).alias("n"), F.count_if("bare").alias("z"))
+    c = c.select("marker", F.when(F.col("marker").isNull(), F.col("z")).otherwise(F.col("n")).alias("n_isolates"),
+                 F.max(F.when(F.col("marker").isNull(), F.col("n"))).over(W.partitionBy()).alias("n_total"))
+    none = F.col("marker").isNull()
+    rows = c.select(F.coalesce("marker", F.lit(susceptible)).alias("marker"), F.when(none, F.lit(susceptible)).otherwise(F.lit(kind)).alias("type"),
+                    "n_isolates", "n_total")
     ci = stats.rate_ci("n_isolates", "n_total", clamp_hi)
     return rows.select("marker", "type", "n_isolates", "n_total", *[v.alias(k) for k, v in ci.items()])
 
@@ -138,13 +139,22 @@ def topk_prevalence(df: DataFrame, id_cols, markers: str, keys, k: int = 5, basi
     """
     keys = as_list(keys)
     base = basis if basis is not None else df.select(F.explode(markers).alias("marker"))
-    top = one_value(top_k(base, "marker", k), F.collect_set("marker"))
-    grouped = df.withColumn("__top", top).select(
-        *keys, F.explode(F.array_distinct(F.transform(
-            markers, lambda m: F.when(F.array_contains("__top", m), m).otherwise(F.lit(others))))).alias("marker_group"))
-    c = grouped.groupBy(*keys, "marker_group").agg(F.count(F.lit(1)).alias("n"))
-    den = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"))
-    return null_safe_join(c, den, keys, "left").withColumn("pct", 100.0 * F.try_divide("n", "n_total"))
+    return _group_prevalence(df, keys, markers, one_value(top_k(base, "marker", k), F.collect_set("marker")), others, None)
+
+
+def _group_prevalence(df: DataFrame, keys: list[str], markers: str, top: Column, others: str, none: str | None) -> DataFrame:
+    """Isolates per key and marker group with the true denominator, in one pass over the isolates.
+
+    Each isolate also emits one null group; its count is the denominator.
+    """
+    groups = F.array_distinct(F.transform(markers, lambda m: F.when(F.array_contains("__top", m), m).otherwise(F.lit(others))))
+    if none is not None:
+        groups = F.when(F.size(markers) == 0, F.array(F.lit(none))).otherwise(groups)
+    rows = df.withColumn("__top", top).select(*keys, F.explode(F.array_append(groups, F.lit(None).cast("string"))).alias("marker_group"))
+    c = rows.groupBy(*keys, "marker_group").agg(F.count(F.lit(1)).alias("n"))
+    total = F.max(F.when(F.col("marker_group").isNull(), F.col("n"))).over(W.partitionBy(*keys))
+    c = c.withColumn("n_total", total).where(F.col("marker_group").isNotNull())
+    return c.withColumn("pct", 100.0 * F.try_divide("n", "n_total"))
 
 
 def bucket_stack(df: DataFrame, cohort: str, period: str, bucket: str, periods: Sequence[str], buckets: Sequence[str]) -> DataFrame:
@@ -159,14 +169,7 @@ def multi_stack(df: DataFrame, keys, markers: str, top: DataFrame, none: str = "
 
     Percents use the true number of isolates, so a stack may exceed 100.
     """
-    keys = as_list(keys)
-    names = one_value(top, F.collect_set("marker"))
-    groups = F.array_distinct(F.transform(markers, lambda m: F.when(F.array_contains("__top", m), m).otherwise(F.lit(others))))
-    rows = df.withColumn("__top", names).select(
-        *keys, F.explode(F.when(F.size(markers) == 0, F.array(F.lit(none))).otherwise(groups)).alias("marker_group"))
-    c = rows.groupBy(*keys, "marker_group").agg(F.count(F.lit(1)).alias("n"))
-    den = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"))
-    return null_safe_join(c, den, keys, "left").withColumn("pct", 100.0 * F.try_divide("n", "n_total"))
+    return _group_prevalence(df, as_list(keys), markers, one_value(top, F.collect_set("marker")), others, none)
 
 
 def marker_multiplicity(df: DataFrame, flag: Column, markers: str) -> DataFrame:

@@ -12,18 +12,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stats import draw_seed
+from ..session import cut_lineage
 from .enrichment import bh
-from .ranking import exact_rank, hash_bucket, hash_order, sample_up_to
+from .ranking import hash_order, sample_up_to
 from .relations import exclude, union_all
 from .reports import one_value
 
-HILL = "q0 double, q1 double, q2 double"
-
 
 def _hill(weights: np.ndarray) -> np.ndarray:
     """q0, q1, q2 of each row of category weights."""
@@ -36,50 +36,71 @@ def _hill(weights: np.ndarray) -> np.ndarray:
                      np.divide(1.0, sq, out=np.zeros_like(sq), where=sq > 0)], axis=-1)
 
 
+BLOCK = 250  # replicates drawn together by one row
+
+
 def pattern_counts(df: DataFrame, group: str, categories: Sequence[str]) -> DataFrame:
-    """Isolates per group and 0/1 pattern, the pattern as an array."""
+    """Isolates per group and 0/1 pattern, the pattern as an array.  Small, and read many times: materialised."""
     pattern = F.array(*[F.col(f"`{c}`").cast("double") for c in categories])
-    return df.groupBy(group, pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("c"))
+    return cut_lineage(df.groupBy(group, pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("c")))
 
 
 def _packed(patterns: DataFrame, group: str) -> DataFrame:
     return patterns.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pattern", "c"))).alias("pats"))
 
 
+def _blocks(n: int) -> Column:
+    """Block numbers of n replicates, with the size of each block."""
+    starts = F.sequence(F.lit(0), F.lit(n - 1), F.lit(BLOCK))
+    return F.explode(F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(F.lit(BLOCK), F.lit(n) - s).alias("size"))))
+
+
+def _counts(pats: str) -> Column:
+    return F.transform(pats, lambda s: s["c"])
+
+
+def _patterns(pats: str) -> Column:
+    return F.transform(pats, lambda s: s["pattern"])
+
+
 def bootstrap_hill(patterns: DataFrame, group: str, b: int = 1000, seed: int = 1) -> DataFrame:
     """95 % percentile interval of the Hill numbers per group."""
 
-    @F.pandas_udf(HILL)
-    def draw(counts: pd.Series, patterns: pd.Series, rep: pd.Series, key: pd.Series) -> pd.DataFrame:
-        rows = []
-        for c, pats, r, k in zip(counts, patterns, rep, key):
-            c = np.asarray(c, dtype=np.int64)
-            m = np.array([list(p) for p in pats], dtype=float)
-            take = draw_seed(seed, int(r), int(k)).multinomial(c.sum(), c / c.sum())
-            rows.append(_hill(take @ m))
-        return pd.DataFrame(np.array(rows).reshape(-1, 3), columns=["q0", "q1", "q2"])
-
-    d = _packed(patterns, group).select(group, "pats", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("rep")).repartition("rep")
-    h = d.select(group, draw(F.transform("pats", lambda s: s["c"]), F.transform("pats", lambda s: s["pattern"]), "rep", F.xxhash64(group)).alias("h"))
-    ci = [F.percentile(F.col(f"h.{q}"), F.lit(p)).alias(f"{q}_{side}") for q in ("q0", "q1", "q2") for side, p in (("lo", 0.025), ("hi", 0.975))]
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+    def draw(counts: pd.Series, patterns: pd.Series, start: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
+        out = []
+        for c, pats, r, n, k in zip(counts, patterns, start, size, key):
+            c, m = np.asarray(c, dtype=np.int64), np.array([list(p) for p in pats], dtype=float)
+            take = draw_seed(seed, int(r), int(k)).multinomial(c.sum(), c / c.sum(), size=int(n))
+            out.append(_hill(take @ m).tolist())
+        return pd.Series(out)
+
+    d = _packed(patterns, group).select(group, "pats", _blocks(b).alias("blk")).repartition(group, "blk")
+    h = d.select(group, F.explode(draw(_counts("pats"), _patterns("pats"), "blk.start", "blk.size", F.xxhash64(group))).alias("h"))
+    ci = [F.percentile(F.col("h")[i], F.lit(p)).alias(f"q{i}_{side}") for i in range(3) for side, p in (("lo", 0.025), ("hi", 0.975))]
     return h.groupBy(group).agg(*ci)
 
 
-def _permute(n_perm: int, seed: int, which: int, stat):
-    """UDF: replicate → statistic after dealing the pooled patterns out to groups of fixed size."""
+def _permute(seed: int, which: int, stat):
+    """UDF: block of replicates → statistics after dealing the pooled patterns out to groups of fixed size."""
 
-    @F.pandas_udf(T.DoubleType())
-    def run(pool: pd.Series, patterns: pd.Series, sizes: pd.Series, rep: pd.Series) -> pd.Series:
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(pool: pd.Series, patterns: pd.Series, sizes: pd.Series, start: pd.Series, size: pd.Series) -> pd.Series:
         out = []
-        for c, pats, ns, r in zip(pool, patterns, sizes, rep):
-            left, m = np.asarray(c, dtype=np.int64).copy(), np.array([list(p) for p in pats], dtype=float)
-            rng, values = draw_seed(seed, int(r)), []
+        for c, pats, ns, r, reps in zip(pool, patterns, sizes, start, size):
+            m, rng = np.array([list(p) for p in pats], dtype=float), draw_seed(seed, int(r))
+            left = np.repeat(np.asarray(c, dtype=np.int64)[None, :], int(reps), axis=0)
+            values = []
             for n in ns:
-                take = rng.multivariate_hypergeometric(left, int(n), method="marginals")
-                left -= take
-                values.append(_hill(take @ m / n)[which])
-            out.append(stat(np.array(values)))
-        return pd.Series(out, dtype="float64")
+                take, room, rest = np.zeros_like(left), np.full(int(reps), int(n)), left.sum(axis=1)
+                for j in range(left.shape[1]):
+                    rest = rest - left[:, j]
+                    take[:, j] = rng.hypergeometric(left[:, j], rest, room)
+                    room = room - take[:, j]
+                left = left - take
+                values.append(_hill(take @ m / n)[:, which])
+            out.append(stat(np.array(values)).tolist())
+        return pd.Series(out)
 
     return run
 
@@ -90,32 +111,31 @@ def _observed(per_group: DataFrame, group: str, which: int) -> DataFrame:
         return pd.Series([_hill(np.asarray(c, dtype=float) @ np.array([list(p) for p in pats], dtype=float))[which]
                           for c, pats in zip(counts, patterns)], dtype="float64")
 
-    return per_group.select(group, run(F.transform("pats", lambda s: s["c"]), F.transform("pats", lambda s: s["pattern"])).alias("q"))
+    return per_group.select("*", run(_counts("pats"), _patterns("pats")).alias("q"))
 
 
 def permutation_hill(patterns: DataFrame, group: str, q: int = 1, n_perm: int = 2000, seed: int = 101) -> DataFrame:
     """Global test: range of the Hill number over groups against permuted group labels (one row)."""
-    obs = _observed(_packed(patterns, group), group, q).agg((F.max("q") - F.min("q")).alias("obs_stat"))
+    obs = _observed(_packed(patterns, group), group, q).agg(F.max("q") - F.min("q"))
     pool = patterns.groupBy("pattern").agg(F.sum("c").alias("c")).agg(F.array_sort(F.collect_list(F.struct("pattern", "c"))).alias("pats"))
-    sizes = patterns.groupBy(group).agg(F.sum("c").alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct(group, "n"))), lambda s: s["n"]).alias("ns"))
-    run = _permute(n_perm, seed, q, lambda v: v.max() - v.min())
-    d = pool.withColumn("ns", sizes.scalar()).select("pats", "ns", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("rep")).repartition("rep")
-    stat = d.select(run(F.transform("pats", lambda s: s["c"]), F.transform("pats", lambda s: s["pattern"]), "ns", "rep").alias("s"))
-    stat = stat.withColumn("obs_stat", obs.scalar())
-    return stat.groupBy("obs_stat").agg(F.avg((F.col("s") >= F.col("obs_stat")).cast("double")).alias("p")).select(F.lit(f"q{q}").alias("metric"), "obs_stat", "p")
+    sizes = patterns.groupBy(group).agg(F.sum("c").alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct(group, "n"))), lambda s: s["n"]))
+    run = _permute(seed, q, lambda v: v.max(axis=0) - v.min(axis=0))
+    d = pool.withColumn("ns", sizes.scalar()).select("pats", "ns", _blocks(n_perm).alias("blk")).repartition("blk")
+    s = d.select(F.explode(run(_counts("pats"), _patterns("pats"), "ns", "blk.start", "blk.size")).alias("s")).withColumn("obs_stat", obs.scalar())
+    return s.groupBy("obs_stat").agg(F.avg((F.col("s") >= F.col("obs_stat")).cast("double")).alias("p")).select(F.lit(f"q{q}").alias("metric"), "obs_stat", "p")
 
 
 def permutation_hill_pairs(patterns: DataFrame, group: str, q: int = 1, n_perm: int = 2000, seed: int = 201) -> DataFrame:
     """Every pair of groups: absolute difference against permuted labels, BH over pairs."""
-    packed = _packed(patterns, group).join(_observed(_packed(patterns, group), group, q), group)
+    packed = _observed(_packed(patterns, group), group, q)
     groups = packed.agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), "pats", "q"))).alias("gs"))
     pairs = groups.select("gs", F.posexplode("gs").alias("i", "x")).select("x", F.explode(F.slice("gs", F.col("i") + 2, F.size("gs"))).alias("y"))
     pairs = pairs.select(F.col("x.g").alias("group1"), F.col("y.g").alias("group2"), F.abs(F.col("x.q") - F.col("y.q")).alias("obs_diff"),
                          F.concat("x.pats", "y.pats").alias("pats"),
                          F.array(*[F.aggregate(f"{s}.pats", F.lit(0).cast("bigint"), lambda a, e: a + e["c"]) for s in ("x", "y")]).alias("ns"))
-    run = _permute(n_perm, seed, q, lambda v: abs(v[0] - v[1]))
-    d = pairs.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))).repartition("group1", "group2", "rep")
-    s = d.select("group1", "group2", "obs_diff", run(F.transform("pats", lambda s: s["c"]), F.transform("pats", lambda s: s["pattern"]), "ns", "rep").alias("s"))
+    run = _permute(seed, q, lambda v: np.abs(v[0] - v[1]))
+    d = pairs.select("*", _blocks(n_perm).alias("blk")).repartition("group1", "group2", "blk")
+    s = d.select("group1", "group2", "obs_diff", F.explode(run(_counts("pats"), _patterns("pats"), "ns", "blk.start", "blk.size")).alias("s"))
     out = s.groupBy("group1", "group2", "obs_diff").agg(F.avg((F.col("s") >= F.col("obs_diff")).cast("double")).alias("p"))
     return bh(out.withColumn("metric", F.lit(f"q{q}")), "p", (), "p_bh")
 
@@ -131,6 +151,7 @@ def stratified_selection(df: DataFrame, plan: dict, id_col: str = "id", seed: in
     [{name, lo, hi, targets{source: n}}], ``positive_share``.  Every draw is a seeded hash order.
     """
     spark_map = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    df = cut_lineage(df)  # narrow, and read by every block below
     forced = df.where("forced").withColumn("section", F.lit("forced"))
     pool = df.where("NOT forced")
 
@@ -139,9 +160,9 @@ def stratified_selection(df: DataFrame, plan: dict, id_col: str = "id", seed: in
     have = block.where("positive").groupBy("source").agg(F.count(F.lit(1)).alias("np"))
     need = block.where("NOT positive").join(have, "source", "left").withColumn(
         "take", F.greatest(F.coalesce(F.try_element_at(spark_map(early["targets"]), F.col("source")), F.lit(0)) - F.coalesce("np", F.lit(0)), F.lit(0)))
-    picked = block.where("positive").unionByName(sample_up_to(need, "take", "source", id_col, seed).drop("np", "take"))
+    picked = cut_lineage(block.where("positive").unionByName(sample_up_to(need, "take", "source", id_col, seed, early["total"]).drop("np", "take")))
     short = F.greatest(F.lit(early["total"]) - one_value(picked, F.count(F.lit(1))), F.lit(0))
-    refill = sample_up_to(exclude(block, picked, id_col).withColumn("take", short), "take", (), id_col, seed + 1).drop("take")
+    refill = sample_up_to(exclude(block, picked, id_col).withColumn("take", short), "take", (), id_col, seed + 1, early["total"]).drop("take")
     first = union_all(picked, refill).withColumn("section", F.lit("early"))
 
     parts = []
@@ -155,16 +176,15 @@ def stratified_selection(df: DataFrame, plan: dict, id_col: str = "id", seed: in
     sizes = late.groupBy(*key, "pattern", "need").agg(F.count(F.lit(1)).alias("n"))
     totals = sizes.groupBy(*key).agg(F.sum("n").alias("n_all"))
     sizes = sizes.join(totals, key).select(*key, "pattern", F.bround(F.col("n") / F.col("n_all") * F.col("need"), 0).cast("int").alias("take"))
-    late = sample_up_to(late.join(sizes, [*key, "pattern"]), "take", [*key, "pattern"], id_col, seed + 2)
+    late = sample_up_to(late.join(sizes, [*key, "pattern"]), "take", [*key, "pattern"], id_col, seed + 2, plan["total"])
     # arrival order of the section: positives first, then years, patterns and hash; cut at the target
-    h = hash_order(id_col, seed + 2)
-    order = [F.desc("positive"), F.asc("year"), F.asc("pattern"), h, F.col(id_col)]
-    slot = F.when(F.col("positive"), 0).otherwise(100000) + F.col("year")
-    late = exact_rank(late, ["section", "source"], order, slot, "__r").where(F.col("__r") <= F.col("target")).drop("__r", "target", "need", "take")
+    # (a section holds at most years x target rows here, so the ordered pass is bounded by the plan)
+    order = W.partitionBy("section", "source").orderBy(F.desc("positive"), "year", "pattern", hash_order(id_col, seed + 2), id_col)
+    late = late.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= F.col("target")).drop("__r", "target", "need", "take")
 
     rest = union_all(first, late)
     room = F.greatest(F.lit(plan["total"]) - one_value(forced, F.count(F.lit(1))), F.lit(0))
-    rest = sample_up_to(rest.withColumn("take", room), "take", (), id_col, seed + 3).drop("take")
+    rest = sample_up_to(rest.withColumn("take", room), "take", (), id_col, seed + 3, plan["total"]).drop("take")
     return union_all(forced, rest)
 
 
@@ -203,4 +223,6 @@ def quota_selection(df: DataFrame, targets: DataFrame, stratum: str, positive: s
     quota = allocate_quotas(strata, share)
     takes = [(k, flag, int(q if flag else strata[k][0] - q)) for k, q in quota.items() for flag in (True, False)]
     plan = df.sparkSession.createDataFrame(takes, f"{stratum} string, {positive} boolean, take int")
-    return sample_up_to(df.join(F.broadcast(plan), [stratum, positive]), "take", [stratum, positive], id_col, seed).drop("take")
+    # the plan has two rows per stratum, at most 20,000
+    return sample_up_to(df.join(F.broadcast(plan), [stratum, positive]), "take", [stratum, positive], id_col, seed,
+                        max((t[2] for t in takes), default=0)).drop("take")

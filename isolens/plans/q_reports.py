@@ -320,7 +320,7 @@ def _(q):
 
 @query("accumulation_draws", "G30")
 def _(q):
-    return pangenome.accumulation_draws(q("presence"), q("groups"), "sample", "gene", "lineage", reps=20)
+    return pangenome.accumulation_draws(q("presence"), q("groups"), "sample", "gene", "lineage")
 
 
 @query("heaps_fit", "G31", f"WITH {_ACC} SELECT lineage, round(regr_slope(log10(total_genes), log10(k)), 6) AS alpha, round(regr_intercept(log10(total_genes), log10(k)), 6) AS intercept FROM cv WHERE k > 1 GROUP BY 1")
