@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -29,9 +30,17 @@ def clean_date(c: Column | str) -> Column:
     return F.replace(F.replace(clean_text(c), F.lit("_"), F.lit("-")), F.lit("."), F.lit("/"))
 
 
+def format_shape(fmt: str) -> str:
+    """Regular expression of the texts a date layout can read."""
+    parts = {"yyyy": r"\d{4}", "MMMM": "[A-Za-z]+", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "dd": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}"}
+    return "^" + re.sub("yyyy|MMMM|MMM|MM|dd|M|d", lambda m: parts[m.group(0)], fmt) + "$"
+
+
 def parse_date(c: Column | str, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """First layout that parses.  A layout is tried only on texts of its shape: a failed parse costs
+    an exception, a shape test does not."""
     z = clean_date(c)
-    return F.coalesce(*[F.try_to_date(z, f) for f in formats])
+    return F.coalesce(*[F.when(z.rlike(format_shape(f)), F.try_to_date(z, f)) for f in formats])
 
 
 def derive_year(c: Column | str, formats: Sequence[str] = DATE_FORMATS) -> Column:

@@ -79,11 +79,11 @@ def hypergeom_sf(observed, population, successes, draws) -> Column:
     """P(X >= observed) for a hypergeometric count.
 
     Only the terms on the short side of the mean are summed, and only while they can change a
-    double (40 standard deviations plus 50 terms past the start or the mean).
+    double: 10 standard deviations plus 50 terms past the start are below 1e-17 of the sum.
     """
     x = col(observed).cast("bigint")
     m, k, n, lo, hi, md, kd, nd, mean, sd = _support(population, successes, draws)
-    reach = (40.0 * sd + 50.0).cast("bigint")
+    reach = (10.0 * sd + 50.0).cast("bigint")
     above = F.exp(hypergeom_logpmf(x, m, k, n)) * (
         1.0 + _walk(x + 1, F.least(hi, x + reach), 1, lambda i: _up(i, md, kd, nd), None)
     )
@@ -102,7 +102,7 @@ def fisher_two_sided(a, b, c, d) -> Column:
     """Two-sided Fisher exact p of the table [[a, b], [c, d]]: all tables no likelier than it."""
     a, b, c, d = (col(v).cast("bigint") for v in (a, b, c, d))
     m, k, n, lo, hi, md, kd, nd, mean, sd = _support(a + b + c + d, a + c, a + b)
-    reach = (F.abs(a.cast("double") - mean) * 2.0 + 40.0 * sd + 50.0).cast("bigint")
+    reach = (F.abs(a.cast("double") - mean) * 2.0 + 10.0 * sd + 50.0).cast("bigint")
     up = _walk(a + 1, F.least(hi, a + reach), 1, lambda i: _up(i, md, kd, nd), TIE_TOLERANCE)
     down = _walk(a - 1, F.greatest(lo, a - reach), -1, lambda i: _down(i, md, kd, nd), TIE_TOLERANCE)
     p = F.exp(hypergeom_logpmf(a, m, k, n)) * (1.0 + up + down)

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions import stats
 from ..functions.dates import assign_bin
 from ..functions.formatting import format_cell
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .ranking import level_index
 from .relations import as_list, null_safe_join
 from .reports import complete, counts, one_value
@@ -162,7 +162,7 @@ def test_once(df: DataFrame, cells: Sequence[str], value: Column, scope=(), out:
     scope, cells = as_list(scope), list(cells)
     keys = [*scope, *[c for c in cells if c not in scope]]
     t = df.where(" AND ".join(f"{c} IS NOT NULL" for c in cells)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"))
-    t = cut_lineage(t.withColumn("__p", value))
+    t = cut_lineage(spread(t, *keys).withColumn("__p", value))
     ps = t.groupBy(*scope, "__p").agg(F.sum("__c").alias("__c"))
     fdr = _bh_of_table(ps, scope)
     t = null_safe_join(t.drop("__c"), fdr, [*scope, "__p"], "inner").withColumnsRenamed({"__p": "p", "__fdr": out})
@@ -186,7 +186,7 @@ def adjust_p(df: DataFrame, method: str, p: str = "p", by=(), out: str = "p_adj"
 
 def once_per_table(df: DataFrame, cells: Sequence[str], value: Column, out: str) -> DataFrame:
     """Evaluate an expensive function of a few counts once per distinct combination."""
-    table = df.select(*cells).where(" AND ".join(f"{c} IS NOT NULL" for c in cells)).distinct().withColumn(out, value)
+    table = spread(df.select(*cells).where(" AND ".join(f"{c} IS NOT NULL" for c in cells)).distinct(), *cells).withColumn(out, value)
     return df.join(table, list(cells), "left")
 
 
@@ -319,7 +319,7 @@ def chi2_omnibus(eligible: DataFrame, key, n_tables: int = 5000, seed: int = 123
     """
     chi2, low = chi2_statistic(F.col("tested"))
     ok = F.col("reason") == ""
-    d = eligible.withColumn("chi2", F.when(ok, chi2)).withColumn("min_expected", F.when(ok, low))
+    d = spread(eligible, *as_list(key)).withColumn("chi2", F.when(ok, chi2)).withColumn("min_expected", F.when(ok, low))
     sparse = F.col("min_expected") < 5 if monte_carlo else F.lit(False)
     d = d.withColumn("method", F.when(~ok, F.lit("")).when(sparse, F.lit(f"chi-square (montecarlo, {n_tables} resamples, seed={seed})"))
                      .otherwise(F.lit("chi-square")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .relations import as_list, null_safe_join
@@ -41,23 +42,47 @@ def collapse_cog(df: DataFrame, gene: str, cog: str, order: Column) -> DataFrame
     return g.select(gene, F.when(text != "", text).alias(cog))
 
 
-def functional_summary(df: DataFrame, keys, letter: str, variant: str, gene: str) -> DataFrame:
-    """Counts at two grains (with and without the letter) joined into one table."""
-    keys = as_list(keys)
-    base = df.groupBy(*keys).agg(F.count_distinct(variant).alias("unique_variants"), F.count_distinct(gene).alias("unique_genes"),
-                                 F.count(F.lit(1)).alias("assignments"))
-    per = df.groupBy(*keys, letter).agg(F.count(F.lit(1)).alias("letter_n"), F.count_distinct(variant).alias("variants_in_letter"),
-                                        F.count_distinct(gene).alias("genes_in_letter"))
-    return null_safe_join(per, base, keys, "left")
+def letter_array(cog: str, none: str = "NO_PROTEIN") -> Column:
+    """Distinct letters of a category string, one ``none`` entry when there are none."""
+    c = F.coalesce(F.col(cog), F.lit(""))
+    return F.when(c.isin(*NO_PROTEIN), F.array(F.lit(none))).otherwise(F.array_distinct(F.filter(F.split(c, ""), lambda x: x != "")))
 
 
-def clade_overview(df: DataFrame, group: str, variant: str, gene: str, impact: str) -> DataFrame:
-    def of(cls):
-        return F.count_distinct(F.when(F.col(impact) == cls, F.col(variant)))
+def functional_summary(df: DataFrame, keys, cog: str, variant: str, gene: str, letter: str = "letter") -> DataFrame:
+    """Counts per key and category letter, next to the counts per key.
 
-    return df.groupBy(group).agg(
-        F.count_distinct(variant).alias("unique_variants"), F.count_distinct(gene).alias("unique_genes"),
-        F.count(F.lit(1)).alias("assignments"), of("High").alias("high"), of("Moderate").alias("moderate"), of("Low").alias("low"))
+    Rows are not exploded by letter before they are shuffled.  Variants and genes are each reduced
+    to one row with the set of their letters, and only these counts are expanded.
+    """
+    keys = as_list(keys)
+    d = df.select(*keys, letter_array(cog).alias("__l"), F.col(variant).cast("string").alias("__v"), F.col(gene).cast("string").alias("__g"))
+    assigned = d.select(*keys, F.explode("__l").alias(letter)).groupBy(*keys, letter).agg(F.count(F.lit(1)).alias("letter_n"))
+    assigned = assigned.withColumn("assignments", F.sum("letter_n").over(W.partitionBy(*keys)))
+    ids = d.select(*keys, "__l", F.inline(F.array(F.struct(F.lit("v").alias("__t"), F.col("__v").alias("__id")), F.struct(F.lit("g").alias("__t"), F.col("__g").alias("__id")))))
+    one = ids.groupBy(*keys, "__t", "__id").agg(F.array_distinct(F.flatten(F.collect_set("__l"))).alias("__l"))
+    # the null letter stands for the key as a whole
+    per = one.select(*keys, "__t", "__id", F.explode(F.array_append("__l", F.lit(None).cast("string"))).alias(letter)).groupBy(*keys, letter).agg(
+        F.count_if((F.col("__t") == "v") & F.col("__id").isNotNull()).alias("variants_in_letter"),
+        F.count_if((F.col("__t") == "g") & F.col("__id").isNotNull()).alias("genes_in_letter"))
+    w, whole = W.partitionBy(*keys), F.col(letter).isNull()
+    per = per.withColumn("unique_variants", F.max(F.when(whole, F.col("variants_in_letter"))).over(w)).withColumn(
+        "unique_genes", F.max(F.when(whole, F.col("genes_in_letter"))).over(w)).where(~whole)
+    return null_safe_join(per, assigned, [*keys, letter], "inner")
+
+
+def clade_overview(df: DataFrame, group: str, cog: str, variant: str, gene: str, impact: str) -> DataFrame:
+    """Distinct variants, genes and variants per impact class, and variant × letter assignments."""
+    d = df.select(group, F.size(letter_array(cog)).alias("__n"), F.col(variant).cast("string").alias("__v"), F.col(gene).cast("string").alias("__g"), impact)
+    ids = d.select(group, impact, F.inline(F.array(
+        F.struct(F.lit("v").alias("__t"), F.col("__v").alias("__id"), F.col("__n").alias("__n")),
+        F.struct(F.lit("g").alias("__t"), F.col("__g").alias("__id"), F.lit(0).alias("__n")))))
+    one = ids.groupBy(group, "__t", "__id").agg(F.sum("__n").alias("__n"), *[
+        F.bool_or(F.col(impact) == c).alias(f"__{c}") for c in ("High", "Moderate", "Low")])
+    v, g = F.col("__t") == "v", F.col("__t") == "g"
+    known = F.col("__id").isNotNull()
+    return one.groupBy(group).agg(
+        F.count_if(v & known).alias("unique_variants"), F.count_if(g & known).alias("unique_genes"), F.sum("__n").alias("assignments"),
+        *[F.count_if(v & known & F.col(f"__{c}")).alias(c.lower()) for c in ("High", "Moderate", "Low")])
 
 
 def cog_summary(df: DataFrame, group: str, gene: str, cog: str, has_protein: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stats import draw_seed
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .enrichment import bh
 from .ranking import hash_order, sample_up_to
 from .relations import exclude, union_all
@@ -75,7 +75,7 @@ def bootstrap_hill(patterns: DataFrame, group: str, b: int = 1000, seed: int = 1
             out.append(_hill(take @ m).tolist())
         return pd.Series(out)
 
-    d = _packed(patterns, group).select(group, "pats", _blocks(b).alias("blk")).repartition(group, "blk")
+    d = spread(_packed(patterns, group).select(group, "pats", _blocks(b).alias("blk")))
     h = d.select(group, F.explode(draw(_counts("pats"), _patterns("pats"), "blk.start", "blk.size", F.xxhash64(group))).alias("h"))
     ci = [F.percentile(F.col("h")[i], F.lit(p)).alias(f"q{i}_{side}") for i in range(3) for side, p in (("lo", 0.025), ("hi", 0.975))]
     return h.groupBy(group).agg(*ci)
@@ -120,7 +120,7 @@ def permutation_hill(patterns: DataFrame, group: str, q: int = 1, n_perm: int =
     pool = patterns.groupBy("pattern").agg(F.sum("c").alias("c")).agg(F.array_sort(F.collect_list(F.struct("pattern", "c"))).alias("pats"))
     sizes = patterns.groupBy(group).agg(F.sum("c").alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct(group, "n"))), lambda s: s["n"]))
     run = _permute(seed, q, lambda v: v.max(axis=0) - v.min(axis=0))
-    d = pool.withColumn("ns", sizes.scalar()).select("pats", "ns", _blocks(n_perm).alias("blk")).repartition("blk")
+    d = spread(pool.withColumn("ns", sizes.scalar()).select("pats", "ns", _blocks(n_perm).alias("blk")))
     s = d.select(F.explode(run(_counts("pats"), _patterns("pats"), "ns", "blk.start", "blk.size")).alias("s")).withColumn("obs_stat", obs.scalar())
     return s.groupBy("obs_stat").agg(F.avg((F.col("s") >= F.col("obs_stat")).cast("double")).alias("p")).select(F.lit(f"q{q}").alias("metric"), "obs_stat", "p")
 
@@ -134,7 +134,7 @@ def permutation_hill_pairs(patterns: DataFrame, group: str, q: int = 1, n_perm:
                          F.concat("x.pats", "y.pats").alias("pats"),
                          F.array(*[F.aggregate(f"{s}.pats", F.lit(0).cast("bigint"), lambda a, e: a + e["c"]) for s in ("x", "y")]).alias("ns"))
     run = _permute(seed, q, lambda v: np.abs(v[0] - v[1]))
-    d = pairs.select("*", _blocks(n_perm).alias("blk")).repartition("group1", "group2", "blk")
+    d = spread(pairs.select("*", _blocks(n_perm).alias("blk")))
     s = d.select("group1", "group2", "obs_diff", F.explode(run(_counts("pats"), _patterns("pats"), "ns", "blk.start", "blk.size")).alias("s"))
     out = s.groupBy("group1", "group2", "obs_diff").agg(F.avg((F.col("s") >= F.col("obs_diff")).cast("double")).alias("p"))
     return bh(out.withColumn("metric", F.lit(f"q{q}")), "p", (), "p_bh")

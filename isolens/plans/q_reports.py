@@ -368,9 +368,8 @@ def _(q):
     return functional.collapse_cog(d, "gene", "cog", F.col("l_linenumber"))
 
 
-def _lettered(q):
-    d = reshape.explode_letters(_variant_rows(q), "cog")
-    return d.withColumn("impact", classify.impact_class("effect"))
+def _with_impact(q):
+    return _variant_rows(q).withColumn("impact", classify.impact_class("effect"))
 
 
 @query("functional_summary", "G37", f"""
@@ -378,14 +377,14 @@ WITH {_VR}, {_LET}, b AS (SELECT clade, bin, impact, count(DISTINCT variant) AS
 p AS (SELECT clade, bin, impact, letter, count(*) AS letter_n, count(DISTINCT variant) AS variants_in_letter, count(DISTINCT gene) AS genes_in_letter FROM lt GROUP BY ALL)
 SELECT p.clade, p.bin, p.impact, letter, letter_n, variants_in_letter, genes_in_letter, unique_variants, unique_genes, assignments FROM p JOIN b ON p.clade = b.clade AND p.bin IS NOT DISTINCT FROM b.bin AND p.impact = b.impact""")
 def _(q):
-    return functional.functional_summary(_lettered(q), ["clade", "bin", "impact"], "letter", "variant", "gene")
+    return functional.functional_summary(_with_impact(q), ["clade", "bin", "impact"], "cog", "variant", "gene")
 
 
 @query("clade_overview", "G38", f"""
 WITH {_VR}, {_LET} SELECT clade, count(DISTINCT variant) AS unique_variants, count(DISTINCT gene) AS unique_genes, count(*) AS assignments, count(DISTINCT CASE impact WHEN 'High' THEN variant END) AS high,
  count(DISTINCT CASE impact WHEN 'Moderate' THEN variant END) AS moderate, count(DISTINCT CASE impact WHEN 'Low' THEN variant END) AS low FROM lt GROUP BY 1""")
 def _(q):
-    return functional.clade_overview(_lettered(q), "clade", "variant", "gene", "impact")
+    return functional.clade_overview(_with_impact(q), "clade", "cog", "variant", "gene", "impact")
 
 
 @query("cog_summary", "G39", r"""

@@ -161,10 +161,9 @@ ft AS (SELECT gene, CAST(sum(k) AS BIGINT) AS k_all FROM fc GROUP BY ALL), grid
 
 
 def _gene_grid(q):
-    g, p = q("groups"), q("presence")
-    acc = pangenome.accessory_genes(p, g, "sample", "gene").select("gene")
-    fc = enrichment.feature_counts(p, g, "sample", "gene", "lineage").join(acc, "gene", "left_semi")
-    return enrichment.feature_grid(fc, enrichment.group_totals(g, "lineage"), "gene", "lineage")
+    g = q("groups")
+    fc = enrichment.feature_counts(q("presence"), g, "sample", "gene", "lineage")
+    return pangenome.accessory_rows(enrichment.feature_grid(fc, enrichment.group_totals(g, "lineage"), "gene", "lineage"))
 
 
 def _bh_sql(scope):

@@ -41,3 +41,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *cols) -> DataFrame:
+    """One partition per core for few rows with heavy work each, which size-based coalescing would pack into one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *cols)

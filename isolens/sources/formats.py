@@ -38,16 +38,17 @@ def read_vcf(spark: SparkSession, path) -> DataFrame:
 
 def parse_ann(variants: DataFrame, info: str = "info") -> DataFrame:
     """Effect, gene and protein change of the first annotation in ``ANN=``, with defaults."""
-    ann = F.regexp_extract(info, r"ANN=([^;]+)", 1)
-    parts = F.split(F.element_at(F.split(ann, ","), 1), r"\|")
+    # the fields are cut once, in their own projection, and read several times below
+    rest = [c for c in variants.columns if c != info]
+    d = variants.select(*rest, F.split(F.regexp_extract(info, r"ANN=([^;,]+)", 1), r"\|").alias("__a"))
 
     def field(i: int) -> Column:
-        return F.nullif(F.try_element_at(parts, F.lit(i + 1)), F.lit(""))
+        return F.nullif(F.try_element_at("__a", F.lit(i + 1)), F.lit(""))
 
-    none = ann == ""
-    second = F.try_element_at(parts, F.lit(2))
-    return variants.select(
-        *[c for c in variants.columns if c != info],
+    none = (F.size("__a") == 1) & (F.col("__a")[0] == "")
+    second = F.try_element_at("__a", F.lit(2))
+    return d.select(
+        *rest,
         F.when(none, F.lit("unannotated")).otherwise(F.coalesce(field(3), field(4), F.lit("intergenic"))).alias("gene"),
         F.when(none, F.lit("unknown")).otherwise(F.coalesce(second, F.lit("unknown"))).alias("effect"),
         F.when(none, F.lit(".")).otherwise(F.coalesce(field(10), F.lit("."))).alias("aa_change"))
