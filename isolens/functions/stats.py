@@ -68,7 +68,7 @@ def _walk(start: Column, stop: Column, step: int, ratio, keep_limit: float | Non
 def _support(population, successes, draws):
     m, k, n = (col(c).cast("bigint") for c in (population, successes, draws))
     lo = F.greatest(n + k - m, F.lit(0).cast("bigint"))
-    hi = F.least(k, n)
+    hi = F.when(k.isNotNull() & n.isNotNull(), F.least(k, n))
     md, kd, nd = (c.cast("double") for c in (m, k, n))
     mean = nd * kd / md
     sd = F.sqrt(mean * (md - kd) / md * (md - nd) / F.greatest(md - 1.0, F.lit(1.0)))
@@ -92,7 +92,8 @@ def hypergeom_sf(observed, population, successes, draws) -> Column:
         1.0 + _walk(y - 1, F.greatest(lo, y - reach), -1, lambda i: _down(i, md, kd, nd), None)
     )
     return (
-        F.when(x <= lo, F.lit(1.0)).when(x > hi, F.lit(0.0))
+        F.when(x.isNull() | hi.isNull() | m.isNull(), F.lit(None).cast("double"))
+        .when(x <= lo, F.lit(1.0)).when(x > hi, F.lit(0.0))
         .when(x.cast("double") > mean, F.least(F.lit(1.0), above))
         .otherwise(F.greatest(F.lit(0.0), 1.0 - below))
     )
@@ -106,7 +107,7 @@ def fisher_two_sided(a, b, c, d) -> Column:
     up = _walk(a + 1, F.least(hi, a + reach), 1, lambda i: _up(i, md, kd, nd), TIE_TOLERANCE)
     down = _walk(a - 1, F.greatest(lo, a - reach), -1, lambda i: _down(i, md, kd, nd), TIE_TOLERANCE)
     p = F.exp(hypergeom_logpmf(a, m, k, n)) * (1.0 + up + down)
-    return F.when(lo == hi, F.lit(1.0)).otherwise(F.least(F.lit(1.0), p))
+    return F.when((a + b + c + d).isNull(), F.lit(None).cast("double")).when(lo == hi, F.lit(1.0)).otherwise(F.least(F.lit(1.0), p))
 
 
 def odds_ratio(a, b, c, d, add: float = 0.5) -> Column:

@@ -15,10 +15,10 @@ FEATURE = ["pos", "ref", "alt"]
 
 def neglog(c: str):
     """-log10 of a p-value to six places; the added zero removes a negative zero."""
-    return (F.round(-F.log10(F.greatest(F.col(c), F.lit(1e-300))), 6) + 0.0).alias(c)
+    return F.when(F.col(c).isNotNull(), F.round(-F.log10(F.greatest(F.col(c), F.lit(1e-300))), 6) + 0.0).alias(c)
 
 
-NL = "round(-log10(greatest({0}, 1e-300)), 6) + 0.0"
+NL = "CASE WHEN {0} IS NOT NULL THEN round(-log10(greatest({0}, 1e-300)), 6) + 0.0 END"
 
 _GRID = """fc AS (SELECT pos, ref, alt, lineage, count(DISTINCT sample) AS k FROM {variants} JOIN {groups} USING (sample) GROUP BY ALL),
 gt AS (SELECT lineage, count(*) AS n, (SELECT count(*) FROM {groups}) AS n_all FROM {groups} GROUP BY 1), ft AS (SELECT pos, ref, alt, CAST(sum(k) AS BIGINT) AS k_all FROM fc GROUP BY ALL),
@@ -253,7 +253,7 @@ def _omnibus(q):
 
 
 @query("bh", "T9", f"""
-WITH {_EL_GRID}, tp AS (SELECT symbol, {_CHI_P.replace('round(', '(').replace(', 6)', ')')} AS p FROM ch), {_bh_sql('1').replace('PARTITION BY 1, p', 'PARTITION BY p').replace('PARTITION BY 1 ', '').replace('PARTITION BY 1', '')} SELECT symbol, round(greatest(fdr, 0), 6) AS fdr FROM rs LEFT JOIN bh USING (symbol)""")
+WITH {_EL_GRID}, tp AS (SELECT symbol, {_CHI_P.replace('round(', '(').replace(', 6)', ')')} AS p FROM ch), {_bh_sql('1').replace('PARTITION BY 1, p', 'PARTITION BY p').replace('PARTITION BY 1 ', '').replace('PARTITION BY 1', '')} SELECT symbol, CASE WHEN fdr IS NOT NULL THEN round(greatest(fdr, 0), 6) END AS fdr FROM rs LEFT JOIN bh USING (symbol)""")
 def _(q):
     return rounded(_omnibus(q).select("symbol", "fdr"), "fdr")
 
