@@ -1,4 +1,4 @@
-"""Headline queries on ``$BENCH_SF_DIR``: median of three runs after one warm-up, one JSON line."""
+"""Headline queries on ``$BENCH_SF_DIR``: median of up to three runs after one warm-up, one JSON line."""
 
 from __future__ import annotations
 
@@ -22,17 +22,21 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
+    budget = float(os.environ.get("BENCH_BUDGET", "5"))
     registry.load()
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "isolens-bench")
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
     for name in HEADLINE:
-        taken = []
-        for i in range(runs + 1):
+        taken: list[float] = []
+        warm = True
+        # slow queries stop once they have used their budget, so the whole bench stays short
+        while len(taken) < runs and sum(taken) < budget:
             start = time.time()
             registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            if i:
+            if not warm:
                 taken.append(time.time() - start)
+            warm = False
         times[name] = round(statistics.median(taken), 3)
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": float(sf)}))
