@@ -11,18 +11,16 @@ from isolens.plans import registry
 from isolens.session import local_session
 
 HEADLINE = [
-    "marker_prevalence_by_source_year", "marker_frequency", "topk_prevalence", "sampling_weights", "genotype_signatures", "bucket_stack",
-    "classify_source", "derive_year", "audit_label", "flag_in_interval", "best_per_key", "with_row_id",
-    "feature_counts", "hypergeom_enrichment", "definer_bins_all_runs", "fisher_vs_rest", "fisher_pairwise", "element_summary_with_letters",
-    "pangenome_summary", "accumulation_curve", "hill_numbers", "bootstrap_hill", "permutation_hill", "stratified_selection",
-    "gene_rollup", "functional_summary", "pairwise_tree_distance", "distance_summary", "parse_ann", "longest_orf",
+    "marker_prevalence_by_source_year", "marker_frequency", "topk_prevalence", "sampling_weights", "classify_source", "derive_year",
+    "audit_label", "flag_in_interval", "best_per_key", "feature_counts", "hypergeom_enrichment", "fisher_vs_rest", "pangenome_summary",
+    "hill_numbers", "gene_rollup", "distance_summary",
 ]
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    budget = float(os.environ.get("BENCH_BUDGET", "5"))
+    budget = float(os.environ.get("BENCH_BUDGET", "4"))
     registry.load()
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "isolens-bench")
     spark.sparkContext.setLogLevel("ERROR")
