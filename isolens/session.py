@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_TEST_FOLDERS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
 
 def local_session(cpus: int | str = "*", app: str = "isolens") -> SparkSession:
     return (
@@ -26,16 +31,25 @@ def local_session(cpus: int | str = "*", app: str = "isolens") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir`` of the session, else a test folder."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+    """The folder all executors see: ``spark.checkpoint.dir`` of the session.
 
+    Where the session names none, local mode gets a test folder, the same for the whole session;
+    a cluster is refused, since its executors would not share such a folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    app = spark.sparkContext.applicationId
+    if app not in _TEST_FOLDERS:
+        _TEST_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+    return _TEST_FOLDERS[app]
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the folder is the cluster's ``spark.checkpoint.dir`` when it names one.
 
-    A temporary folder is used only when neither the setting nor the context has a folder, which is
-    the case in local tests.
-    """
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -43,6 +57,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for functions that run there."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spark-ship-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent).as_posix())
+    spark.sparkContext.addPyFile(str(target))
+
+
 def spread(df: DataFrame, *cols) -> DataFrame:
     """One partition per core for few rows with heavy work each, which size-based coalescing would pack into one task."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *cols)
