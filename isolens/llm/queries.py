@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import exact_dedup, mixing, simhash, url_filter, warc
+from . import exact_dedup, mixing, simhash, toxicity, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +20,19 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+def _held_out(folds: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 2, F.lit(False))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~_held_out(4)))
+    found = toxicity.classify(docs, model, least=0.3)
+    spans = F.concat_ws(",", F.transform("sentences", lambda s: F.concat_ws(":", s["start"], s["end"])))
+    return found.select("doc_id", _held_out(4).alias("held_out"), "score", "predicted", spans.alias("sentences"))
+
+
 #: Rules of the URL query (fixed values).
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
