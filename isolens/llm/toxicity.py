@@ -224,27 +224,29 @@ def score(model: Model, text: str | Column = "text") -> Column:
     return noisy_or(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
-def offending(model: Model, text: str = "text", least: float = 0.3) -> Column:
-    """Sentences whose own chance reaches ``least``, as ``array<struct<start, end, p>>`` (code points)."""
+def judge(model: Model, least: float) -> Column:
+    """Score of a text and the sentences whose own chance reaches ``least``, from one reading of the text."""
 
-    @F.pandas_udf("array<struct<start:int,end:int,p:double>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf("score double, sentences array<struct<start:int,end:int,p:double>>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        scores, spans = [], []
         for t, x in zip(texts, _instances(texts)):
-            p = np.exp(_log_clean(-_sentence_logits(model, *x)))
+            z = _sentence_logits(model, *x)
+            scores.append(-np.expm1(_log_clean(z).sum()))
+            p = np.exp(_log_clean(-z))
             hits = np.nonzero(p >= least)[0]
             where = sentences(t) if len(hits) else []
-            out.append([{"start": where[i][0], "end": where[i][1], "p": float(p[i])} for i in hits])
-        return pd.Series(out, dtype=object)
+            spans.append([{"start": where[i][0], "end": where[i][1], "p": float(p[i])} for i in hits])
+        return pd.DataFrame({"score": np.array(scores, float), "sentences": pd.Series(spans, dtype=object)})
 
-    return spans(F.coalesce(F.col(text), F.lit("")))
+    return run(text_of())
 
 
 def classify(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """``doc_id, score, predicted`` and the ``sentences`` that offend, one row per input row.
+    """``doc_id, score, predicted`` and the ``sentences`` (start, end, p) that offend, one row per input row.
 
     A null or empty text is one empty sentence. Null ids and repeated rows keep their own rows, an
     empty table gives an empty result, further columns are ignored. Texts are read whole, in batches.
     """
-    scored = docs.select("doc_id", score(model).alias("score"), offending(model, least=least).alias("sentences"))
-    return scored.withColumn("predicted", (F.col("score") >= least).cast("int"))
+    judged = docs.select("doc_id", judge(model, least).alias("j")).select("doc_id", "j.score", "j.sentences")
+    return judged.withColumn("predicted", (F.col("score") >= least).cast("int"))
