@@ -10,13 +10,13 @@ from .common import save, text_key, text_of
 #: Positions that a mask looks at. Any 15 tokens with at most two substitutions contain one of them intact.
 MASKS = [(0, 1, 2, 3, 5, 6, 7), (0, 1, 2, 4, 7, 8, 9)]
 WINDOW, SUBSTITUTIONS = 15, 2
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\x0b\x0c\r"
+#: ASCII punctuation, blanks and controls separate tokens.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def token_codes(text: Column) -> Column:
     """XXH64 of each token: lower case, ASCII punctuation and blanks separate."""
-    words = F.split(F.translate(F.lower(text), PUNCTUATION, " " * len(PUNCTUATION)), " ")
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.transform(F.array_remove(F.split(F.lower(text), BETWEEN), ""), lambda w: F.xxhash64(w))
 
 
 def _seeds(rows: DataFrame, keys: list[str], masks: list[tuple[int, ...]]) -> DataFrame:
