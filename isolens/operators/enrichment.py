@@ -47,6 +47,15 @@ def presence_filter(hits: DataFrame, coverage: str | None, identity: str | None,
 # --- counts ----------------------------------------------------------------------------------
 
 
+def sample_labels(groups: DataFrame, sample: str, group: str, run=()) -> DataFrame:
+    """One label per sample (and run): null samples and labels are left out, repeated rows count once.
+
+    A sample with several labels gets the smallest, so it is in one group only.
+    """
+    keys = [*as_list(run), sample]
+    return groups.where(F.col(group).isNotNull() & F.col(sample).isNotNull()).groupBy(*keys).agg(F.min(group).alias(group))
+
+
 def feature_counts(presence: DataFrame, groups: DataFrame, sample: str, feature, group: str, run=()) -> DataFrame:
     """Samples per feature and group (each sample once), with the total over groups.
 
@@ -54,10 +63,11 @@ def feature_counts(presence: DataFrame, groups: DataFrame, sample: str, feature,
     counted in one job.
     """
     feature, run = as_list(feature), as_list(run)
-    shared = [c for c in run if c in presence.columns and c in groups.columns]
-    once = presence.select(sample, *feature, *[c for c in run if c in presence.columns]).distinct()
-    c = (once.join(groups.select(sample, group, *[r for r in run if r in groups.columns]), [sample, *shared])
-         .groupBy(*run, *feature, group).agg(F.count(F.lit(1)).alias("k")))
+    in_presence, in_groups = [c for c in run if c in presence.columns], [c for c in run if c in groups.columns]
+    labelled = sample_labels(groups, sample, group, in_groups)
+    shared = [c for c in in_presence if c in in_groups]
+    once = presence.select(sample, *feature, *in_presence).join(labelled, [sample, *shared]).distinct()
+    c = once.groupBy(*run, *feature, group).agg(F.count(F.lit(1)).alias("k"))
     return c.withColumn("k_all", F.sum("k").over(W.partitionBy(*run, *feature)))
 
 
@@ -65,8 +75,9 @@ def scenario_counts(presence: DataFrame, groups: DataFrame, sample: str, feature
                     names=("all_snps", "vertical_only")) -> DataFrame:
     """Feature counts of both scenarios (all rows, unflagged rows) from one pass over the calls."""
     feature = as_list(feature)
-    once = presence.groupBy(sample, *feature).agg(F.min(F.col(flag).cast("int")).alias("__f"))
-    c = once.join(groups.select(sample, group), sample).groupBy(*feature, group).agg(
+    labelled = presence.join(sample_labels(groups, sample, group), sample)
+    once = labelled.groupBy(sample, *feature, group).agg(F.min(F.col(flag).cast("int")).alias("__f"))
+    c = once.groupBy(*feature, group).agg(
         F.count(F.lit(1)).alias("a"), F.count_if(F.col("__f") == 0).alias("v"))
     rows = F.array(F.struct(F.lit(names[0]).alias("scenario"), F.col("a").alias("k")), F.struct(F.lit(names[1]).alias("scenario"), F.col("v").alias("k")))
     return c.select(*feature, group, F.inline(rows)).where("k > 0")
@@ -86,10 +97,10 @@ def with_feature_total(fc: DataFrame, keys) -> DataFrame:
     return fc.withColumn("k_all", F.sum("k").over(W.partitionBy(*as_list(keys))))
 
 
-def group_totals(groups: DataFrame, group: str, run=()) -> DataFrame:
-    """Group size n and run size M."""
+def group_totals(groups: DataFrame, group: str, run=(), sample: str = "sample") -> DataFrame:
+    """Group size n and run size M, over the same labels as the counts."""
     run = as_list(run)
-    g = groups.where(F.col(group).isNotNull()).groupBy(*run, group).agg(F.count(F.lit(1)).alias("n"))
+    g = sample_labels(groups, sample, group, run).groupBy(*run, group).agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("n_all", F.sum("n").over(W.partitionBy(*run)))
 
 
@@ -113,19 +124,19 @@ def feature_grid(fc: DataFrame, totals: DataFrame, feature, group: str, run=())
 # --- multiple testing ------------------------------------------------------------------------
 
 
-# Above this many distinct p-values the ordered pass is split into buckets of the p scale.
-SINGLE_PASS_LIMIT = 2_000_000
+def _p_bucket(p: Column) -> Column:
+    """Buckets that rise with p: a logarithmic scale below 1/4096, 4096 equal steps from there on."""
+    return F.when(p >= 2.0**-12, F.floor(p * 4096)).otherwise(F.floor(F.log2(F.greatest(p, F.lit(5e-324))) * 16) + 192).cast("int")
+
 
+def _bh_of_table(ps: DataFrame, by: list[str]) -> DataFrame:
+    """FDR of a table of distinct p-values (by, __p, __c = number of tests).
 
-def _bh_of_table(ps: DataFrame, by: list[str], limit: int = SINGLE_PASS_LIMIT) -> DataFrame:
-    """FDR of a table of distinct p-values (by, __p, __c = number of tests); ``ps`` is read several times."""
-    if ps.count() <= limit:
-        up = W.partitionBy(*by).orderBy("__p").rowsBetween(W.unboundedPreceding, 0)
-        down = W.partitionBy(*by).orderBy(F.desc("__p")).rowsBetween(W.unboundedPreceding, 0)
-        q = ps.withColumn("__q", F.col("__p") * F.sum("__c").over(W.partitionBy(*by)) / F.sum("__c").over(up))
-        return q.select(*by, "__p", F.least(F.lit(1.0), F.min("__q").over(down)).alias("__fdr"))
-    ps = ps.withColumn("__b", F.floor(F.log10(F.greatest(F.col("__p"), F.lit(1e-300))) * -16).cast("int"))
-    small_first = W.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(W.unboundedPreceding, 0)
+    Bucket sizes give each bucket the rank it starts at, and bucket minima what larger p-values
+    contribute, so only the p-values of one bucket of one scope are ordered together.
+    """
+    ps = ps.withColumn("__b", _p_bucket(F.col("__p")))
+    small_first = W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, 0)
     sizes = ps.groupBy(*by, "__b").agg(F.sum("__c").alias("__n"))
     sizes = sizes.select(*by, "__b", (F.sum("__n").over(small_first) - F.col("__n")).alias("__off"),
                          F.sum("__n").over(W.partitionBy(*by)).alias("__m"))
@@ -136,20 +147,20 @@ def _bh_of_table(ps: DataFrame, by: list[str], limit: int = SINGLE_PASS_LIMIT) -
     q = q.withColumn("__in", F.min("__q").over(inner.orderBy(F.desc("__p")).rowsBetween(W.unboundedPreceding, 0)))
     later = q.groupBy(*by, "__b").agg(F.min("__q").alias("__bq"))
     later = later.select(*by, "__b", F.min("__bq").over(
-        W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)).alias("__after"))
+        W.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(W.unboundedPreceding, -1)).alias("__after"))
     q = null_safe_join(q, later, [*by, "__b"], "inner")
     return q.select(*by, "__p", F.least(F.lit(1.0), F.col("__in"), F.col("__after")).alias("__fdr"))
 
 
-def bh(df: DataFrame, p: str = "p", by=(), out: str = "fdr", limit: int = SINGLE_PASS_LIMIT) -> DataFrame:
+def bh(df: DataFrame, p: str = "p", by=(), out: str = "fdr") -> DataFrame:
     """Benjamini-Hochberg over the rows of each scope that have a p-value.
 
     Ranks are taken over distinct p-values with their multiplicities.  That table is materialised
-    once, and its size decides between one ordered pass per scope and a pass per p bucket.
+    once, as it is read several times.
     """
     by = as_list(by)
     ps = cut_lineage(df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__c")))
-    q = _bh_of_table(ps, by, limit).withColumnsRenamed({"__p": p, "__fdr": out})
+    q = _bh_of_table(ps, by).withColumnsRenamed({"__p": p, "__fdr": out})
     return null_safe_join(df, q, [*by, p], "left")
 
 

@@ -20,18 +20,24 @@ DRAWS, SEED = 100, 123
 
 def gene_percents(presence: DataFrame, groups: DataFrame, sample: str, gene: str, group: str) -> DataFrame:
     """Samples per (group, gene) with the group size; genes absent from a group have no row."""
-    return feature_counts(presence, groups, sample, gene, group).join(group_totals(groups, group), group)
+    return feature_counts(presence, groups, sample, gene, group).join(group_totals(groups, group, sample=sample), group)
 
 
 def pangenome_summary(presence: DataFrame, groups: DataFrame, sample: str, gene: str, group: str) -> DataFrame:
-    """Core, shell and cloud genes per group.  Genes never seen in a group count as its cloud."""
+    """Core, shell and cloud genes per group.
+
+    The cloud of a group holds all genes of the presence table that are neither core nor shell in it,
+    those never seen in the group or in any labelled sample too; a group without hits has a row.
+    """
     per = gene_percents(presence, groups, sample, gene, group)
-    known = presence.join(groups.select(sample), sample, "left_semi").select(gene).distinct().agg(F.count(F.lit(1))).scalar()
+    known = presence.select(gene).distinct().agg(F.count(F.lit(1))).scalar()
     pct = 100.0 * F.col("k") / F.col("n")
     g = per.groupBy(group).agg(
-        F.first("n").alias("genomes"), F.count(F.lit(1)).alias("total_genes"),
+        F.count(F.lit(1)).alias("total_genes"),
         F.count_if(pct >= CORE_PCT).alias("core"), F.count_if((pct >= SHELL_PCT) & (pct < CORE_PCT)).alias("shell"))
-    return g.withColumn("cloud", known - F.col("core") - F.col("shell"))
+    every = group_totals(groups, group, sample=sample).select(group, F.col("n").alias("genomes")).join(g, group, "left")
+    every = every.fillna(0, ["total_genes", "core", "shell"])
+    return every.withColumn("cloud", known - F.col("core") - F.col("shell"))
 
 
 def accessory_genes(presence: DataFrame, groups: DataFrame, sample: str, gene: str) -> DataFrame:
@@ -83,7 +89,7 @@ def accumulation_draws(presence: DataFrame, groups: DataFrame, sample: str, gene
     ranked = exact_rank(placed, [group, "rep", gene], [F.col("pos")], F.floor(F.col("pos") / 65536).cast("int"), "r")
     per_gene = ranked.groupBy(group, "rep", gene).agg(F.min("pos").alias("first_pos"), F.count_if(F.col("pos") == F.col("r")).alias("run"))
     # per draw: +1 total gene from first_pos on; +1 core gene for k = 1..run
-    n = group_totals(groups, group).select(group, "n")
+    n = group_totals(groups, group, sample=sample).select(group, "n")
     steps = per_gene.select(group, "rep", F.inline(F.array(
         F.struct(F.col("first_pos").cast("bigint").alias("k"), F.lit(1).alias("dt"), F.lit(0).alias("dc")),
         F.struct(F.lit(1).cast("bigint").alias("k"), F.lit(0).alias("dt"), (F.col("run") > 0).cast("int").alias("dc")),

@@ -44,31 +44,23 @@ def with_row_id(df: DataFrame, order: str, bucket: Column, keys=(), out: str = "
     return exact_rank(df, keys, [F.col(order)], bucket, out)
 
 
-# Up to this many rows per stratum, a sample is a two-step top-n; above it, an exact distributed rank.
-TOP_N_LIMIT = 1_000_000
-SALTS = 64
-
-
-def sample_up_to(df: DataFrame, take: Column | int | str, by=(), key: str = "id", seed: int = 1, bound: int | None = None) -> DataFrame:
+def sample_up_to(df: DataFrame, take: Column | int | str, by=(), key: str = "id", seed: int = 1) -> DataFrame:
     """Up to ``take`` rows per stratum in a seeded hash order; repeatable on any partitioning.
 
-    ``take`` may be a column that is constant within a stratum; ``bound`` is then its largest value,
-    if known.  For short samples each of 64 parts of a stratum keeps its own first rows and the
-    survivors are ranked; otherwise ranks come from bucket sizes.
+    ``take`` may be a column that is constant within a stratum.  Bucket sizes tell which buckets of
+    the hash order lie inside the sample; only the rows of the bucket that the cut runs through are
+    ordered.
     """
     by = as_list(by)
-    if isinstance(take, int):
-        bound, take = take, F.lit(take)
-    take = F.col(take) if isinstance(take, str) else take
-    d = df.withColumn("__h", hash_order(key, seed))
-    order = [F.col("__h"), F.col(key)]
-    if bound is None or bound > TOP_N_LIMIT:
-        d = exact_rank(d, by, order, hash_bucket(F.col("__h")), "__rank")
-    else:
-        salted = W.partitionBy(*by, F.pmod(F.col("__h"), F.lit(SALTS))).orderBy(*order)
-        d = d.withColumn("__part", F.row_number().over(salted)).where(F.col("__part") <= take).drop("__part")
-        d = d.withColumn("__rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
-    return d.where(F.col("__rank") <= take).drop("__rank", "__h")
+    take = F.lit(take) if isinstance(take, int) else F.col(take) if isinstance(take, str) else take
+    d = df.withColumns({"__h": hash_order(key, seed), "__take": take}).withColumn("__b", hash_bucket(F.col("__h")))
+    sizes = d.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, 0))
+    d = null_safe_join(d, sizes.withColumn("__upto", upto), [*by, "__b"], "left").where(F.col("__upto") - F.col("__n") < F.col("__take"))
+    inner = W.partitionBy(*by, "__b").orderBy("__h", key)
+    cut = d.where(F.col("__upto") > F.col("__take")).withColumn("__rank", F.row_number().over(inner) + F.col("__upto") - F.col("__n"))
+    cut = cut.where(F.col("__rank") <= F.col("__take"))
+    return d.where(F.col("__upto") <= F.col("__take")).select(df.columns).unionByName(cut.select(df.columns))
 
 
 def best_per_key(df: DataFrame, keys, order: Sequence[tuple[str, bool]], ties: Sequence[str] = ()) -> DataFrame:

@@ -62,11 +62,12 @@ def compare_on_key(a: DataFrame, b: DataFrame, keys, suffixes=("_a", "_b")) -> D
 
 
 def compare_counts(a: DataFrame, b: DataFrame, key, value: str = "n") -> DataFrame:
-    """Full outer join of two count tables, absent counts read as zero."""
+    """Full outer comparison of two count tables, absent counts read as zero and null keys equal."""
     key = as_list(key)
-    left = a.select(*key, F.col(value).alias("old_n"))
-    right = b.select(*key, F.col(value).alias("new_n"))
-    joined = left.join(right, key, "full_outer")
+    zero = F.lit(None).cast("bigint")
+    left = a.select(*key, F.col(value).alias("old_n"), zero.alias("new_n"))
+    right = b.select(*key, zero.alias("old_n"), F.col(value).alias("new_n"))
+    joined = left.unionByName(right).groupBy(*key).agg(F.max("old_n").alias("old_n"), F.max("new_n").alias("new_n"))
     old, new = F.coalesce("old_n", F.lit(0)), F.coalesce("new_n", F.lit(0))
     return joined.select(*key, old.alias("old_n"), new.alias("new_n"), (new - old).alias("difference"))
 

@@ -151,7 +151,6 @@ def stratified_selection(df: DataFrame, plan: dict, id_col: str = "id", seed: in
     [{name, lo, hi, targets{source: n}}], ``positive_share``.  Every draw is a seeded hash order.
     """
     spark_map = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    df = cut_lineage(df)  # narrow, and read by every block below
     forced = df.where("forced").withColumn("section", F.lit("forced"))
     pool = df.where("NOT forced")
 
@@ -160,9 +159,9 @@ def stratified_selection(df: DataFrame, plan: dict, id_col: str = "id", seed: in
     have = block.where("positive").groupBy("source").agg(F.count(F.lit(1)).alias("np"))
     need = block.where("NOT positive").join(have, "source", "left").withColumn(
         "take", F.greatest(F.coalesce(F.try_element_at(spark_map(early["targets"]), F.col("source")), F.lit(0)) - F.coalesce("np", F.lit(0)), F.lit(0)))
-    picked = cut_lineage(block.where("positive").unionByName(sample_up_to(need, "take", "source", id_col, seed, early["total"]).drop("np", "take")))
+    picked = cut_lineage(block.where("positive").unionByName(sample_up_to(need, "take", "source", id_col, seed).drop("np", "take")))
     short = F.greatest(F.lit(early["total"]) - one_value(picked, F.count(F.lit(1))), F.lit(0))
-    refill = sample_up_to(exclude(block, picked, id_col).withColumn("take", short), "take", (), id_col, seed + 1, early["total"]).drop("take")
+    refill = sample_up_to(exclude(block, picked, id_col).withColumn("take", short), "take", (), id_col, seed + 1).drop("take")
     first = union_all(picked, refill).withColumn("section", F.lit("early"))
 
     parts = []
@@ -176,53 +175,54 @@ def stratified_selection(df: DataFrame, plan: dict, id_col: str = "id", seed: in
     sizes = late.groupBy(*key, "pattern", "need").agg(F.count(F.lit(1)).alias("n"))
     totals = sizes.groupBy(*key).agg(F.sum("n").alias("n_all"))
     sizes = sizes.join(totals, key).select(*key, "pattern", F.bround(F.col("n") / F.col("n_all") * F.col("need"), 0).cast("int").alias("take"))
-    late = sample_up_to(late.join(sizes, [*key, "pattern"]), "take", [*key, "pattern"], id_col, seed + 2, plan["total"])
+    late = sample_up_to(late.join(sizes, [*key, "pattern"]), "take", [*key, "pattern"], id_col, seed + 2)
     # arrival order of the section: positives first, then years, patterns and hash; cut at the target
     # (a section holds at most years x target rows here, so the ordered pass is bounded by the plan)
     order = W.partitionBy("section", "source").orderBy(F.desc("positive"), "year", "pattern", hash_order(id_col, seed + 2), id_col)
     late = late.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= F.col("target")).drop("__r", "target", "need", "take")
 
     rest = union_all(first, late)
-    room = F.greatest(F.lit(plan["total"]) - one_value(forced, F.count(F.lit(1))), F.lit(0))
-    rest = sample_up_to(rest.withColumn("take", room), "take", (), id_col, seed + 3, plan["total"]).drop("take")
+    room = F.lit(plan["total"]) - one_value(forced, F.count(F.lit(1)))
+    fits = F.when(room >= 0, room).otherwise(F.raise_error(F.lit("the forced stratum is larger than the whole selection")))
+    forced = forced.where(fits >= 0)
+    rest = sample_up_to(rest.withColumn("take", fits), "take", (), id_col, seed + 3).drop("take")
     return union_all(forced, rest)
 
 
-def allocate_quotas(strata: dict[str, tuple[int, int, int]], share: float) -> dict[str, int]:
-    """Positives per stratum from (target, available positive, available negative).
+def allocate_quotas(strata: DataFrame, stratum: str, share: float) -> DataFrame:
+    """Positives per stratum (``quota``) from ``target``, ``pos`` and ``neg`` available.
 
-    Arithmetic over a handful of strata: proportional quotas capped by what exists, then single
-    genomes moved to the strata with most room until the pooled share is met.
+    A stratum first gets its proportional number within what exists.  The difference to the pooled
+    share is then levelled: room is taken from the strata with most room down to a common level,
+    which follows from cumulative sums over the strata ordered by room.  What the level leaves over
+    in whole genomes falls on the last names.  The job fails if a stratum has fewer genomes than its
+    target, or the pooled share cannot be met.
     """
-    low = {k: max(0, t - neg) for k, (t, _, neg) in strata.items()}
-    high = {k: min(t, pos) for k, (t, pos, _) in strata.items()}
-    if any(low[k] > high[k] for k in strata):
-        raise ValueError("a stratum has fewer genomes than its target")
-    quota = {k: min(max(round(t * share), low[k]), high[k]) for k, (t, _, _) in strata.items()}
-    gap = round(sum(t for t, _, _ in strata.values()) * share) - sum(quota.values())
-    bound, step = (high, 1) if gap > 0 else (low, -1)
-    for _ in range(abs(gap)):
-        room = {k: abs(bound[k] - quota[k]) for k in strata}
-        best = max(strata, key=lambda k: (room[k], k))
-        if room[best] == 0:
-            raise ValueError("pooled share cannot be met with the available genomes")
-        quota[best] += step
-    return quota
+    low, high = F.greatest(F.lit(0), F.col("target") - F.col("neg")), F.least("target", "pos")
+    own = F.least(F.greatest(F.bround(F.col("target") * share, 0).cast("bigint"), low), high)
+    own = F.when(low <= high, own).otherwise(F.raise_error(F.lit("a stratum has fewer genomes than its target")))
+    d = strata.withColumn("start", own)
+    every = W.partitionBy()
+    d = d.withColumn("gap", F.bround(F.sum("target").over(every) * share, 0).cast("bigint") - F.sum("start").over(every))
+    d = d.withColumn("room", F.when(F.col("gap") >= 0, high - F.col("start")).otherwise(F.col("start") - low))
+    by_room = W.orderBy(F.desc("room"), stratum).rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumns({"i": F.count(F.lit(1)).over(by_room), "left": F.sum("room").over(by_room) - F.abs("gap")})
+    # the strata above the common level are the longest head in which each has more room than the level
+    d = d.withColumn("head", F.max(F.when(F.col("room") * F.col("i") > F.col("left"), F.struct("i", "left"))).over(every))
+    each, over = F.floor(F.col("head.left") / F.col("head.i")), F.pmod("head.left", "head.i")
+    in_head = F.col("i") <= F.col("head.i")
+    name_rank = F.row_number().over(W.partitionBy("in_head").orderBy(stratum))
+    d = d.withColumn("in_head", F.coalesce(in_head, F.lit(False))).withColumn("keeps", name_rank <= over)
+    after = F.when(F.col("in_head") & (F.col("gap") != 0), each + F.col("keeps").cast("int")).otherwise(F.col("room"))
+    after = F.when(F.sum("room").over(every) >= F.abs("gap"), after).otherwise(F.raise_error(F.lit("the pooled share cannot be met with the available genomes")))
+    return d.select(stratum, "target", (F.col("start") + F.signum("gap").cast("bigint") * (F.col("room") - after)).alias("quota"))
 
 
 def quota_selection(df: DataFrame, targets: DataFrame, stratum: str, positive: str, share: float = 0.8, id_col: str = "id", seed: int = 1) -> DataFrame:
-    """Sample each stratum to its target with a pooled share of positives.
-
-    The strata are few (period × source); their counts are the only rows that reach the driver.
-    """
+    """Sample each stratum to its target with a pooled share of positives."""
     avail = df.join(targets, stratum).groupBy(stratum).agg(
         F.first("target").alias("target"), F.count_if(F.col(positive)).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
-    strata = {r[stratum]: (r["target"], r["pos"], r["neg"]) for r in avail.limit(10001).collect()}
-    if len(strata) > 10000:
-        raise ValueError("quota selection expects a short list of strata")
-    quota = allocate_quotas(strata, share)
-    takes = [(k, flag, int(q if flag else strata[k][0] - q)) for k, q in quota.items() for flag in (True, False)]
-    plan = df.sparkSession.createDataFrame(takes, f"{stratum} string, {positive} boolean, take int")
-    # the plan has two rows per stratum, at most 20,000
-    return sample_up_to(df.join(F.broadcast(plan), [stratum, positive]), "take", [stratum, positive], id_col, seed,
-                        max((t[2] for t in takes), default=0)).drop("take")
+    quota = allocate_quotas(avail, stratum, share)
+    rows = F.array(F.struct(F.lit(True).alias(positive), F.col("quota").alias("take")), F.struct(F.lit(False).alias(positive), (F.col("target") - F.col("quota")).alias("take")))
+    plan = quota.select(stratum, F.inline(rows))
+    return sample_up_to(df.join(plan, [stratum, positive]), "take", [stratum, positive], id_col, seed).drop("take")

@@ -258,17 +258,22 @@ def _(q):
 
 def _selection_input(q):
     c = q.cohort
-    return c.select(F.col("run").alias("id"), F.coalesce("year", F.lit(1995)).alias("year"), F.col("region").alias("source"), (F.size("markers") > 0).alias("positive"),
+    return c.where("year IS NOT NULL").select(F.col("run").alias("id"), "year", F.col("region").alias("source"), (F.size("markers") > 0).alias("positive"),
                     F.col("status").alias("pattern"), (F.col("segment") == "FURNITURE").alias("forced"))
 
 
-PLAN = {"total": 6000, "positive_share": 0.7, "early": {"before": 1997, "total": 1000, "targets": {"ASIA": 500, "AFRICA": 300, "EUROPE": 200}},
-        "late": [{"name": "1997-1998", "lo": 1997, "hi": 1998, "targets": {"ASIA": 200, "AFRICA": 150}}, {"name": "1999-2001", "lo": 1999, "hi": 2001, "targets": {"ASIA": 300, "EUROPE": 100}}]}
+def _plan(pool: int) -> dict:
+    """Sizes of the plan in parts of the pool."""
+    part = lambda x: max(1, pool * x // 1000)
+    return {"total": part(400), "positive_share": 0.7, "early": {"before": 1997, "total": part(70), "targets": {"ASIA": part(35), "AFRICA": part(20), "EUROPE": part(15)}},
+            "late": [{"name": "1997-1998", "lo": 1997, "hi": 1998, "targets": {"ASIA": part(14), "AFRICA": part(10)}},
+                     {"name": "1999-2001", "lo": 1999, "hi": 2001, "targets": {"ASIA": part(20), "EUROPE": part(7)}}]}
 
 
 @query("stratified_selection", "T16")
 def _(q):
-    return resampling.stratified_selection(_selection_input(q), PLAN).select("id", "section", "year", "source", "positive")
+    pool = _selection_input(q)
+    return resampling.stratified_selection(pool, _plan(pool.count())).select("id", "section", "year", "source", "positive")
 
 
 @query("quota_selection", "T17", """

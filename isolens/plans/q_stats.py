@@ -182,9 +182,9 @@ def _(q):
 
 @query("gene_definers", "T2", f"""
 WITH {_GENE_GRID}, tables AS (SELECT gene, lineage, k AS a, n - k AS b, k_all - k AS c, n_all - n - k_all + k AS d, n, n_all FROM grid), {_FISHER}, tp AS (SELECT tables.*, p FROM tables JOIN fs USING (a, b, c, d)), {_bh_sql('lineage')}
-SELECT gene, lineage FROM bh WHERE fdr <= 0.05 AND 100.0 * a / n >= 80 AND 100.0 * c / (n_all - n) <= 5""")
+SELECT gene, lineage FROM bh WHERE fdr <= 0.05 AND 100.0 * a / n >= 90 AND 100.0 * c / (n_all - n) <= 5""")
 def _(q):
-    return enrichment.definers(enrichment.fisher_vs_rest(_gene_grid(q), "lineage"), 80.0, enrichment.GENE_OUT).select("gene", "lineage")
+    return enrichment.definers(enrichment.fisher_vs_rest(_gene_grid(q), "lineage"), enrichment.GENE_IN, enrichment.GENE_OUT).select("gene", "lineage")
 
 
 _PAIRS = "tables AS (SELECT x.gene, x.lineage AS group1, y.lineage AS group2, x.k AS a, x.n - x.k AS b, y.k AS c, y.n - y.k AS d FROM grid x JOIN grid y ON x.gene = y.gene AND x.lineage < y.lineage)"
@@ -252,19 +252,21 @@ def _omnibus(q):
     return enrichment.bh(enrichment.chi2_omnibus(_eligible(q), "symbol", monte_carlo=False), "p", ())
 
 
+_OMNIBUS_BH = f"tp AS (SELECT symbol, {_CHI_P.replace('round(', '(').replace(', 6)', ')')} AS p FROM ch), " + _bh_sql("1").replace("PARTITION BY 1, p", "PARTITION BY p").replace("PARTITION BY 1 ", "").replace("PARTITION BY 1", "")
+
+
 @query("bh", "T9", f"""
-WITH {_EL_GRID}, tp AS (SELECT symbol, {_CHI_P.replace('round(', '(').replace(', 6)', ')')} AS p FROM ch), {_bh_sql('1').replace('PARTITION BY 1, p', 'PARTITION BY p').replace('PARTITION BY 1 ', '').replace('PARTITION BY 1', '')} SELECT symbol, CASE WHEN fdr IS NOT NULL THEN round(greatest(fdr, 0), 6) END AS fdr FROM rs LEFT JOIN bh USING (symbol)""")
+WITH {_EL_GRID}, {_OMNIBUS_BH} SELECT symbol, CASE WHEN fdr IS NOT NULL THEN round(greatest(fdr, 0), 6) END AS fdr FROM rs LEFT JOIN bh USING (symbol)""")
 def _(q):
     return rounded(_omnibus(q).select("symbol", "fdr"), "fdr")
 
 
-_EL_PAIRS = """sg AS (SELECT symbol FROM ch WHERE chi2 > 40), tables AS (SELECT x.symbol, x.lineage AS group1, y.lineage AS group2, x.k AS a, x.n - x.k AS b, y.k AS c, y.n - y.k AS d FROM ok x JOIN ok y ON x.symbol = y.symbol AND x.lineage < y.lineage WHERE x.symbol IN (FROM sg))"""
+_EL_PAIRS = _OMNIBUS_BH + """, sg AS (SELECT symbol FROM bh WHERE fdr <= 0.05), tables AS (SELECT x.symbol, x.lineage AS group1, y.lineage AS group2, x.k AS a, x.n - x.k AS b, y.k AS c, y.n - y.k AS d FROM ok x JOIN ok y ON x.symbol = y.symbol AND x.lineage < y.lineage WHERE x.symbol IN (FROM sg))"""
 _HOLM = """ho AS (SELECT *, least(1, max(p * (m - r + 1)) OVER (PARTITION BY symbol ORDER BY r)) AS p_holm FROM (SELECT tables.*, p, row_number() OVER (PARTITION BY symbol ORDER BY p, group1, group2) AS r, count(*) OVER (PARTITION BY symbol) AS m FROM tables JOIN fs USING (a, b, c, d)))"""
 
 
 def _posthoc(q):
-    om = enrichment.chi2_omnibus(_eligible(q), "symbol", monte_carlo=False)
-    return enrichment.pairwise_posthoc(om.withColumn("q", F.when(F.col("chi2") > 40, 0.0).otherwise(1.0)), "symbol", fdr="q")
+    return enrichment.pairwise_posthoc(_omnibus(q), "symbol")
 
 
 @query("holm", "T10", f"WITH {_EL_GRID}, {_EL_PAIRS}, {_FISHER}, {_HOLM} SELECT symbol, group1, group2, {NL.format('p')} AS p, {NL.format('p_holm')} AS p_holm, {_OR} AS odds_ratio FROM ho")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isolens.functions import classify, dates, markers, sequence, text
-from isolens.operators import pangenome, quality, ranking, relations, reports, reshape, resampling, tree
+from isolens.operators import enrichment, pangenome, quality, ranking, relations, reports, reshape, resampling, tree
 
 
 def test_null_keys_match(spark):
@@ -154,3 +154,21 @@ def test_marker_frequency_without_susceptible(spark):
     df = spark.createDataFrame([("a", ["m"]), ("b", ["m", "k"])], "id string, m array<string>")
     got = {r.marker: (r.n_isolates, r.n_total) for r in reports.marker_frequency(df, "id", "m").collect()}
     assert got == {"m": (2, 2), "k": (1, 2), "Q/FQ-susceptible": (0, 2)}
+
+
+def test_labels_are_clean(spark):
+    """Null labels, repeated label rows and samples without hits: counts and totals agree."""
+    groups = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("c", None), ("d", "y"), ("e", "z")], "sample string, lineage string")
+    calls = spark.createDataFrame([("a", "g"), ("a", "g"), ("b", "g"), ("c", "g"), ("d", "h"), (None, "h"), ("q", "k")], "sample string, gene string")
+    fc = {(r.gene, r.lineage): (r.k, r.k_all) for r in enrichment.feature_counts(calls, groups, "sample", "gene", "lineage").collect()}
+    assert fc == {("g", "x"): (2, 2), ("h", "y"): (1, 1)}
+    assert {r.lineage: (r.n, r.n_all) for r in enrichment.group_totals(groups, "lineage").collect()} == {"x": (2, 4), "y": (1, 4), "z": (1, 4)}
+    pan = {r.lineage: (r.genomes, r.total_genes, r.core, r.cloud) for r in pangenome.pangenome_summary(calls, groups, "sample", "gene", "lineage").collect()}
+    assert pan == {"x": (2, 1, 1, 2), "y": (1, 1, 1, 2), "z": (1, 0, 0, 3)}
+
+
+def test_compare_counts_null_keys(spark):
+    a = spark.createDataFrame([(None, 3), ("x", 1)], "k string, n long")
+    b = spark.createDataFrame([(None, 5), ("y", 2)], "k string, n long")
+    got = {r.k: (r.old_n, r.new_n, r.difference) for r in relations.compare_counts(a, b, "k").collect()}
+    assert got == {None: (3, 5, 2), "x": (1, 0, -1), "y": (0, 2, 2)}

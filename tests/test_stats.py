@@ -55,12 +55,11 @@ def bh_numpy(p):
     return out
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_bh_both_paths(spark, limit):
+def test_bh(spark):
     rng = np.random.default_rng(3)
     rows = [(i, g, float(p)) for g in ("a", "b") for i, p in enumerate(np.round(rng.uniform(0, 1, 400) ** 6, 4))]
     rows += [(1000, "a", None), (1001, "c", 0.2)]
-    got = enrichment.bh(spark.createDataFrame(rows, "i int, g string, p double"), "p", "g", limit=limit).toPandas()
+    got = enrichment.bh(spark.createDataFrame(rows, "i int, g string, p double"), "p", "g").toPandas()
     assert got[got.i == 1000].fdr.isna().all()
     assert got[got.g == "c"].fdr.iloc[0] == 0.2
     for g in ("a", "b"):
@@ -116,13 +115,27 @@ def test_bootstrap_and_permutation(spark):
     assert len(pair) == 1 and pair[0].p_bh == pair[0].p
 
 
-def test_allocate_quotas():
-    q = resampling.allocate_quotas({"a": (100, 70, 100), "b": (50, 50, 50), "c": (10, 10, 2)}, 0.8)
-    assert q == {"a": 70, "b": 49, "c": 9}
-    with pytest.raises(ValueError):
-        resampling.allocate_quotas({"a": (100, 60, 100), "b": (50, 50, 50)}, 0.8)
-    with pytest.raises(ValueError):
-        resampling.allocate_quotas({"a": (10, 2, 3)}, 0.5)
+def test_allocate_quotas(spark):
+    def quotas(rows, share):
+        d = spark.createDataFrame(rows, "s string, target long, pos long, neg long")
+        return {r.s: r.quota for r in resampling.allocate_quotas(d, "s", share).collect()}
+
+    assert quotas([("a", 100, 70, 100), ("b", 50, 50, 50), ("c", 10, 10, 2)], 0.8) == {"a": 70, "b": 49, "c": 9}
+    assert quotas([("a", 100, 90, 90), ("b", 50, 50, 50)], 0.8) == {"a": 80, "b": 40}
+    # too few positives in one stratum: those with most room are levelled
+    got = quotas([("a", 100, 40, 100), ("b", 100, 95, 90), ("c", 60, 60, 60), ("d", 30, 25, 30)], 0.7)
+    assert sum(got.values()) == 203 and got["a"] == 40 and got["b"] <= 95 and got["d"] <= 25
+    with pytest.raises(Exception, match="pooled share"):
+        quotas([("a", 100, 60, 100), ("b", 50, 50, 50)], 0.8)
+    with pytest.raises(Exception, match="fewer genomes"):
+        quotas([("a", 10, 2, 3)], 0.5)
+
+
+def test_forced_stratum_must_fit(spark):
+    pool = spark.range(40).selectExpr("id", "1998 AS year", "'x' AS source", "id % 2 = 0 AS positive", "'p' AS pattern", "id < 30 AS forced")
+    plan = {"total": 20, "positive_share": 0.5, "early": {"before": 1997, "total": 2, "targets": {"x": 2}}, "late": [{"name": "l", "lo": 1997, "hi": 1999, "targets": {"x": 5}}]}
+    with pytest.raises(Exception, match="forced stratum"):
+        resampling.stratified_selection(pool, plan).collect()
 
 
 def test_definer_gate(spark):
