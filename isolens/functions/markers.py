@@ -67,9 +67,6 @@ def extract_markers(c: Column | str, pattern: str = CALL_PATTERN) -> Column:
     return F.array_distinct(filter_tokens(extract_tokens(c), pattern))
 
 
-def has_marker(c: Column | str, pattern: str = CALL_PATTERN) -> Column:
-    return (F.size(extract_markers(c, pattern)) > 0).cast("int")
-
 
 def pretty_tokens(tokens: Column | str) -> Column:
     """Display forms of an array of tokens: family casing, then the upper-cased part after the first underscore.
@@ -96,10 +93,6 @@ def pretty_markers(c: Column | str, pattern: str = CALL_PATTERN) -> Column:
     return F.array_sort(F.array_distinct(pretty_tokens(extract_markers(c, pattern))))
 
 
-def packed_markers(c: Column | str, sep: str = ";", none: str = "", pattern: str = CALL_PATTERN) -> Column:
-    names = pretty_markers(c, pattern)
-    return F.when(F.size(names) == 0, F.lit(none)).otherwise(F.array_join(names, sep))
-
 
 def assign_pattern(c: Column | str, rules=AMR_PATTERNS, default: str = "others") -> Column:
     text = F.lower(F.coalesce(col(c), F.lit("")))

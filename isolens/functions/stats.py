@@ -135,24 +135,23 @@ def rate_ci(x, n, clamp_hi: bool = True, z: float = 1.96) -> dict[str, Column]:
 
 @F.pandas_udf(T.DoubleType())
 def chi2_sf(x: pd.Series, dof: pd.Series) -> pd.Series:
-    """Upper tail of the chi-square distribution for whole degrees of freedom."""
-    out = np.full(len(x), np.nan)
-    for i, (v, k) in enumerate(zip(x.to_numpy(dtype=float), dof.to_numpy(dtype=float))):
-        if np.isnan(v) or np.isnan(k) or k < 1:
-            continue
-        h, k = v / 2.0, int(k)
-        if k % 2 == 0:
-            term, total = 1.0, 1.0
-            for j in range(1, k // 2):
-                term *= h / j
-                total += term
-            out[i] = math.exp(-h) * total
-        else:
-            total, term = 0.0, math.sqrt(h) / math.gamma(1.5)
-            for j in range(1, (k - 1) // 2 + 1):
-                total += term
-                term *= h / (j + 0.5)
-            out[i] = math.erfc(math.sqrt(h)) + math.exp(-h) * total
+    """Upper tail of the chi-square distribution for whole degrees of freedom.
+
+    The tail is a finite series in x / 2 (plus an error function for odd degrees), summed in logs for
+    all rows with the same degrees at once, so a huge statistic gives 0 and never overflows.
+    """
+    v, k = x.to_numpy(dtype=float), dof.to_numpy(dtype=float)
+    out = np.full(len(v), np.nan)
+    for d in np.unique(k[(k >= 1) & ~np.isnan(v)]):
+        at = np.flatnonzero((k == d) & ~np.isnan(v))
+        h, odd = np.maximum(v[at], 0) / 2.0, int(d) % 2
+        steps = np.arange(int(d) // 2) + odd / 2
+        # log gamma of each step + 1, from the recurrence
+        log_gamma = np.concatenate([[math.lgamma(1 + odd / 2)], math.lgamma(1 + odd / 2) + np.cumsum(np.log(steps[1:]))]) if len(steps) else np.zeros(0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            terms = np.where(steps == 0, 0.0, steps * np.log(h)[:, None]) - log_gamma - h[:, None]
+        tail = np.exp(terms).sum(axis=1) + (np.array([math.erfc(math.sqrt(y)) for y in h]) if odd else 0.0)
+        out[at] = np.minimum(1.0, tail)
     return pd.Series(out)
 
 

@@ -33,11 +33,6 @@ def clean_na(c: Column | str, tokens=NA_TOKENS) -> Column:
     return F.when(~F.lower(s).isin(*tokens), s)
 
 
-def blank_to(c: Column | str, label: str) -> Column:
-    """The squished value, or ``label`` when it is null or blank."""
-    s = clean_text(c)
-    return F.when(s == "", F.lit(label)).otherwise(s)
-
 
 def normalize_id(
     c: Column | str,
@@ -94,8 +89,3 @@ def gene_class(c: Column | str, locus_pattern: str = r"^SEN_RS\d+$") -> Column:
         .when(s.rlike(locus_pattern), F.lit("Locus_tag_like"))
         .otherwise(F.lit("Named_gene"))
     )
-
-
-def gene_key(c: Column | str) -> Column:
-    """Lower-cased, squished gene name used as a join key."""
-    return F.lower(clean_text(c))

@@ -55,11 +55,15 @@ def one_value(df: DataFrame, value: Column) -> Column:
 def complete(df: DataFrame, dims: dict[str, Sequence | None], fill: dict) -> DataFrame:
     """Every combination of the dimension values, missing measures filled.
 
-    ``None`` takes the values seen in the (already aggregated) table; a list names them.
+    ``None`` takes the values seen in the (already aggregated) table; a list names them. The first
+    seen dimension stays a distributed table, to whose rows the values of the others are exploded,
+    so all but one of them should be short.
     """
-    grid = df.sparkSession.range(1)
-    for name, values in dims.items():
-        if values is None:
+    grid = None
+    for name, values in sorted(dims.items(), key=lambda d: d[1] is not None):
+        if grid is None:
+            grid = df.select(name).distinct() if values is None else df.sparkSession.createDataFrame([(v,) for v in values], f"{name} {dict(df.dtypes)[name]}")
+        elif values is None:
             # structs keep a null category, which collect_set alone would drop
             seen = one_value(df, F.collect_set(F.struct(F.col(name).alias("v"))))
             grid = grid.withColumn(name, F.explode(seen)).withColumn(name, F.col(name)["v"])

@@ -114,6 +114,11 @@ def _observed(per_group: DataFrame, group: str, which: int) -> DataFrame:
     return per_group.select("*", run(_counts("pats"), _patterns("pats")).alias("q"))
 
 
+def _reaches(drawn: str, observed: str) -> Column:
+    """Drawn statistic as large as the observed one; the two are summed in different orders, so ties allow for rounding."""
+    return F.col(drawn) >= F.col(observed) - 1e-9 * F.greatest(F.lit(1.0), F.abs(observed))
+
+
 def permutation_hill(patterns: DataFrame, group: str, q: int = 1, n_perm: int = 2000, seed: int = 101) -> DataFrame:
     """Global test: range of the Hill number over groups against permuted group labels (one row)."""
     obs = _observed(_packed(patterns, group), group, q).agg(F.max("q") - F.min("q"))
@@ -122,7 +127,7 @@ def permutation_hill(patterns: DataFrame, group: str, q: int = 1, n_perm: int =
     run = _permute(seed, q, lambda v: v.max(axis=0) - v.min(axis=0))
     d = spread(pool.withColumn("ns", sizes.scalar()).select("pats", "ns", _blocks(n_perm).alias("blk")))
     s = d.select(F.explode(run(_counts("pats"), _patterns("pats"), "ns", "blk.start", "blk.size")).alias("s")).withColumn("obs_stat", obs.scalar())
-    return s.groupBy("obs_stat").agg(F.avg((F.col("s") >= F.col("obs_stat")).cast("double")).alias("p")).select(F.lit(f"q{q}").alias("metric"), "obs_stat", "p")
+    return s.groupBy("obs_stat").agg(F.avg(_reaches("s", "obs_stat").cast("double")).alias("p")).select(F.lit(f"q{q}").alias("metric"), "obs_stat", "p")
 
 
 def permutation_hill_pairs(patterns: DataFrame, group: str, q: int = 1, n_perm: int = 2000, seed: int = 201) -> DataFrame:
@@ -136,7 +141,7 @@ def permutation_hill_pairs(patterns: DataFrame, group: str, q: int = 1, n_perm:
     run = _permute(seed, q, lambda v: np.abs(v[0] - v[1]))
     d = spread(pairs.select("*", _blocks(n_perm).alias("blk")))
     s = d.select("group1", "group2", "obs_diff", F.explode(run(_counts("pats"), _patterns("pats"), "ns", "blk.start", "blk.size")).alias("s"))
-    out = s.groupBy("group1", "group2", "obs_diff").agg(F.avg((F.col("s") >= F.col("obs_diff")).cast("double")).alias("p"))
+    out = s.groupBy("group1", "group2", "obs_diff").agg(F.avg(_reaches("s", "obs_diff").cast("double")).alias("p"))
     return bh(out.withColumn("metric", F.lit(f"q{q}")), "p", (), "p_bh")
 
 

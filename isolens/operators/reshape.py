@@ -68,11 +68,6 @@ def with_runs(groups: DataFrame, label: str, schemes: dict[str, dict] = SCHEMES,
                       F.col("__r.mode").alias("mode"), F.col("__r.run_label").alias(label))
 
 
-def with_scenarios(df: DataFrame, flag: str, names=("all_snps", "vertical_only")) -> DataFrame:
-    """Rows of every scenario: all rows, and again those not flagged."""
-    labels = F.when(F.col(flag), F.array(F.lit(names[0]))).otherwise(F.array(*[F.lit(n) for n in names]))
-    return df.withColumn("scenario", F.explode(labels))
-
 
 def canonical_slice(df: DataFrame, specs: Sequence[dict[str, object]]) -> DataFrame:
     """Rows that belong to the published combination of runs: one filter per part, read in one pass."""
@@ -147,4 +142,3 @@ def prefix_columns(df: DataFrame, keys, prefix: str) -> DataFrame:
 
 def coverage_wide(long: DataFrame, keys, bins: Sequence[str], name: str = "coverage_bin", value: str = "n") -> DataFrame:
     return to_wide(long, keys, name, value, bins)
-

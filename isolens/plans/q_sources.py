@@ -88,10 +88,10 @@ def _(q):
 
 
 @query("read_reports", "S7", """
-SELECT 'SRR' || CAST(o_custkey AS VARCHAR) AS sample, count(*) AS n_rows FROM {orders} WHERE o_orderstatus = 'P' GROUP BY o_custkey""")
+SELECT 'SRR' || CAST(o_custkey AS VARCHAR) AS sample, count(*) AS n_rows FROM {orders} GROUP BY o_custkey""")
 def _(q):
-    o = q("orders").where("o_orderstatus = 'P'")
-    path = F.concat(F.lit("s3a://reports/run1/SRR"), F.col("o_custkey").cast("string"), F.lit("_vfdb.tsv"))
+    o = q("orders")
+    path = F.concat(F.lit("/reports/run1/SRR"), F.col("o_custkey").cast("string"), F.lit("_vfdb.tsv"))
     return o.select(tables.sample_of_path(path).alias("sample")).groupBy("sample").agg(F.count(F.lit(1)).alias("n_rows"))
 
 

@@ -15,8 +15,8 @@ def write_both(df: DataFrame, base: str, mode: str = "overwrite") -> None:
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "overwrite") -> None:
-    """Parquet in ``by=value`` folders, one file per folder where it fits; read back with pruning."""
-    df.repartition(*by).write.mode(mode).partitionBy(*by).parquet(path)
+    """Parquet in ``by=value`` folders; small folders get one file, a hot one is split over many tasks."""
+    df.hint("rebalance", *by).write.mode(mode).partitionBy(*by).parquet(path)
 
 
 def write_text(df: DataFrame, path: str, mode: str = "overwrite") -> None:
