@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import enrichment, pangenome, ranking, relations, reports, resampling
+from ..operators import enrichment, pangenome, ranking, relations, reports, resampling, reshape
 from .q_clean import RUNS_SQL
 from .q_reports import CATS, LINEAGES, marker_indicators
 from .registry import query, rounded
@@ -108,6 +108,16 @@ def _(q):
     return enrichment.definer_bins(t, "lineage", totals)
 
 
+_WIDE = ", ".join(f"CAST(max(CASE coverage_bin WHEN '{b}' THEN definers END) AS BIGINT) AS \"{b}\"" for b in enrichment.COVERAGE_BINS)
+
+
+@query("definer_bins_wide", "G33", _VAR + f"SELECT lineage, {_WIDE} FROM ({_BINS_SQL}) GROUP BY 1")
+def _(q):
+    t, totals = _tested(q)
+    long = enrichment.definer_bins(t, "lineage", totals)
+    return reshape.coverage_wide(long, "lineage", list(enrichment.COVERAGE_BINS), value="definers")
+
+
 _RUN_GRID = RUNS_SQL + """, v AS (SELECT sample, pos, ref, alt, bool_and(EXISTS (SELECT 1 FROM {intervals} i WHERE i.sample = x.sample AND x.pos BETWEEN i.start_pos AND i.end_pos)) AS masked FROM {variants} x GROUP BY ALL),
 vs AS (SELECT 'all_snps' AS scenario, * FROM v UNION ALL SELECT 'vertical_only', * FROM v WHERE NOT masked),
 fc AS (SELECT scheme, mode, scenario, pos, ref, alt, lineage, count(*) AS k FROM vs JOIN runs USING (sample) GROUP BY ALL),
