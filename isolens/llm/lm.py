@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import save, text_of
 
-CLASSES = 32
+CLASSES = 16
 SEATS = 32  # per class: frequent words with a seat of their own; the last seat stands for all others
 FEATURES = 1 << 14
 HEAVY = 1 << 16
@@ -87,11 +88,13 @@ def _start(words: DataFrame) -> Model:
             class_v[k] -= 1
         codes[w] = (k * SEATS + seat) << 20 | rank
     seat_n[:, OTHER] = class_n
+    free = np.arange(SEATS) >= taken[:, None]
+    free[:, OTHER] = False
     prior = mass[:, 0] + 1.0
     return Model(
         codes, np.log10(counts + 1.0), np.log10(class_n + class_v + 1), np.zeros((FEATURES, CLASSES), np.float32),
         np.zeros((FEATURES, SEATS), np.float32), np.log(prior / prior.sum()).astype(np.float32),
-        np.log((seat_n + 0.5) / (seat_n + 0.5).sum(axis=1, keepdims=True)).astype(np.float32))
+        np.where(free, -60, np.log((seat_n + 0.5) / ((seat_n + 0.5) * ~free).sum(axis=1, keepdims=True))).astype(np.float32))
 
 
 def _class_masses(words: DataFrame) -> np.ndarray:
@@ -162,8 +165,7 @@ def _batches(texts: Iterator[str], table: _Codes) -> Iterator[tuple[list[list[by
 
 
 def _coded(group: list[list[bytes]], size: int, table: _Codes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    get = table.__getitem__
-    codes = np.fromiter((get(w) for doc in group for w in doc), np.int64, size)
+    codes = np.fromiter(map(table.__getitem__, chain.from_iterable(group)), np.int64, size)
     return group, codes, np.cumsum([0] + [len(d) for d in group[:-1]])
 
 
@@ -174,7 +176,7 @@ def _step(weights: np.ndarray, square: np.ndarray, rows: np.ndarray, grad: np.nd
     first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
     sums, ids = np.add.reduceat(grad.take(order, axis=0), first, axis=0), sorted_rows[first]
     square[ids] += (sums * sums).mean(axis=1)
-    weights[ids] -= rate / np.sqrt(square[ids] + 1e-6)[:, None] * sums
+    weights[ids] -= rate / np.sqrt(square[ids] + 1)[:, None] * sums  # a row seen once moves little
 
 
 def _train_round(model: Model, texts: DataFrame, rate: float) -> Model:
@@ -268,7 +270,10 @@ def score(docs: DataFrame, words: DataFrame, model: Model) -> DataFrame:
                 count_log = np.where(heavy, model.log_count[codes & 0xFFFFF * heavy], 0.0) if len(model.log_count) else np.zeros(len(codes))
                 shared = seat == OTHER
                 logs[shared] += count_log[shared] - model.other_log[cls[shared]]
-                rare = [dict(Counter(w for w, k in zip(doc, codes[a:a + len(doc)]) if k < 0)) for doc, a in zip(group, starts)]
+                words_here, at_rare = list(chain.from_iterable(group)), np.flatnonzero(~heavy)
+                ends = np.searchsorted(at_rare, np.append(starts, len(codes)))
+                rare_words = [words_here[i] for i in at_rare]
+                rare = [Counter(rare_words[a:b]) for a, b in zip(ends, ends[1:])]
                 out = pd.DataFrame({
                     "doc_id": f["doc_id"].iloc[done:done + len(group)].array, "n_tokens": [len(d) for d in group],
                     "heavy": np.add.reduceat(heavy.astype(np.int64), starts), "base": np.add.reduceat(count_log, starts),
