@@ -72,10 +72,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int =
     found = hits.join(seeds, ["mask", "hash"]).select(*key, "item_id", "item", diagonal).distinct()
     found = save(found.groupBy(*key).agg(F.collect_list(F.struct("item_id", "item", "shift")).alias("found")), "found")
 
-    renamed = found.select(*[F.col(c).alias(f"f_{c}") for c in key], "found")
-    on = [coded[c].eqNullSafe(renamed[f"f_{c}"]) if c == "doc_id" else coded[c] == renamed[f"f_{c}"] for c in key]
+    # whole texts meet their hits by key, with one plan for all sizes; only texts with hits are tokenised again
+    renamed = found.select(*[F.col(c).alias(f"f_{c}") for c in key], "found").hint("merge")
+    plain = texts.select("doc_id", "k.*", "text")
+    on = [plain[c].eqNullSafe(renamed[f"f_{c}"]) if c == "doc_id" else plain[c] == renamed[f"f_{c}"] for c in key]
+    both = plain.join(renamed, on).select(*key, token_codes(F.col("text")).alias("codes"), "found")
     # the part of the text that the item covers when it is laid along the diagonal
-    both = coded.join(renamed, on).select(*key, F.expr("""transform(found, x -> struct(x.item_id AS item_id, x.item AS item, x.shift AS shift,
+    both = both.select(*key, F.expr("""transform(found, x -> struct(x.item_id AS item_id, x.item AS item, x.shift AS shift,
         slice(codes, greatest(0, x.shift) + 1, size(x.item) - greatest(0, -x.shift)) AS lain))""").alias("found"))
     one = both.select(*key, F.explode("found").alias("x")).select(*key, "x.*").distinct()
     own = F.slice("item", F.greatest(F.lit(0), -F.col("shift")) + 1, F.size("lain"))
