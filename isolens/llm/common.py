@@ -23,16 +23,24 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage with a copy that outlives executors; the folder is deleted when the
-    driver ends.
+    driver ends. The shuffle files behind it are of no more use, so the driver is asked to collect
+    its garbage, which makes executors delete them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent_if_small(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """``df`` saved, and marked for broadcast if it has at most ``rows`` rows; larger ones are shuffled."""
+    df = save(df, name)
+    return F.broadcast(df) if df.count() <= rows else df.hint("merge")
+
+
 def text_of(name: str = "text") -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, save, text_key, text_of
+from .common import BLANKS, save, sent_if_small, text_key, text_of
 
 BUCKETS = 1 << 20
 CODE_BITS = 47
 KEY = ["doc_id", "h1", "h2", "n"]
+#: Lists of lines per document go to the texts if they are for at most so many documents (some 100 bytes each), else both are shuffled.
+BROADCAST_DOCS = 500_000
 
 
 def _codes(line: Column) -> Column:
@@ -25,9 +27,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _rarity(docs: DataFrame) -> Column:
     """Scalar array: for each bucket of codes, its place on a logarithmic scale of frequency (0: one token or none)."""
-    texts = docs.select(F.split(F.lower(text_of()), r"\n").alias("lines"))
-    each = texts.select(F.explode("lines").alias("line")).select(F.explode(_codes(F.col("line"))).alias("code"))
-    counts = each.groupBy(F.pmod("code", F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
+    tokens = docs.select(F.explode(F.split(F.lower(text_of()), BLANKS)).alias("token"))
+    counts = tokens.groupBy(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(0, BUCKETS, 1, 8).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
     scale = F.floor(F.log2(F.coalesce("n", F.lit(1)).cast("double")) * 1000).cast("int").alias("r")
     listed = every.agg(F.sort_array(F.collect_list(F.struct("b", scale))).alias("a"))
@@ -49,7 +50,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, crowd: int = 64) -
     if any earlier line matches it. Lines without tokens never match.
 
     Lines with the same set form a class first, so copies cost one row. Tokens are ordered by rarity
-    over all lines (frequencies are counted exactly in 2 ** 20 hash buckets, so the table has a fixed
+    over all lines (all occurrences are counted, in 2 ** 20 hash buckets, so the table has a fixed
     size; ties follow the code, so the order is total and the filters are exact). Classes meet on
     the tokens of their prefixes, pass the length filter and the positional filter, and are then
     compared by their whole sets. For tokens in more than ``crowd`` prefixes, each class is first
@@ -71,9 +72,12 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, crowd: int = 64) -
     alone = 1 << CODE_BITS  # keys below this have a token that occurs once
     by_key = Window.partitionBy("key")
 
-    def entries(of: DataFrame, *more: str) -> DataFrame:
+    half = F.floor(F.col("size") * (1 - t) / (2 * t) + 1e-9)
+
+    def entries(of: DataFrame, *more: str, head: bool = False) -> DataFrame:
         each = of.select("id", "size", *more, F.posexplode("prefix").alias("pos", "key")).where(F.col("key") >= alone)
-        return each.withColumns({"n": F.count("*").over(by_key), "head": F.min(F.struct("id", "size", "pos")).over(by_key)}).where("n > 1")
+        each = each.where(F.col("pos") <= half) if head else each
+        return each.withColumn("n", F.count("*").over(by_key)).where("n > 1")
 
     def may_match(size_a: Column, pos_a: Column, size_b: Column, pos_b: Column) -> Column:
         need = F.ceil((size_a + size_b) * F.lit(t / (1 + t)) - 1e-9)
@@ -81,20 +85,20 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, crowd: int = 64) -
         return (short >= long * t - 1e-9) & (pos_a <= size_a - need) & (pos_b <= size_b - need)
 
     c = F.col
-    crowded = entries(classes).where((c("n") > crowd) & (c("id") != c("head.id")) & may_match(c("size"), c("pos"), c("head.size"), c("head.pos")))
+    crowded = entries(classes, head=True).where(c("n") > crowd).withColumn("head", F.min(F.struct("id", "size", "pos")).over(by_key))
+    crowded = crowded.where((c("id") != c("head.id")) & may_match(c("size"), c("pos"), c("head.size"), c("head.pos")))
     first_try = crowded.select(c("id").alias("b"), c("head.id").alias("a")).distinct()
     found = save(_verify(docs, classes, first_try, t).select("b").distinct(), "matched")
 
-    # a pair is of use if its later class has no match yet, so matched ones meet open ones only
+    # a pair is of use if its later class has no match yet
     open_too = classes.join(found.select(c("b").alias("id"), F.lit(True).alias("done")), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
     each = entries(open_too, "done")
-    left = each.where(c("pos") <= F.floor(c("size") * (1 - t) / (2 * t) + 1e-9)).select("key", *[c(k).alias(f"x_{k}") for k in ("id", "size", "pos", "done")])
+    left = each.where(c("pos") <= half).select("key", *[c(k).alias(f"x_{k}") for k in ("id", "size", "pos", "done")])
     right = each.select("key", *[c(k).alias(f"y_{k}") for k in ("id", "size", "pos", "done")])
     first_pos = (c("x_pos") < c("y_pos")) | ((c("x_pos") == c("y_pos")) & (c("x_id") < c("y_id")))
-    apart = (c("x_id") != c("y_id")) & may_match(c("x_size"), c("x_pos"), c("y_size"), c("y_pos"))
-    one = left.where("not x_done").join(right, "key").where(apart & (first_pos | c("y_done")) & ((c("x_id") > c("y_id")) | ~c("y_done")))
-    two = left.where("x_done").join(right.where("not y_done"), "key").where(apart & (c("x_id") < c("y_id")))
-    pairs = one.unionByName(two).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+    of_use = ~F.when(c("x_id") > c("y_id"), c("x_done")).otherwise(c("y_done"))
+    met = left.join(right, "key").where(first_pos & of_use & (c("x_id") != c("y_id")) & may_match(c("x_size"), c("x_pos"), c("y_size"), c("y_pos")))
+    pairs = met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
     gone = found.union(_verify(docs, classes, pairs, t).select("b")).distinct()
 
     marks = classes.join(gone.withColumnRenamed("b", "id").withColumn("gone", F.lit(True)), "id", "left")
@@ -108,7 +112,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, t: float) ->
     pairs = save(pairs.select("a", "b"), "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = classes.join(ids, "id").select("id", "first.*").groupBy(*KEY).agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))
-    wanted = wanted.select(*[F.col(k).alias(f"w_{k}") for k in KEY], "wanted")
+    wanted = sent_if_small(wanted.select(*[F.col(k).alias(f"w_{k}") for k in KEY], "wanted"), BROADCAST_DOCS, "wanted")
     texts = docs.select("doc_id", text_of().alias("text")).select("doc_id", text_key(F.col("text")).alias("k"), F.lower("text").alias("text")).select("doc_id", "k.*", "text")
     on = [texts[k].eqNullSafe(wanted[f"w_{k}"]) if k == "doc_id" else texts[k] == wanted[f"w_{k}"] for k in KEY]
     rows = texts.join(wanted, on).select(F.split("text", "\n").alias("all"), "wanted")
@@ -122,7 +126,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, t: float) ->
 def _stripped(docs: DataFrame, similarity: float) -> DataFrame:
     """Every row as ``doc``, with its lines ``parts``, the numbers ``gone``, and the text ``kept``."""
     gone = duplicate_lines(docs, similarity).distinct().groupBy(*KEY).agg(F.collect_list("line_no").alias("gone"))
-    gone = gone.select(*[F.col(k).alias(f"g_{k}") for k in KEY], "gone")
+    gone = sent_if_small(gone.select(*[F.col(k).alias(f"g_{k}") for k in KEY], "gone"), BROADCAST_DOCS, "gone")
     packed = docs.select(F.struct("*").alias("doc"), "doc_id", text_key(text_of()).alias("k")).select("doc", "doc_id", "k.*")
     on = [packed[k].eqNullSafe(gone[f"g_{k}"]) if k == "doc_id" else packed[k] == gone[f"g_{k}"] for k in KEY]
     rows = packed.join(gone, on, "left").select("doc", "gone", F.split("doc.text", "\n").alias("parts"))
