@@ -12,7 +12,7 @@ import pytest
 from compare import canonical
 from pyspark.sql import functions as F
 
-from isolens.llm import common, decontaminate, exact_dedup, lm, line_dedup, mixing, pii, queries, simhash, toxicity, url_filter, warc
+from isolens.llm import common, decontaminate, exact_dedup, lm, line_dedup, mixing, pii, queries, shingle_dedup, simhash, toxicity, url_filter, warc
 from isolens.session import ship
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -102,6 +102,55 @@ def test_simhash(docs, rows):
     assert kept.count() == len(set(brute.classes([brute.simhash(t, 5) for _, t in rows])))
 
 
+def shingle_sets(rows):
+    split = [(t or "").encode().lower().split() for _, t in rows]
+    return [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+
+
+def jaccard_classes(sets, t=0.8):
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= t * len(a | b) - 1e-9:
+                parent[root(i)] = root(j)
+    return [root(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("crowd", [1, 8])
+def test_near_dedup_stage(spark, docs, rows, crowd):
+    """Near copies on both sides of a Jaccard similarity of 0.8 against brute force, also where SimHash is over four bits apart."""
+    rng, near = random.Random(11), []
+    shared = prose(rng, 40)
+    for i in range(8):
+        base = prose(rng, 100 if i % 2 else 400).split(" ") + shared.split(" ")
+        for k in range(10):
+            w = list(base)
+            for at in rng.sample(range(len(w)), k * len(w) // 200):
+                w[at] = "other"
+            near.append((1000 + 10 * i + k, " ".join(w)))
+    rows = rows + near
+    sets = shingle_sets(rows)
+    of = jaccard_classes(sets)
+    fps = [brute.simhash(t, 5) for _, t in near]
+    far = sum(len(a & b) >= 0.8 * len(a | b) and bin(fps[i] ^ fps[j]).count("1") > 4 for i, a in enumerate(sets[-80:]) for j, b in enumerate(sets[-80:][:i]))
+    assert far > 20
+    kept = shingle_dedup.keep_one(docs.unionByName(frame(spark, near)), crowd=crowd)
+    assert kept.columns == docs.columns
+    best = {}
+    for (d, t), k in sorted(zip(rows, of), key=lambda x: brute.late(x[0][0])):
+        best.setdefault(k, d)
+    assert counted((r.doc_id,) for r in kept.select("doc_id").collect()) == counted((d,) for d in best.values())
+    # the stage of the pipeline does the same
+    stage = corpus_pipeline.near_dedup(spark, docs.unionByName(frame(spark, near)), SF)
+    assert stage.count() == len(best) < len(set(brute.classes([brute.simhash(t, 5) for _, t in rows])))
+
+
 def test_allocation_is_lossless():
     """Thresholds sum up as the general pigeonhole principle asks, for correlated bits too."""
     rng = np.random.default_rng(1)
