@@ -253,7 +253,7 @@ def _(q):
 def _(q):
     """Finer features (element × status of the order) leave many sparse tables to resample."""
     g = q("groups")
-    hits = q("hits").where("coverage >= 99").withColumn("symbol", F.concat_ws(":", "symbol", "name"))
+    hits = enrichment.presence_filter(q("hits"), "coverage", "identity").withColumn("symbol", F.concat_ws(":", "symbol", "name"))
     grid = enrichment.feature_grid(enrichment.feature_counts(hits, g, "sample", "symbol", "lineage"), enrichment.group_totals(g, "lineage"), "symbol", "lineage")
     return enrichment.chi2_omnibus(enrichment.eligible_groups(grid, "symbol", "lineage", LINEAGES), "symbol").select("symbol", "method", "chi2", "dof", "p", "reason")
 

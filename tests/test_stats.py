@@ -143,3 +143,15 @@ def test_definer_gate(spark):
     got = {r.f: r.p for r in enrichment.hypergeom_enrichment(grid, "g").collect()}
     assert got["f"] is None and got["h"] is None and got["g"] == pytest.approx(sf(9, 30, 10, 10))
     assert enrichment.definers(enrichment.hypergeom_enrichment(grid, "g"), 40, 10).select(F.col("f")).collect()[0].f == "g"
+
+
+def test_montecarlo_covers_all_present_hits(spark):
+    """Every feature that passes the presence rule (80, 90) has a row, none below 80 or 90 has one."""
+    from isolens.plans import registry
+
+    registry.load()
+    sf_dir = "/root/testdata/sf0.001"
+    present = registry.Entities(spark, sf_dir)("hits").where("coverage >= 80 AND identity >= 90")
+    want = {r[0] for r in present.select(F.concat_ws(":", "symbol", "name")).distinct().collect()}
+    got = [r[0] for r in registry.QUERIES["chi2_montecarlo"](spark, sf_dir).select("symbol").collect()]
+    assert len(got) == len(want) and set(got) == want
