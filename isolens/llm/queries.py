@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import decontaminate, exact_dedup, line_dedup, lm, mixing, pii, simhash, toxicity, url_filter, warc
+from . import alignment, decontaminate, exact_dedup, line_dedup, lm, mixing, packing, pii, simhash, toxicity, url_filter, vocab, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,19 @@ m AS (SELECT payload_digest, max(page_id) AS response FROM p GROUP BY payload_di
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN response END AS refers_to
 FROM p JOIN m USING (payload_digest)"""
+
+
+#: Tokenizer files of the queries (parameters of the operators).
+BYTE_TABLE, PIECE_TABLE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+@query
+def op11_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), vocab.public_path(BYTE_TABLE), packing.Limits(tokens=2048, segments=64))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), "sequence_id", "offset")
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.link_support(table(spark, sf_dir, "documents"), vocab.public_path(BYTE_TABLE), vocab.public_path(PIECE_TABLE))
+    return found.withColumnRenamed("groups", "groups_sha256")
