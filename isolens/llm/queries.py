@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import alignment, decontaminate, exact_dedup, line_dedup, lm, mixing, packing, pii, simhash, toxicity, url_filter, vocab, warc
+from . import alignment, decontaminate, exact_dedup, line_dedup, lm, mixing, packing, pii, prefix_trie, simhash, toxicity, url_filter, vocab, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,33 @@ def op11_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.link_support(table(spark, sf_dir, "documents"), vocab.public_path(BYTE_TABLE), vocab.public_path(PIECE_TABLE))
     return found.withColumnRenamed("groups", "groups_sha256")
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turn_ids(table(spark, sf_dir, "conversations"))
+    return prefix_trie.with_end_digest(*prefix_trie.prefix_trie(prefix_trie.grafted(turns)))
+
+
+ORACLES["op13_prefix_trie"] = """
+WITH crc AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+  lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id::VARCHAR AS s FROM own GROUP BY conv_id),
+heads AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(s) + 1), lambda i: ascii(s[i]))),
+  lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 6 AS h FROM ids, crc),
+turns AS (SELECT h.conv_id, 0 AS part, o.pos, o.role, o.text FROM heads h JOIN own o ON o.conv_id = h.base AND o.pos <= h.h
+  UNION ALL SELECT h.conv_id, 1, o.pos, o.role, o.text FROM heads h JOIN own o ON o.conv_id = h.conv_id AND o.pos > h.h),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d, sha256(length(role) || ':' || role || text) AS id FROM turns),
+paths AS (SELECT conv_id, d AS depth, length(text) AS n, list(id) OVER (PARTITION BY conv_id ORDER BY d) AS path FROM numbered
+  UNION ALL SELECT conv_id, 0, 0, [] FROM heads),
+stops AS (SELECT conv_id, max(depth) AS stop FROM paths GROUP BY conv_id),
+nodes AS (SELECT sha256(array_to_string(path, '')) AS node, any_value(path) AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n, max(stop) = depth AS leaf,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (stop = depth), '')) AS ends_sha256
+  FROM paths JOIN stops USING (conv_id) GROUP BY sha256(array_to_string(path, '')), depth),
+over AS (SELECT *, sha256(array_to_string(path[:unnest(range(0, depth + 1))], '')) AS top FROM nodes),
+trees AS (SELECT top AS node, sum(leaf::INT)::BIGINT AS n_leaves, sum((n_convs - 1) * n)::BIGINT AS saved_tokens FROM over GROUP BY top),
+kids AS (SELECT sha256(array_to_string(path[:depth - 1], '')) AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, t.n_leaves, t.saved_tokens, n.ends_sha256
+FROM nodes n JOIN trees t USING (node) LEFT JOIN kids k USING (node) LEFT JOIN nodes p ON n.depth > 0 AND p.node = sha256(array_to_string(n.path[:n.depth - 1], ''))"""
