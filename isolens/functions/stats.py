@@ -75,8 +75,8 @@ def _support(population, successes, draws):
     return m, k, n, lo, hi, md, kd, nd, mean, sd
 
 
-def hypergeom_sf(observed, population, successes, draws) -> Column:
-    """P(X >= observed) for a hypergeometric count.
+def hypergeom_log_sf(observed, population, successes, draws) -> Column:
+    """ln P(X >= observed) for a hypergeometric count; a tail far below the smallest double keeps its value.
 
     Only the terms on the short side of the mean are summed, and only while they can change a
     double: 10 standard deviations plus 50 terms past the start are below 1e-17 of the sum.
@@ -84,30 +84,38 @@ def hypergeom_sf(observed, population, successes, draws) -> Column:
     x = col(observed).cast("bigint")
     m, k, n, lo, hi, md, kd, nd, mean, sd = _support(population, successes, draws)
     reach = (10.0 * sd + 50.0).cast("bigint")
-    above = F.exp(hypergeom_logpmf(x, m, k, n)) * (
-        1.0 + _walk(x + 1, F.least(hi, x + reach), 1, lambda i: _up(i, md, kd, nd), None)
-    )
+    above = hypergeom_logpmf(x, m, k, n) + F.log1p(_walk(x + 1, F.least(hi, x + reach), 1, lambda i: _up(i, md, kd, nd), None))
     y = x - 1
     below = F.exp(hypergeom_logpmf(y, m, k, n)) * (
         1.0 + _walk(y - 1, F.greatest(lo, y - reach), -1, lambda i: _down(i, md, kd, nd), None)
     )
     return (
         F.when(x.isNull() | hi.isNull() | m.isNull(), F.lit(None).cast("double"))
-        .when(x <= lo, F.lit(1.0)).when(x > hi, F.lit(0.0))
-        .when(x.cast("double") > mean, F.least(F.lit(1.0), above))
-        .otherwise(F.greatest(F.lit(0.0), 1.0 - below))
+        .when(x <= lo, F.lit(0.0)).when(x > hi, F.lit(float("-inf")))
+        .when(x.cast("double") > mean, F.least(F.lit(0.0), above))
+        .otherwise(F.log1p(-F.least(below, F.lit(1.0))))
     )
 
 
-def fisher_two_sided(a, b, c, d) -> Column:
-    """Two-sided Fisher exact p of the table [[a, b], [c, d]]: all tables no likelier than it."""
+def hypergeom_sf(observed, population, successes, draws) -> Column:
+    """P(X >= observed) for a hypergeometric count."""
+    return F.exp(hypergeom_log_sf(observed, population, successes, draws))
+
+
+def fisher_log_p(a, b, c, d) -> Column:
+    """ln of the two-sided Fisher exact p of the table [[a, b], [c, d]]: all tables no likelier than it."""
     a, b, c, d = (col(v).cast("bigint") for v in (a, b, c, d))
     m, k, n, lo, hi, md, kd, nd, mean, sd = _support(a + b + c + d, a + c, a + b)
     reach = (F.abs(a.cast("double") - mean) * 2.0 + 10.0 * sd + 50.0).cast("bigint")
     up = _walk(a + 1, F.least(hi, a + reach), 1, lambda i: _up(i, md, kd, nd), TIE_TOLERANCE)
     down = _walk(a - 1, F.greatest(lo, a - reach), -1, lambda i: _down(i, md, kd, nd), TIE_TOLERANCE)
-    p = F.exp(hypergeom_logpmf(a, m, k, n)) * (1.0 + up + down)
-    return F.when((a + b + c + d).isNull(), F.lit(None).cast("double")).when(lo == hi, F.lit(1.0)).otherwise(F.least(F.lit(1.0), p))
+    p = hypergeom_logpmf(a, m, k, n) + F.log1p(up + down)
+    return F.when((a + b + c + d).isNull(), F.lit(None).cast("double")).when(lo == hi, F.lit(0.0)).otherwise(F.least(F.lit(0.0), p))
+
+
+def fisher_two_sided(a, b, c, d) -> Column:
+    """Two-sided Fisher exact p of the table [[a, b], [c, d]]."""
+    return F.exp(fisher_log_p(a, b, c, d))
 
 
 def odds_ratio(a, b, c, d, add: float = 0.5) -> Column:

@@ -7,6 +7,7 @@ sized.  Tests run once per distinct table of counts, not once per feature.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -124,18 +125,20 @@ def feature_grid(fc: DataFrame, totals: DataFrame, feature, group: str, run=())
 # --- multiple testing ------------------------------------------------------------------------
 
 
-def _p_bucket(p: Column) -> Column:
-    """Buckets that rise with p: a logarithmic scale below 1/4096, 4096 equal steps from there on."""
-    return F.when(p >= 2.0**-12, F.floor(p * 4096)).otherwise(F.floor(F.log2(F.greatest(p, F.lit(5e-324))) * 16) + 192).cast("int")
+def _p_bucket(p: Column, log: bool) -> Column:
+    """Buckets that rise with p (or ln p): a logarithmic scale below 1/4096, 4096 equal steps from there on."""
+    plain = F.exp(p) if log else p
+    octaves = F.greatest(p, F.lit(-1e15)) / math.log(2) if log else F.log2(F.greatest(p, F.lit(5e-324)))
+    return F.when(plain >= 2.0**-12, F.floor(plain * 4096)).otherwise(F.floor(octaves * 16) + 192).cast("bigint")
 
 
-def _bh_of_table(ps: DataFrame, by: list[str]) -> DataFrame:
-    """FDR of a table of distinct p-values (by, __p, __c = number of tests).
+def _bh_of_table(ps: DataFrame, by: list[str], log: bool = False) -> DataFrame:
+    """FDR of a table of distinct p-values (by, __p, __c = number of tests); with ``log``, both are natural logarithms.
 
     Bucket sizes give each bucket the rank it starts at, and bucket minima what larger p-values
     contribute, so only the p-values of one bucket of one scope are ordered together.
     """
-    ps = ps.withColumn("__b", _p_bucket(F.col("__p")))
+    ps = ps.withColumn("__b", _p_bucket(F.col("__p"), log))
     small_first = W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, 0)
     sizes = ps.groupBy(*by, "__b").agg(F.sum("__c").alias("__n"))
     sizes = sizes.select(*by, "__b", (F.sum("__n").over(small_first) - F.col("__n")).alias("__off"),
@@ -143,52 +146,55 @@ def _bh_of_table(ps: DataFrame, by: list[str]) -> DataFrame:
     inner = W.partitionBy(*by, "__b")
     q = null_safe_join(ps, sizes, [*by, "__b"], "inner")
     q = q.withColumn("__rank", F.sum("__c").over(inner.orderBy("__p").rowsBetween(W.unboundedPreceding, 0)) + F.col("__off"))
-    q = q.withColumn("__q", F.col("__p") * F.col("__m") / F.col("__rank"))
+    q = q.withColumn("__q", F.col("__p") + F.ln("__m") - F.ln("__rank") if log else F.col("__p") * F.col("__m") / F.col("__rank"))
     q = q.withColumn("__in", F.min("__q").over(inner.orderBy(F.desc("__p")).rowsBetween(W.unboundedPreceding, 0)))
     later = q.groupBy(*by, "__b").agg(F.min("__q").alias("__bq"))
     later = later.select(*by, "__b", F.min("__bq").over(
         W.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(W.unboundedPreceding, -1)).alias("__after"))
     q = null_safe_join(q, later, [*by, "__b"], "inner")
-    return q.select(*by, "__p", F.least(F.lit(1.0), F.col("__in"), F.col("__after")).alias("__fdr"))
+    return q.select(*by, "__p", F.least(F.lit(0.0 if log else 1.0), F.col("__in"), F.col("__after")).alias("__fdr"))
 
 
-def bh(df: DataFrame, p: str = "p", by=(), out: str = "fdr") -> DataFrame:
-    """Benjamini-Hochberg over the rows of each scope that have a p-value.
+def bh(df: DataFrame, p: str = "p", by=(), out: str = "fdr", log: bool = False) -> DataFrame:
+    """Benjamini-Hochberg over the rows of each scope that have a p-value (with ``log``, its natural logarithm, and so the result).
 
     Ranks are taken over distinct p-values with their multiplicities.  That table is materialised
     once, as it is read several times.
     """
     by = as_list(by)
     ps = cut_lineage(df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__c")))
-    q = _bh_of_table(ps, by).withColumnsRenamed({"__p": p, "__fdr": out})
+    q = _bh_of_table(ps, by, log).withColumnsRenamed({"__p": p, "__fdr": out})
     return null_safe_join(df, q, [*by, p], "left")
 
 
-def test_once(df: DataFrame, cells: Sequence[str], value: Column, scope=(), out: str = "fdr") -> DataFrame:
+def test_once(df: DataFrame, cells: Sequence[str], log_value: Column, scope=(), out: str = "fdr") -> DataFrame:
     """p-value of a test on a few counts, and its FDR inside ``scope``; null cells are not tested.
 
-    The test runs once per distinct table of counts and scope.  Those tables are few next to the
-    features, are materialised once, and carry both numbers back in a single join.
+    ``log_value`` is the natural logarithm of p. Ranks and FDR stay logarithms, so p-values below the
+    smallest double keep their order; added are log_p, p, log_<out> and <out>. The test runs once per
+    distinct table of counts and scope.  Those tables are few next to the features, are materialised
+    once, and carry all numbers back in a single join.
     """
     scope, cells = as_list(scope), list(cells)
     keys = [*scope, *[c for c in cells if c not in scope]]
     t = df.where(" AND ".join(f"{c} IS NOT NULL" for c in cells)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"))
-    t = cut_lineage(spread(t, *keys).withColumn("__p", value))
+    t = cut_lineage(spread(t, *keys).withColumn("__p", log_value))
     ps = t.groupBy(*scope, "__p").agg(F.sum("__c").alias("__c"))
-    fdr = _bh_of_table(ps, scope)
-    t = null_safe_join(t.drop("__c"), fdr, [*scope, "__p"], "inner").withColumnsRenamed({"__p": "p", "__fdr": out})
-    return df.join(t, keys, "left").select(*df.columns, "p", out)
+    fdr = _bh_of_table(ps, scope, log=True)
+    t = null_safe_join(t.drop("__c"), fdr, [*scope, "__p"], "inner").withColumnsRenamed({"__p": "log_p", "__fdr": f"log_{out}"})
+    return df.join(t, keys, "left").select(*df.columns, "log_p", F.exp("log_p").alias("p"), f"log_{out}", F.exp(f"log_{out}").alias(out))
 
 
-def holm(df: DataFrame, p: str = "p", by=(), order: Sequence[str] = (), out: str = "p_holm") -> DataFrame:
-    """Holm step-down inside a scope of few tests (the pairs of one element)."""
+def holm(df: DataFrame, p: str = "p", by=(), order: Sequence[str] = (), out: str = "p_holm", log: bool = False) -> DataFrame:
+    """Holm step-down inside a scope of few tests (the pairs of one element); with ``log``, on natural logarithms."""
     by = as_list(by)
     scope = W.partitionBy(*by)
     ordered = scope.orderBy(F.asc_nulls_last(p), *order)
     d = df.withColumn("__r", F.row_number().over(ordered)).withColumn("__m", F.count(p).over(scope))
-    step = F.col(p) * (F.col("__m") - F.col("__r") + 1)
+    left = F.col("__m") - F.col("__r") + 1
+    step = F.when(F.col(p).isNotNull(), F.col(p) + F.ln(left) if log else F.col(p) * left)
     run = F.max(step).over(ordered.rowsBetween(W.unboundedPreceding, 0))
-    return d.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), run))).drop("__r", "__m")
+    return d.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(0.0 if log else 1.0), run))).drop("__r", "__m")
 
 
 def adjust_p(df: DataFrame, method: str, p: str = "p", by=(), out: str = "p_adj") -> DataFrame:
@@ -211,9 +217,9 @@ def hypergeom_enrichment(grid: DataFrame, scope, min_total: int | None = MIN_TOT
     """
     ok = F.lit(True) if min_total is None else (F.col("k_all") >= min_total) & (F.col("k_all") < F.col("n_all"))
     d = grid.withColumn("eligible", ok).withColumn("__k", F.when(F.col("eligible"), F.col("k")))
-    d = test_once(d, ["__k", "k_all", "n", "n_all"], stats.hypergeom_sf("__k", "n_all", "k_all", "n"), scope)
+    d = test_once(d, ["__k", "k_all", "n", "n_all"], stats.hypergeom_log_sf("__k", "n_all", "k_all", "n"), scope)
     rest = F.col("n_all") - F.col("n")
-    return d.select(*grid.columns, "eligible", "p", "fdr",
+    return d.select(*grid.columns, "eligible", "log_p", "p", "log_fdr", "fdr",
                     F.when(F.col("n") > 0, F.col("k") / F.col("n") * 100.0).otherwise(F.lit(0.0)).alias("percent_in"),
                     F.when(rest > 0, (F.col("k_all") - F.col("k")) / rest * 100.0).otherwise(F.lit(0.0)).alias("percent_out"))
 
@@ -357,9 +363,15 @@ def group_pair_tables(eligible: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def fisher_tables(df: DataFrame) -> DataFrame:
-    """Two-sided Fisher p and +0.5 odds ratio of the columns a, b, c, d."""
-    out = once_per_table(df, ["a", "b", "c", "d"], stats.fisher_two_sided("a", "b", "c", "d"), "p")
-    return out.withColumn("odds_ratio", stats.odds_ratio("a", "b", "c", "d")).select(*df.columns, "p", "odds_ratio")
+    """Two-sided Fisher p, its natural logarithm, and +0.5 odds ratio of the columns a, b, c, d."""
+    out = once_per_table(df, ["a", "b", "c", "d"], stats.fisher_log_p("a", "b", "c", "d"), "log_p")
+    return out.withColumns({"p": F.exp("log_p"), "odds_ratio": stats.odds_ratio("a", "b", "c", "d")}).select(*df.columns, "log_p", "p", "odds_ratio")
+
+
+def holm_pairs(tables: DataFrame, key) -> DataFrame:
+    """Fisher pairs with Holm inside each key, on logarithms: log_p, p, log_p_holm and p_holm."""
+    d = holm(fisher_tables(tables), "log_p", key, order=["group1", "group2"], out="log_p_holm", log=True)
+    return d.withColumn("p_holm", F.exp("log_p_holm"))
 
 
 def fisher_vs_rest(grid: DataFrame, scope) -> DataFrame:
@@ -367,7 +379,7 @@ def fisher_vs_rest(grid: DataFrame, scope) -> DataFrame:
     t = grid.where((F.col("n") > 0) & (F.col("n_all") > F.col("n"))).select(
         "*", F.col("k").alias("a"), (F.col("n") - F.col("k")).alias("b"), (F.col("k_all") - F.col("k")).alias("c"),
         (F.col("n_all") - F.col("n") - F.col("k_all") + F.col("k")).alias("d"))
-    t = test_once(t, ["a", "b", "c", "d"], stats.fisher_two_sided("a", "b", "c", "d"), scope)
+    t = test_once(t, ["a", "b", "c", "d"], stats.fisher_log_p("a", "b", "c", "d"), scope)
     t = t.withColumn("odds_ratio", stats.odds_ratio("a", "b", "c", "d"))
     return t.withColumn("percent_in", 100.0 * F.col("a") / F.col("n")).withColumn("percent_out", 100.0 * F.col("c") / (F.col("n_all") - F.col("n")))
 
@@ -378,7 +390,7 @@ def fisher_pairwise(grid: DataFrame, feature, group: str, order: Sequence[str],
     entry = F.struct(level_index(group, order).alias("o"), F.col(group).alias("g"), F.col("k").alias("k"), F.col("n").alias("n"))
     packed = grid.where(F.col("n") > 0).groupBy(*run, *feature).agg(F.array_sort(F.collect_list(entry)).alias("tested"))
     pairs = group_pair_tables(packed, [*run, *feature])
-    t = test_once(pairs, ["a", "b", "c", "d"], stats.fisher_two_sided("a", "b", "c", "d"), [*run, "group1", "group2"])
+    t = test_once(pairs, ["a", "b", "c", "d"], stats.fisher_log_p("a", "b", "c", "d"), [*run, "group1", "group2"])
     return t.withColumn("odds_ratio", stats.odds_ratio("a", "b", "c", "d"))
 
 
@@ -416,7 +428,7 @@ def pairwise_posthoc(omnibus: DataFrame, key, alpha: float = FDR_ALPHA, fdr: str
     """Fisher pairs with Holm inside each feature, for features significant in the omnibus test."""
     key = as_list(key)
     sig = omnibus.where(F.col(fdr) <= alpha) if fdr else omnibus.where(F.col("reason") == "")
-    return holm(fisher_tables(group_pair_tables(sig, key)), "p", key, order=["group1", "group2"])
+    return holm_pairs(group_pair_tables(sig, key), key)
 
 
 def element_summary(grid: DataFrame, omnibus: DataFrame, letters: DataFrame, catalog: DataFrame, feature: str,
@@ -450,7 +462,7 @@ def attribute_enrichment(df: DataFrame, group: str, attr: str, groups: Sequence[
                              F.sum("n").alias("n_in_group"))
     e = e.withColumn("reason", F.when(F.size("tested") < 2, F.lit("Fewer than 2 eligible categories for testing.")).otherwise(F.lit("")))
     omnibus = chi2_omnibus(e, group, monte_carlo=monte_carlo)
-    pairs = holm(fisher_tables(group_pair_tables(e.where("reason = ''"), [group])), "p", group, order=["group1", "group2"])
+    pairs = holm_pairs(group_pair_tables(e.where("reason = ''"), [group]), group)
     pairs = pairs.withColumn("direction", F.when(F.col("odds_ratio") > 1, F.lit("Cat1>Cat2")).when(F.col("odds_ratio") < 1, F.lit("Cat2>Cat1"))
                              .otherwise(F.lit("Equal")))
     return {"table": c.withColumn("tested", F.when(usable, F.lit("YES")).otherwise(F.lit(""))), "omnibus": omnibus, "pairs": pairs}

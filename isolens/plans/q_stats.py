@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -14,32 +16,34 @@ FEATURE = ["pos", "ref", "alt"]
 
 
 def neglog(c: str):
-    """-log10 of a p-value to six places; the added zero removes a negative zero."""
-    return F.when(F.col(c).isNotNull(), F.round(-F.log10(F.greatest(F.col(c), F.lit(1e-300))), 6) + 0.0).alias(c)
+    """-log10 of a p-value, given as its natural logarithm log_<c>, to six places; the added zero removes a negative zero."""
+    return (F.round(-F.col(f"log_{c}") / F.lit(math.log(10)), 6) + 0.0).alias(c)
 
 
-NL = "CASE WHEN {0} IS NOT NULL THEN round(-log10(greatest({0}, 1e-300)), 6) + 0.0 END"
+NL = "round(-log_{0} / ln(10), 6) + 0.0"
 
 _GRID = """fc AS (SELECT pos, ref, alt, lineage, count(DISTINCT sample) AS k FROM {variants} JOIN {groups} USING (sample) GROUP BY ALL),
 gt AS (SELECT lineage, count(*) AS n, (SELECT count(*) FROM {groups}) AS n_all FROM {groups} GROUP BY 1), ft AS (SELECT pos, ref, alt, CAST(sum(k) AS BIGINT) AS k_all FROM fc GROUP BY ALL),
 grid AS (SELECT ft.pos, ft.ref, ft.alt, gt.lineage, coalesce(fc.k, 0) AS k, k_all, n, n_all FROM ft CROSS JOIN gt LEFT JOIN fc ON fc.pos = ft.pos AND fc.ref = ft.ref AND fc.alt = ft.alt AND fc.lineage = gt.lineage)"""
 
-# exact upper tail by log-gamma terms, once per distinct table
-_HYPER = """hp AS (SELECT k, k_all, n, n_all, sum(exp(lgamma(k_all + 1) - lgamma(i + 1) - lgamma(k_all - i + 1) + lgamma(n_all - k_all + 1) - lgamma(n - i + 1) - lgamma(n_all - k_all - n + i + 1) - lgamma(n_all + 1) + lgamma(n + 1) + lgamma(n_all - n + 1))) AS p
- FROM (SELECT *, unnest(generate_series(greatest(k, n + k_all - n_all, 0), least(k_all, n))) AS i FROM (SELECT DISTINCT k, k_all, n, n_all FROM grid WHERE GATE)) GROUP BY ALL)"""
-_TESTED = """tp AS (SELECT grid.*, GATE AS eligible, CASE WHEN p IS NOT NULL THEN least(1, p) END AS p FROM grid LEFT JOIN hp ON grid.k = hp.k AND grid.k_all = hp.k_all AND grid.n = hp.n AND grid.n_all = hp.n_all AND (GATEG)),
-rk AS (SELECT *, rank() OVER (PARTITION BY SCOPE ORDER BY p) + count(*) OVER (PARTITION BY SCOPE, p) - 1 AS r, count(p) OVER (PARTITION BY SCOPE) AS m FROM tp WHERE p IS NOT NULL),
-bh AS (SELECT *, least(1, min(p * m / r) OVER (PARTITION BY SCOPE ORDER BY p DESC)) AS fdr FROM rk),
-tested AS (SELECT tp.*, bh.fdr, 100.0 * tp.k / tp.n AS percent_in, CASE WHEN tp.n_all > tp.n THEN 100.0 * (tp.k_all - tp.k) / (tp.n_all - tp.n) ELSE 0 END AS percent_out FROM tp LEFT JOIN bh USING (KEYS))"""
+# logarithm of the exact upper tail by log-gamma terms, once per distinct table
+_HYPER = """hp AS (SELECT k, k_all, n, n_all, least(0, max(mx) + ln(sum(exp(t - mx)))) AS log_p FROM (SELECT *, max(t) OVER (PARTITION BY k, k_all, n, n_all) AS mx FROM (
+ SELECT *, lgamma(k_all + 1) - lgamma(i + 1) - lgamma(k_all - i + 1) + lgamma(n_all - k_all + 1) - lgamma(n - i + 1) - lgamma(n_all - k_all - n + i + 1) - lgamma(n_all + 1) + lgamma(n + 1) + lgamma(n_all - n + 1) AS t
+ FROM (SELECT *, unnest(generate_series(greatest(k, n + k_all - n_all, 0), least(k_all, n))) AS i FROM (SELECT DISTINCT k, k_all, n, n_all FROM grid WHERE GATE)))) GROUP BY ALL)"""
+_TESTED = """tp AS (SELECT grid.*, GATE AS eligible, log_p FROM grid LEFT JOIN hp ON grid.k = hp.k AND grid.k_all = hp.k_all AND grid.n = hp.n AND grid.n_all = hp.n_all AND (GATEG)),
+dp AS (SELECT SCOPE, log_p, count(*) AS c FROM tp WHERE log_p IS NOT NULL GROUP BY ALL),
+rk AS (SELECT *, sum(c) OVER (PARTITION BY SCOPE ORDER BY log_p) AS r, sum(c) OVER (PARTITION BY SCOPE) AS m FROM dp),
+bh AS (SELECT * EXCLUDE (c, r, m), least(0, min(log_p + ln(m) - ln(r)) OVER (PARTITION BY SCOPE ORDER BY log_p DESC)) AS log_fdr FROM rk),
+tested AS (SELECT tp.*, bh.log_fdr, exp(bh.log_fdr) AS fdr, 100.0 * tp.k / tp.n AS percent_in, CASE WHEN tp.n_all > tp.n THEN 100.0 * (tp.k_all - tp.k) / (tp.n_all - tp.n) ELSE 0 END AS percent_out FROM tp LEFT JOIN bh USING (SCOPE, log_p))"""
 
 
-def tested_sql(gate: str, scope: str, keys: str, grid: str = _GRID) -> str:
+def tested_sql(gate: str, scope: str, grid: str = _GRID) -> str:
     gateg = gate.replace("k_all", "grid.k_all").replace("n_all", "grid.n_all")
-    body = (_HYPER.replace("GATE", gate) + ",\n" + _TESTED.replace("GATEG", gateg).replace("GATE", gateg).replace("SCOPE", scope).replace("KEYS", keys))
+    body = (_HYPER.replace("GATE", gate) + ",\n" + _TESTED.replace("GATEG", gateg).replace("GATE", gateg).replace("SCOPE", scope))
     return f"WITH {grid},\n{body}\n"
 
 
-_VAR = tested_sql("k_all >= 10 AND k_all < n_all", "lineage", "pos, ref, alt, lineage")
+_VAR = tested_sql("k_all >= 10 AND k_all < n_all", "lineage")
 
 
 def _grid(q):
@@ -57,7 +61,7 @@ def _tested(q):
 @query("hypergeom_enrichment", "T1", _VAR + f"SELECT pos, ref, alt, lineage, k, k_all, n, n_all, eligible, {NL.format('p')} AS p, {NL.format('fdr')} AS fdr, round(percent_in, 6) AS percent_in, round(percent_out, 6) AS percent_out FROM tested")
 def _(q):
     t, _ = _tested(q)
-    return rounded(t.withColumns({"p": neglog("p"), "fdr": neglog("fdr")}), "percent_in", "percent_out")
+    return rounded(t.withColumns({"p": neglog("p"), "fdr": neglog("fdr")}).drop("log_p", "log_fdr"), "percent_in", "percent_out")
 
 
 _SRC_GRID = """fc AS (SELECT lineage, pos, ref, alt, source, count(DISTINCT sample) AS k FROM {variants} JOIN {groups} USING (sample) GROUP BY ALL),
@@ -65,7 +69,7 @@ gt AS (SELECT lineage, source, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION
 grid AS (SELECT ft.lineage, ft.pos, ft.ref, ft.alt, gt.source, coalesce(fc.k, 0) AS k, k_all, n, n_all FROM ft JOIN gt USING (lineage) LEFT JOIN fc ON fc.lineage = ft.lineage AND fc.pos = ft.pos AND fc.ref = ft.ref AND fc.alt = ft.alt AND fc.source = gt.source)"""
 
 
-@query("hypergeom_by_source", "T1", tested_sql("k_all >= 0", "lineage, source", "pos, ref, alt, lineage, source", _SRC_GRID)
+@query("hypergeom_by_source", "T1", tested_sql("k_all >= 0", "lineage, source", _SRC_GRID)
        + f"SELECT lineage, source, pos, ref, alt, k, {NL.format('p')} AS p, {NL.format('fdr')} AS fdr, round(percent_in, 6) AS percent_in, round(percent_out, 6) AS percent_out FROM tested")
 def _(q):
     g = q("groups")
@@ -125,7 +129,6 @@ gt AS (SELECT scheme, mode, lineage, count(*) AS n, CAST(sum(count(*)) OVER (PAR
 ft AS (SELECT scheme, mode, scenario, pos, ref, alt, CAST(sum(k) AS BIGINT) AS k_all FROM fc GROUP BY ALL),
 grid AS (SELECT ft.scheme, ft.mode, ft.scenario, ft.pos, ft.ref, ft.alt, gt.lineage, coalesce(fc.k, 0) AS k, k_all, n, n_all FROM ft JOIN gt USING (scheme, mode)
  LEFT JOIN fc ON fc.scheme = ft.scheme AND fc.mode = ft.mode AND fc.scenario = ft.scenario AND fc.pos = ft.pos AND fc.ref = ft.ref AND fc.alt = ft.alt AND fc.lineage = gt.lineage)"""
-_RUN_KEYS = "scheme, mode, scenario, pos, ref, alt, lineage"
 
 
 def _run_bins(q):
@@ -141,7 +144,7 @@ def _run_bins(q):
     return enrichment.definer_bins(t, [*run, "lineage"], totals)
 
 
-@query("definer_bins_all_runs", "G33", tested_sql("k_all >= 10 AND k_all < n_all", "scheme, mode, scenario, lineage", _RUN_KEYS, _RUN_GRID) + f"""
+@query("definer_bins_all_runs", "G33", tested_sql("k_all >= 10 AND k_all < n_all", "scheme, mode, scenario, lineage", _RUN_GRID) + f"""
 , d AS (SELECT scheme, mode, scenario, lineage, {_BIN} AS bin, count(*) AS c FROM tested WHERE fdr <= 0.05 AND percent_in >= 40 AND percent_out <= 1 GROUP BY ALL),
 s AS (SELECT scheme, mode, scenario, lineage, count(*) AS sig, count(*) FILTER (percent_in >= 40 AND percent_out <= 1) AS strict FROM tested WHERE fdr <= 0.05 GROUP BY ALL)
 SELECT g.scheme, g.mode, sc.scenario, g.lineage, g.n, coalesce(sig, 0) AS significant, coalesce(strict, 0) AS strict_definers, b.bin AS coverage_bin, coalesce(c, 0) AS definers FROM gt g CROSS JOIN (VALUES ('all_snps'), ('vertical_only')) sc(scenario)
@@ -151,7 +154,7 @@ def _(q):
     return _run_bins(q)
 
 
-@query("overall_bins", "G33", tested_sql("k_all >= 10 AND k_all < n_all", "scheme, mode, scenario, lineage", _RUN_KEYS, _RUN_GRID) + f"""
+@query("overall_bins", "G33", tested_sql("k_all >= 10 AND k_all < n_all", "scheme, mode, scenario, lineage", _RUN_GRID) + f"""
 , d AS (SELECT lineage, {_BIN} AS bin, count(*) AS c FROM tested WHERE fdr <= 0.05 AND percent_in >= 40 AND percent_out <= 1 GROUP BY ALL)
 SELECT g.lineage, b.bin AS coverage_bin, coalesce(min(c), 0) AS definers, count(*) AS runs FROM gt g CROSS JOIN (VALUES (1), (2)) sc(x) CROSS JOIN (VALUES ('40-<60%'), ('60-<80%'), ('80-<90%'), ('>=90%')) b(bin) LEFT JOIN d ON d.lineage = g.lineage AND d.bin = b.bin GROUP BY ALL""")
 def _(q):
@@ -160,7 +163,7 @@ def _(q):
 
 # --- genes: Fisher ---------------------------------------------------------------------------
 
-_FISHER = """fs AS (SELECT a, b, c, d, least(1, sum(CASE WHEN lp <= lo + 1e-7 THEN exp(lp) ELSE 0 END)) AS p FROM (
+_FISHER = """fs AS (SELECT a, b, c, d, least(0, max(lo) + ln(sum(CASE WHEN lp <= lo + 1e-7 THEN exp(lp - lo) ELSE 0 END))) AS log_p FROM (
  SELECT a, b, c, d, lgamma(a + c + 1) - lgamma(i + 1) - lgamma(a + c - i + 1) + lgamma(b + d + 1) - lgamma(a + b - i + 1) - lgamma(d - a + i + 1) - lgamma(a + b + c + d + 1) + lgamma(a + b + 1) + lgamma(c + d + 1) AS lp,
   lgamma(a + c + 1) - lgamma(a + 1) - lgamma(c + 1) + lgamma(b + d + 1) - lgamma(b + 1) - lgamma(d + 1) - lgamma(a + b + c + d + 1) + lgamma(a + b + 1) + lgamma(c + d + 1) AS lo
  FROM (SELECT *, unnest(generate_series(greatest(a - d, 0), least(a + c, a + b))) AS i FROM (SELECT DISTINCT a, b, c, d FROM tables))) GROUP BY ALL)"""
@@ -181,8 +184,13 @@ def _bh_sql(scope):
 bh AS (SELECT *, least(1, min(p * m / r) OVER (PARTITION BY {scope} ORDER BY p DESC)) AS fdr FROM rk)"""
 
 
+def _log_bh_sql(scope):
+    return f"""rk AS (SELECT *, rank() OVER (PARTITION BY {scope} ORDER BY log_p) + count(*) OVER (PARTITION BY {scope}, log_p) - 1 AS r, count(*) OVER (PARTITION BY {scope}) AS m FROM tp),
+bh AS (SELECT *, least(0, min(log_p + ln(m) - ln(r)) OVER (PARTITION BY {scope} ORDER BY log_p DESC)) AS log_fdr FROM rk)"""
+
+
 @query("fisher_vs_rest", "T3", f"""
-WITH {_GENE_GRID}, tables AS (SELECT gene, lineage, k AS a, n - k AS b, k_all - k AS c, n_all - n - k_all + k AS d, n, n_all FROM grid), {_FISHER}, tp AS (SELECT tables.*, p FROM tables JOIN fs USING (a, b, c, d)), {_bh_sql('lineage')}
+WITH {_GENE_GRID}, tables AS (SELECT gene, lineage, k AS a, n - k AS b, k_all - k AS c, n_all - n - k_all + k AS d, n, n_all FROM grid), {_FISHER}, tp AS (SELECT tables.*, log_p FROM tables JOIN fs USING (a, b, c, d)), {_log_bh_sql('lineage')}
 SELECT gene, lineage, a, b, c, d, {NL.format('p')} AS p, {NL.format('fdr')} AS fdr, {_OR} AS odds_ratio, round(100.0 * a / n, 6) AS percent_in, round(100.0 * c / (n_all - n), 6) AS percent_out FROM bh""")
 def _(q):
     t = enrichment.fisher_vs_rest(_gene_grid(q), "lineage")
@@ -191,8 +199,8 @@ def _(q):
 
 
 @query("gene_definers", "T2", f"""
-WITH {_GENE_GRID}, tables AS (SELECT gene, lineage, k AS a, n - k AS b, k_all - k AS c, n_all - n - k_all + k AS d, n, n_all FROM grid), {_FISHER}, tp AS (SELECT tables.*, p FROM tables JOIN fs USING (a, b, c, d)), {_bh_sql('lineage')}
-SELECT gene, lineage FROM bh WHERE fdr <= 0.05 AND 100.0 * a / n >= 90 AND 100.0 * c / (n_all - n) <= 5""")
+WITH {_GENE_GRID}, tables AS (SELECT gene, lineage, k AS a, n - k AS b, k_all - k AS c, n_all - n - k_all + k AS d, n, n_all FROM grid), {_FISHER}, tp AS (SELECT tables.*, log_p FROM tables JOIN fs USING (a, b, c, d)), {_log_bh_sql('lineage')}
+SELECT gene, lineage FROM bh WHERE exp(log_fdr) <= 0.05 AND 100.0 * a / n >= 90 AND 100.0 * c / (n_all - n) <= 5""")
 def _(q):
     return enrichment.definers(enrichment.fisher_vs_rest(_gene_grid(q), "lineage"), enrichment.GENE_IN, enrichment.GENE_OUT).select("gene", "lineage")
 
@@ -201,7 +209,7 @@ _PAIRS = "tables AS (SELECT x.gene, x.lineage AS group1, y.lineage AS group2, x.
 
 
 @query("fisher_pairwise", "T4", f"""
-WITH {_GENE_GRID}, {_PAIRS}, {_FISHER}, tp AS (SELECT tables.*, p FROM tables JOIN fs USING (a, b, c, d)), {_bh_sql('group1, group2')}
+WITH {_GENE_GRID}, {_PAIRS}, {_FISHER}, tp AS (SELECT tables.*, log_p FROM tables JOIN fs USING (a, b, c, d)), {_log_bh_sql('group1, group2')}
 SELECT gene, group1, group2, a, b, c, d, {NL.format('p')} AS p, {NL.format('fdr')} AS fdr, {_OR} AS odds_ratio FROM bh""")
 def _(q):
     t = enrichment.fisher_pairwise(_gene_grid(q), "gene", "lineage", LINEAGES)
@@ -272,7 +280,7 @@ def _(q):
 
 
 _EL_PAIRS = _OMNIBUS_BH + """, sg AS (SELECT symbol FROM bh WHERE fdr <= 0.05), tables AS (SELECT x.symbol, x.lineage AS group1, y.lineage AS group2, x.k AS a, x.n - x.k AS b, y.k AS c, y.n - y.k AS d FROM ok x JOIN ok y ON x.symbol = y.symbol AND x.lineage < y.lineage WHERE x.symbol IN (FROM sg))"""
-_HOLM = """ho AS (SELECT *, least(1, max(p * (m - r + 1)) OVER (PARTITION BY symbol ORDER BY r)) AS p_holm FROM (SELECT tables.*, p, row_number() OVER (PARTITION BY symbol ORDER BY p, group1, group2) AS r, count(*) OVER (PARTITION BY symbol) AS m FROM tables JOIN fs USING (a, b, c, d)))"""
+_HOLM = """ho AS (SELECT *, least(0, max(log_p + ln(m - r + 1)) OVER (PARTITION BY symbol ORDER BY r)) AS log_p_holm, exp(log_p_holm) AS p_holm FROM (SELECT tables.*, log_p, row_number() OVER (PARTITION BY symbol ORDER BY log_p, group1, group2) AS r, count(*) OVER (PARTITION BY symbol) AS m FROM tables JOIN fs USING (a, b, c, d)))"""
 
 
 def _posthoc(q):

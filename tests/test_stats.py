@@ -40,6 +40,35 @@ def test_fisher(spark):
         assert r.p == pytest.approx(fisher(r.a, r.b, r.c, r.d), rel=1e-7, abs=1e-300)
 
 
+def log_comb_sum(terms):
+    return math.log(sum(terms))
+
+
+def test_far_tails_keep_their_order(spark):
+    """p-values down to 1e-2000 and below, against whole-number arithmetic, through test, FDR and Holm."""
+    m, s, n = 9000, 3000, 3000
+    ks = [2990, 2700, 2699, 2400, 1100, 1000]
+    whole = math.log(comb(m, n))
+    want = {k: log_comb_sum([comb(s, i) * comb(m - s, n - i) for i in range(k, s + 1)]) - whole for k in ks}
+    assert want[2990] < -2000 * math.log(10)
+    df = spark.createDataFrame([(k, m, s, n) for k in ks], "k long, m long, s long, n long")
+    got = {r.k: r for r in enrichment.test_once(df, ["k", "m", "s", "n"], stats.hypergeom_log_sf("k", "m", "s", "n")).collect()}
+    fdr = dict(zip(ks, np.minimum.accumulate([want[k] + math.log(len(ks) / (i + 1)) for i, k in enumerate(ks)][::-1])[::-1]))
+    for k in ks:
+        assert got[k].log_p == pytest.approx(want[k], rel=1e-9, abs=1e-9)
+        assert got[k].log_fdr == pytest.approx(min(0.0, fdr[k]), rel=1e-9, abs=1e-9)
+    assert got[2700].log_p < got[2699].log_p and got[2990].p == 0.0
+    a, b, c, d = 2990, 10, 10, 5990
+    pmf = {i: comb(a + c, i) * comb(b + d, a + b - i) for i in range(a, a + 11)}
+    tables = spark.createDataFrame([("e", "x", "y", a, b, c, d), ("e", "x", "z", 2700, 300, 300, 5700), ("e", "y", "z", 1, 1, 1, 1)],
+                                   "e string, group1 string, group2 string, a long, b long, c long, d long")
+    rows = {r.group1 + r.group2: r for r in enrichment.holm_pairs(tables, "e").collect()}
+    exact = log_comb_sum(pmf.values()) - math.log(comb(a + b + c + d, a + b))
+    assert rows["xy"].log_p == pytest.approx(exact, rel=1e-9) and rows["xy"].log_p_holm == pytest.approx(exact + math.log(3), rel=1e-9)
+    assert rows["xz"].log_p_holm == pytest.approx(rows["xz"].log_p + math.log(2), rel=1e-9) and rows["xz"].log_p > exact
+    assert rows["yz"].p_holm == 1.0
+
+
 def test_chi2_published_quantiles(spark):
     # published upper 5 % and 1 % points
     rows = [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (7.814728, 3, 0.05), (9.487729, 4, 0.05), (6.634897, 1, 0.01), (15.086272, 5, 0.01), (23.209251, 10, 0.01)]
