@@ -1,46 +1,63 @@
-"""Queries over sources and sinks.  Text formats are derived from the tables as lines and parsed back."""
+"""Queries over sources and sinks.  Text files are derived from the tables, written to the shared folder and read back."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import sequence
 from ..operators import quality, relations
-from ..session import shared_folder
+from ..session import scratch_folder
 from ..sources import formats, sinks, tables
 from .registry import query
 
 
+def _folder(q, name: str) -> str:
+    return scratch_folder(q.spark, name)
+
+
+def _files(q, lines, head=(), by: str = "part", rows: int = 20_000) -> str:
+    """Path of files made of ``lines`` (value, line_no): each file has ``head`` as its first lines and some ``rows`` numbers of those that follow, in order."""
+    path = _folder(q, "files")
+    d = lines.select("value", "line_no", F.lpad(F.floor(F.col("line_no") / rows).cast("string"), 12, "0").alias("part"))
+    top = d.select("part").distinct().select(F.posexplode(F.array(*[F.lit(h) for h in head])).alias("line_no", "value"), "part") if head else None
+    if top is not None:
+        d = d.unionByName(top.select("value", (F.col("line_no") - F.lit(1 << 40)).alias("line_no"), "part"))
+    d.repartition("part").sortWithinPartitions("part", "line_no").select("value", F.col("part").alias(by)).write.partitionBy(by).text(path)
+    return f"{path}/*/*.txt"
+
 
 @query("read_master", "S1", """
-SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM {customer}""")
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ', "' || c_mktsegment || '"' AS c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM {customer}""")
 def _(q):
-    c = q("customer").select(F.concat_ws(",", "c_custkey", F.concat(F.lit('"'), "c_name", F.lit('"')), "c_nationkey", "c_mktsegment").alias("value"))
-    return tables.parse_lines(c, tables.text_schema(["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]))
+    c = q("customer").select("c_custkey", F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("c_name"), "c_nationkey", "c_mktsegment")
+    path = _folder(q, "master")
+    c.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return tables.read_master(q.spark, path, q("customer").count(), 4, ["c_custkey"])
 
 
 _REPAIRS = ((',""Brand', ',"Brand'),)
 
 
 def _dirty_lines(q):
-    """Names with an escaped comma, and a doubled quote where the size is small."""
+    """Names with an escaped comma, and a doubled quote where the size is small; every tenth line repeats the header."""
     p = q("part")
     name = F.replace(F.col("p_name"), F.lit(" "), F.lit("\\, "))
     quote = F.when(F.col("p_size") <= 5, F.lit('""')).otherwise(F.lit('"'))
-    return p.select(F.concat(F.col("p_partkey").cast("string"), F.lit(',"'), name, F.lit('",'), quote, "p_brand", F.lit('"')).alias("value"))
+    line = F.concat(F.col("p_partkey").cast("string"), F.lit(',"'), name, F.lit('",'), quote, "p_brand", F.lit('"'))
+    return p.select(F.when(F.col("p_partkey") % 10 == 3, F.lit(_DIRTY_HEAD)).otherwise(line).alias("value"), F.col("p_partkey").alias("line_no"))
+
+
+_DIRTY_HEAD = "id,name,brand"
 
 
 @query("read_repaired_csv", "S2", """
-SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, replace(p_name, ' ', ', ') AS p_name, p_brand AS p_brand,
+SELECT CAST(p_partkey AS VARCHAR) AS id, replace(p_name, ' ', ', ') AS name, p_brand AS brand,
        CAST(length(p_name) - length(replace(p_name, ' ', '')) AS INT) AS n_escaped, CASE WHEN p_size <= 5 THEN 1 ELSE 0 END AS n_repaired
-FROM {part}""")
+FROM {part} WHERE p_partkey % 10 <> 3
+UNION ALL SELECT 'id', 'name', 'brand', 0, 0 FROM {part} WHERE p_partkey % 10 = 3""")
 def _(q):
-    fixed = tables.repair_lines(_dirty_lines(q), _REPAIRS)
-    return tables.parse_lines(fixed, tables.text_schema(["p_partkey", "p_name", "p_brand"])).select(
-        "p_partkey", "p_name", "p_brand", F.col("n_escaped").cast("int"), F.col("n_repaired").cast("int"))
+    return tables.read_repaired_csv(q.spark, _files(q, _dirty_lines(q), [_DIRTY_HEAD]), _REPAIRS)
 
 
 @query("repair_delta", "S3", r"""
@@ -64,20 +81,26 @@ def _(q):
 
 
 def _ragged(q):
+    """Rows of three fields, of four where the size is large, and copies of the header."""
     extra = F.when(F.col("p_size") > 45, F.lit("x"))
-    return q("part").select(F.concat_ws("\t", "p_partkey", "p_name", "p_type", extra).alias("value"))
+    line = F.when(F.col("p_partkey") % 10 == 3, F.lit("id\tname\ttype")).otherwise(F.concat_ws("\t", "p_partkey", "p_name", "p_type", extra))
+    lines = q("part").select(line.alias("value"), F.col("p_partkey").alias("line_no"))
+    return tables.read_tsv_tolerant(q.spark, _files(q, lines, ["id\tname\ttype"]))
 
 
-@query("read_tsv_tolerant", "S5", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_type AS type FROM {part} WHERE p_size <= 45")
+@query("read_tsv_tolerant", "S5", """
+SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_type AS type FROM {part} WHERE p_size <= 45 AND p_partkey % 10 <> 3
+UNION ALL SELECT 'id', 'name', 'type' FROM {part} WHERE p_partkey % 10 = 3""")
 def _(q):
-    return tables.split_ragged(_ragged(q), ["id", "name", "type"])[0]
+    return _ragged(q)[0]
 
 
 @query("ragged_bad_lines", "S5", """
-SELECT CAST(p_partkey AS VARCHAR) || chr(9) || p_name || chr(9) || p_type || chr(9) || 'x' AS value, 4 AS fields, 3 AS expected
-FROM {part} WHERE p_size > 45""")
+SELECT CAST(p_partkey AS VARCHAR) || chr(9) || p_name || chr(9) || p_type || chr(9) || 'x' AS value,
+       row_number() OVER (PARTITION BY p_partkey // 20000 ORDER BY p_partkey) AS line_no, 4 AS fields, 3 AS expected
+FROM {part} QUALIFY p_size > 45 AND p_partkey % 10 <> 3""")
 def _(q):
-    return tables.split_ragged(_ragged(q), ["id", "name", "type"])[1]
+    return _ragged(q)[1].drop("path")
 
 
 @query("drop_noise_rows", "S6", "SELECT s_name AS name FROM {supplier} WHERE s_nationkey > 8")
@@ -88,11 +111,15 @@ def _(q):
 
 
 @query("read_reports", "S7", """
-SELECT 'SRR' || CAST(o_custkey AS VARCHAR) AS sample, count(*) AS n_rows FROM {orders} GROUP BY o_custkey""")
+SELECT 'SRR' || CAST(c_nationkey AS VARCHAR) AS sample, CAST(c_custkey AS VARCHAR) AS gene, c_mktsegment AS product FROM {customer}""")
 def _(q):
-    o = q("orders")
-    path = F.concat(F.lit("/reports/run1/SRR"), F.col("o_custkey").cast("string"), F.lit("_vfdb.tsv"))
-    return o.select(tables.sample_of_path(path).alias("sample")).groupBy("sample").agg(F.count(F.lit(1)).alias("n_rows"))
+    """One report folder for each nation, each with its own headers; the manifest lists all nations that have a customer."""
+    c = q("customer")
+    name = F.concat(F.lit("SRR"), F.col("c_nationkey").cast("string"))
+    path = _folder(q, "reports")
+    rows = c.select(F.concat(name, F.lit("_vfdb")).alias("report"), F.col("c_custkey").alias("gene"), F.col("c_mktsegment").alias("product"))
+    rows.hint("rebalance", "report").write.partitionBy("report").option("header", True).option("sep", "\t").csv(path)
+    return tables.read_reports(q.spark, f"{path}/*/*.csv", c.select(name.alias("sample")).distinct(), level=-2)
 
 
 @query("missing_reports", "S7", """
@@ -120,10 +147,16 @@ def _vcf_lines(q):
 
 
 @query("read_vcf", "S8", """
-SELECT 'SRR' || CAST(l_orderkey AS VARCHAR) AS sample, CAST(p_size * 10 AS INT) AS pos, l_returnflag AS ref, l_linestatus AS alt
-FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_linenumber NOT IN (2, 3)""")
+SELECT 'SRR' || CAST(l_suppkey % 40 AS VARCHAR) AS sample, CAST(l_partkey % 5000 AS INT) AS pos, l_returnflag AS ref, l_linestatus AS alt, 'DP=' || CAST(l_linenumber AS VARCHAR) AS info
+FROM {lineitem} WHERE l_linenumber NOT IN (2, 3)""")
 def _(q):
-    return formats.parse_vcf(_vcf_lines(q), ["sample"]).drop("info")
+    """One folder of variant files for each of 40 samples, with comment lines and short lines."""
+    line = F.concat_ws("\t", F.lit("chr1"), F.col("l_partkey") % 5000, F.lit("."), "l_returnflag", "l_linestatus", F.lit("50"), F.lit("PASS"), F.concat(F.lit("DP="), "l_linenumber"), F.lit("GT"))
+    line = F.when(F.col("l_linenumber") == 2, F.concat(F.lit("##"), line)).when(F.col("l_linenumber") == 3, F.lit("chr1\t5\t.\tA")).otherwise(line)
+    path = _folder(q, "variants")
+    rows = q("lineitem").select(line.alias("value"), F.concat(F.lit("SRR"), (F.col("l_suppkey") % 40).cast("string")).alias("sample"))
+    rows.hint("rebalance", "sample").write.partitionBy("sample").text(path)
+    return formats.read_vcf(q.spark, f"{path}/*/*.txt")
 
 
 @query("parse_ann", "S9", """
@@ -149,16 +182,21 @@ def _(q):
     line = F.concat_ws("\t", F.lit("SEQ"), F.lit("G"), F.lit("CDS"), start, start + 40, F.lit("0"), F.lit("."), F.lit("0"), taxa)
     low = F.col("o_orderpriority") == "5-LOW"
     line = F.when(low & (F.col("o_orderstatus") == "F"), F.concat(F.lit("##"), line)).when(low, F.lit("too\tshort")).otherwise(line)
-    return formats.parse_intervals(q("orders").select(line.alias("value")))
+    return formats.read_intervals(q.spark, _files(q, q("orders").select(line.alias("value"), F.col("o_orderkey").alias("line_no")), ["##gff-version 3"]))
 
 
 @query("read_hash_header_tsv", "S11", """
-SELECT 'gene' || CAST(p_partkey AS VARCHAR) AS query, p_type AS "COG_category", p_name AS "Description" FROM {part} WHERE p_size <= 48""")
+SELECT CASE WHEN p_size = 48 THEN 'query' ELSE 'gene' || CAST(p_partkey AS VARCHAR) END AS query, p_type AS "COG_category", p_name AS "Description" FROM {part} WHERE p_size <= 48""")
 def _(q):
-    line = F.concat_ws("\t", F.concat(F.lit("gene"), F.col("p_partkey").cast("string")), "p_type", "p_name")
-    line = F.when(F.col("p_size") == 49, F.lit("## run info")).when(F.col("p_size") == 50, F.lit("#query\tCOG_category\tDescription")).otherwise(line)
-    lines = q("part").select(line.alias("value"))
-    return formats.parse_hash_header(lines, formats.hash_header(lines))
+    """Comments stand among the rows; later header-like comments name other columns."""
+    gene = F.when(F.col("p_size") == 48, F.lit("query")).otherwise(F.concat(F.lit("gene"), F.col("p_partkey").cast("string")))
+    line = F.concat_ws("\t", gene, "p_type", "p_name")
+    line = F.when(F.col("p_size") == 49, F.lit("## run info")).when(F.col("p_size") == 50, F.lit("#query\ta later\tcomment")).otherwise(line)
+    lines = q("part").select(line.alias("value"), F.col("p_partkey").alias("line_no"))
+    return formats.read_hash_header_tsv(q.spark, _files(q, lines, ["## run info", "#query\tCOG_category\tDescription"]))
+
+
+_STRIP_HEAD = ["DATASET_COLORSTRIP", "SEPARATOR COMMA", "DATASET_LABEL,Source", "COLOR,#000000", "SRR1,#ffffff,before the data", "DATA", ""]
 
 
 @query("read_colorstrip", "S12", """
@@ -166,18 +204,15 @@ SELECT 'SRR' || CAST(o_custkey AS VARCHAR) AS sample, arg_min(o_orderstatus, o_o
 FROM {orders} GROUP BY o_custkey""")
 def _(q):
     line = F.concat_ws(" , ", F.concat(F.lit("SRR"), F.col("o_custkey").cast("string")), "o_orderstatus", "o_orderpriority")
-    o = q("orders")
-    lines = o.select(line.alias("value"), F.col("o_orderkey").alias("line_no"))
-    head = o.agg(F.min("o_orderkey").alias("k")).select(F.explode(F.array(*[F.lit(h) for h in (
-        "DATASET_COLORSTRIP", "SEPARATOR COMMA", "DATASET_LABEL,Source", "COLOR,#000000", "DATA", "")])).alias("value"), (F.col("k") - 1).alias("line_no"))
-    return formats.parse_colorstrip(head.unionByName(lines), ["line_no"])
+    lines = q("orders").select(line.alias("value"), F.col("o_orderkey").alias("line_no"))
+    return formats.read_colorstrip(q.spark, _files(q, lines, _STRIP_HEAD))
 
 
-@query("write_colorstrip", "S12", """
-SELECT 5 AS line_no, sample || ',#000000,' || min(source) AS value FROM {groups} GROUP BY sample
-UNION ALL SELECT * FROM (VALUES (0, 'DATASET_COLORSTRIP'), (1, 'SEPARATOR COMMA'), (2, 'DATASET_LABEL,Source'), (3, 'COLOR,#000000'), (4, 'DATA')) v(a, b)""")
+@query("write_colorstrip", "S12", "SELECT sample, '#000000' AS color, min(source) AS label FROM {groups} GROUP BY sample")
 def _(q):
-    return formats.colorstrip_lines(q("groups"), "sample", "source", "Source")
+    path = _folder(q, "strip")
+    formats.write_colorstrip(q("groups"), path, "sample", "source", "Source")
+    return formats.read_colorstrip(q.spark, f"{path}/*/*.txt")
 
 
 @query("extract_ids", "S13", r"""
@@ -201,13 +236,9 @@ def _(q):
     return c.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("scan_projection", "S16", "SELECT l_orderkey, l_quantity FROM {lineitem} WHERE l_quantity >= 49")
+@query("scan_projection", "S16", "SELECT l_orderkey, l_quantity FROM {lineitem}")
 def _(q):
-    return q("lineitem").select("l_orderkey", "l_quantity").where("l_quantity >= 49")
-
-
-def _folder(q, name: str) -> str:
-    return f"{shared_folder(q.spark)}/isolens-{name}-{uuid.uuid4().hex}"
+    return q("lineitem").select("l_orderkey", "l_quantity")
 
 
 @query("write_both", "S17", "SELECT 'SRR' || CAST(o_orderkey AS VARCHAR) AS run, CASE o_orderpriority WHEN '5-LOW' THEN NULL ELSE o_orderstatus END AS status, 2 AS copies FROM {orders}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -48,6 +49,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _TEST_FOLDERS[app]
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one; it goes when the driver ends, where the session can be asked for that."""
+    path = f"{shared_folder(spark)}/isolens-{uuid.uuid4().hex}/{name}"
+    jvm = getattr(spark, "_jvm", None)  # a Connect session has none: there the folder's owner clears it
+    if jvm is not None:
+        top = jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+        top.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(top)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     spark = df.sparkSession

@@ -9,9 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import SAMPLE_PATTERN, normalize_id
+from ..session import cut_lineage
+
+#: Counts of splits are broadcast up to this many (some 100 bytes each).
+MOST_SPLITS = 200_000
 
 
 def read_lines(spark: SparkSession, path, whole: bool = False) -> DataFrame:
@@ -20,8 +25,36 @@ def read_lines(spark: SparkSession, path, whole: bool = False) -> DataFrame:
     return df.select("value", F.col("_metadata.file_path").alias("path"))
 
 
+def placed_lines(spark: SparkSession, path) -> DataFrame:
+    """Lines with their file and their number in it, counted from 0 (columns value, path, line_no).
+
+    A large file is read in several splits. Each split's lines are counted once, which tells the number
+    its first line has; rows are neither sorted nor moved. Should a file be cut differently in
+    the second reading, the job fails rather than number lines wrongly.
+    """
+    raw = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"))
+    splits = raw.groupBy("path", "__start").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy("path").orderBy("__start").rowsBetween(W.unboundedPreceding, -1)
+    splits = cut_lineage(splits.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))))
+    if splits.count() <= MOST_SPLITS:
+        splits = F.broadcast(splits)
+    inside = F.col("__id") - F.col("__first")
+    number = F.when((inside >= 0) & (inside < F.col("__n")), inside + F.col("__off")).otherwise(
+        F.raise_error(F.lit("the file was cut into other splits than before")).cast("long"))
+    return raw.join(splits, ["path", "__start"], "left").select("value", "path", number.alias("line_no"))
+
+
+def without_header(spark: SparkSession, path) -> tuple[str, DataFrame]:
+    """The first line of the first file, and all lines of all files but the first of each; a data line that repeats the header stays."""
+    lines = placed_lines(spark, path)
+    first = lines.where("line_no = 0").agg(F.min(F.struct("path", "value")).alias("f")).first().f
+    return "" if first is None else first.value, lines.where("line_no > 0")
+
+
 def parent_folder(path: Column) -> Column:
-    return F.try_element_at(F.split(path, "/"), F.lit(-2))
+    """Name of the folder that holds a file, without the ``column=`` of partitioned writes."""
+    return F.regexp_replace(F.try_element_at(F.split(path, "/"), F.lit(-2)), "^[A-Za-z_]+=", "")
 
 
 def parse_vcf(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -73,17 +106,18 @@ def parse_hash_header(lines: DataFrame, columns: Sequence[str], sep: str = "\t",
     return d.select(*[F.try_element_at("__p", F.lit(i + 1)).alias(c) for i, c in enumerate(columns) if c not in drop])
 
 
-def hash_header(lines: DataFrame, pattern: str = r"^#\s*query(_name)?\b", sep: str = "\t") -> list[str]:
-    """Column names from the first header-like comment line (one row reaches the driver)."""
-    row = lines.where(F.col("value").rlike(pattern)).limit(1).first()
-    if row is None:
+def hash_header(lines: DataFrame, pattern: str = r"^#\s*query(_name)?\b", sep: str = "\t", order: Sequence[str] = ()) -> list[str]:
+    """Column names from the header-like comment line that comes first in ``order`` (one row reaches the driver)."""
+    row = lines.where(F.col("value").rlike(pattern)).agg(F.min(F.struct(*order, "value")).alias("f")).first()
+    if row.f is None:
         raise ValueError("no header line starting with #query")
-    return row["value"].lstrip("#").strip().split(sep)
+    return row.f.value.lstrip("#").strip().split(sep)
 
 
 def read_hash_header_tsv(spark: SparkSession, path) -> DataFrame:
-    lines = read_lines(spark, path)
-    return parse_hash_header(lines, hash_header(lines))
+    """Table of files whose header is the first ``#query`` line; rows equal to it in a data line stay data."""
+    lines = placed_lines(spark, path)
+    return parse_hash_header(lines, hash_header(lines, order=["path", "line_no"]))
 
 
 def parse_colorstrip(lines: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -100,6 +134,27 @@ def parse_colorstrip(lines: DataFrame, order: Sequence[str]) -> DataFrame:
     return g.select("sample", "f.color", "f.label")
 
 
+def read_colorstrip(spark: SparkSession, path) -> DataFrame:
+    """First (colour, label) of each id in the lines after each file's ``DATA`` line; files count in the order of their paths.
+
+    A file without such a line has no entries. Whatever stands before it is header, also if it looks like an entry.
+    """
+    lines = placed_lines(spark, path)
+    begin = lines.where(F.upper(F.trim("value")) == "DATA").groupBy("path").agg(F.min("line_no").alias("__data"))
+    body = lines.join(begin, "path").where(F.col("line_no") > F.col("__data"))
+    return parse_colorstrip(body.drop("__data"), ["path", "line_no"])
+
+
+def write_colorstrip(df: DataFrame, path: str, sample: str, label: str, title: str, color: str = "#000000", per_file: int = 100_000) -> None:
+    """Colour-strip files of up to about ``per_file`` entries, each with its own header, one label for each id (the smallest)."""
+    lines = colorstrip_lines(df, sample, label, title, color)
+    files = max(1, -(-lines.count() // per_file))
+    entry = F.col("line_no") >= 5
+    part = F.when(entry, F.array((F.pmod(F.xxhash64("value"), F.lit(files))).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(files - 1)))
+    placed = lines.withColumn("file", F.explode(part)).repartition(files, "file").sortWithinPartitions("file", "line_no", "value")
+    placed.select("value", "file").write.mode("overwrite").partitionBy("file").text(path)
+
+
 def colorstrip_lines(df: DataFrame, sample: str, label: str, title: str, color: str = "#000000") -> DataFrame:
     """Lines of a colour-strip file: one per sample, header first (column ``line_no`` orders them)."""
     head = ["DATASET_COLORSTRIP", "SEPARATOR COMMA", f"DATASET_LABEL,{title}", f"COLOR,{color}", "DATA"]

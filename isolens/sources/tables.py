@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 import warnings
 from collections.abc import Sequence
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import normalize_id
 from ..operators.relations import expect
+from .formats import without_header
 
 PLACEHOLDER = "__LITERAL_COMMA__"
 # A comma escaped inside a quoted field, read as a plain comma after parsing.
@@ -83,28 +85,32 @@ def parse_lines(lines: DataFrame, schema: T.StructType, sep: str = ",", placehol
 
 
 def read_repaired_csv(spark: SparkSession, path, repairs: Sequence[tuple[str, str]] = (), placeholder: str = PLACEHOLDER) -> DataFrame:
-    """CSV whose lines are repaired before parsing; header excluded, one record per line."""
-    header = spark.read.option("header", True).csv(path).columns
-    raw = spark.read.text(path)
-    first = raw.limit(1).first()["value"]
-    lines = repair_lines(raw.where((F.col("value") != first) & (F.col("value") != "")), repairs, placeholder)
-    return parse_lines(lines.select("value"), text_schema(header), placeholder=placeholder)
+    """CSV whose lines are repaired before parsing, with n_escaped and n_repaired of each record; one record per line.
+
+    The header is the first line of each file, not every line that reads like it.
+    """
+    header, lines = without_header(spark, path)
+    names = next(csv.reader([header]))
+    fixed = repair_lines(lines.where("value <> ''").select("value"), repairs, placeholder)
+    rows = parse_lines(fixed, text_schema(names), placeholder=placeholder)
+    return rows.select(*[f"`{c}`" for c in names], F.col("n_escaped").cast("int"), F.col("n_repaired").cast("int"))
 
 
-def split_ragged(lines: DataFrame, header: Sequence[str], sep: str = "\t") -> tuple[DataFrame, DataFrame]:
+def split_ragged(lines: DataFrame, header: Sequence[str], sep: str = "\t", keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Good rows as a table and bad lines with their field count, from raw lines (column ``value``)."""
     n = len(header)
     d = lines.withColumn("__p", F.split("value", sep, -1))
     size = F.size("__p")
     good = d.where(size == n).select(*[F.col("__p")[i].alias(c) for i, c in enumerate(header)])
-    bad = d.where(size != n).select("value", size.alias("fields"), F.lit(n).alias("expected"))
+    bad = d.where(size != n).select(*keep, "value", size.alias("fields"), F.lit(n).alias("expected"))
     return good, bad
 
 
 def read_tsv_tolerant(spark: SparkSession, path, sep: str = "\t") -> tuple[DataFrame, DataFrame]:
-    raw = spark.read.text(path)
-    head = raw.limit(1).first()["value"]
-    return split_ragged(raw.where(F.col("value") != head), head.split(sep), sep)
+    """Good rows, and bad lines with their file, line number (from 0, header included) and field counts."""
+    header, lines = without_header(spark, path)
+    good, bad = split_ragged(lines, header.split(sep), sep, keep=["path", "line_no"])
+    return good, bad
 
 
 def drop_noise_rows(df: DataFrame, column: str, patterns: Sequence[str] = NOISE_PATTERNS) -> DataFrame:
@@ -112,20 +118,21 @@ def drop_noise_rows(df: DataFrame, column: str, patterns: Sequence[str] = NOISE_
     return df.where(~F.coalesce(F.col(column).rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False)))
 
 
-def sample_of_path(path: Column, suffix_pattern: str = r"_[A-Za-z0-9]+$") -> Column:
-    """Sample id out of a report path."""
-    base = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]+$", "")
+def sample_of_path(path: Column, suffix_pattern: str = r"_[A-Za-z0-9]+$", level: int = -1) -> Column:
+    """Sample id out of a report path; the ``column=`` of partitioned writes is left out."""
+    base = F.regexp_replace(F.regexp_replace(F.element_at(F.split(path, "/"), level), "^[A-Za-z_]+=", ""), r"\.[^.]+$", "")
     return normalize_id(F.regexp_replace(base, suffix_pattern, ""))
 
 
 def read_reports(spark: SparkSession, paths, manifest: DataFrame | None = None, sample: str = "sample", sep: str = "\t",
-                 suffix_pattern: str = r"_[A-Za-z0-9]+$") -> DataFrame:
+                 suffix_pattern: str = r"_[A-Za-z0-9]+$", level: int = -1) -> DataFrame:
     """One table out of per-sample reports with a leading sample column from the file name.
 
+    ``level`` is the part of the path that names the sample, counted from the end: -1 the file, -2 its folder.
     With a manifest, every listed sample must have a report.
     """
     df = spark.read.option("header", True).option("sep", sep).csv(paths)
-    df = df.select(sample_of_path(F.col("_metadata.file_path"), suffix_pattern).alias(sample), *[F.col(f"`{c}`") for c in df.columns])
+    df = df.select(sample_of_path(F.col("_metadata.file_path"), suffix_pattern, level).alias(sample), *[F.col(f"`{c}`") for c in df.columns])
     if manifest is not None:
         missing = missing_reports(df, manifest, sample).limit(5).collect()
         if missing:

@@ -1,3 +1,7 @@
+import gzip
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,7 +28,7 @@ def test_read_master(spark, tmp_path):
 def test_read_repaired_csv(spark, tmp_path):
     path = put(tmp_path / "d.csv", 'id,text,kind,end\n1,"raw\\, frozen","food",x\n2,""Exudate, Left Heel"","clinical",y\n')
     rows = tables.read_repaired_csv(spark, path, [(',""Exudate, Left Heel"","clinical",', ',"Exudate, Left Heel","clinical",')]).orderBy("id").collect()
-    assert [tuple(r) for r in rows] == [("1", "raw, frozen", "food", "x"), ("2", "Exudate, Left Heel", "clinical", "y")]
+    assert [tuple(r) for r in rows] == [("1", "raw, frozen", "food", "x", 1, 0), ("2", "Exudate, Left Heel", "clinical", "y", 0, 1)]
     with pytest.raises(Exception):
         tables.read_repaired_csv(spark, put(tmp_path / "e.csv", f"id,text\n1,{tables.PLACEHOLDER}\n")).collect()
 
@@ -68,5 +72,60 @@ def test_fasta_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).where("gene = 'g3'").count() == 1
     sinks.write_both(df, str(tmp_path / "twin"))
     assert tables.read_table(spark, str(tmp_path / "twin_tsv"), "\t").select(F.col("gene")).count() == 3
-    sums = sinks.file_checksums(spark, str(tmp_path / "p" / "*" / "*.parquet")).collect()
-    assert all(len(r.md5) == 32 for r in sums)
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files are cut into splits of 64 KB, also small ones."""
+    names = {"spark.sql.files.maxPartitionBytes": "65536", "spark.sql.files.openCostInBytes": "1024"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_lines_keep_their_place_over_splits(spark, tmp_path, small_splits):
+    for name, n in (("a", 40_000), ("b", 3), ("c", 9_000)):
+        put(tmp_path / "in" / f"{name}.txt", "".join(f"{name} {i}\n" for i in range(n)))
+    d = formats.placed_lines(spark, str(tmp_path / "in"))
+    assert d.select("path", "line_no").rdd.getNumPartitions() > 4
+    rows = d.collect()
+    assert len(rows) == 49_003 and all(r.value == f"{r.path[-5]} {r.line_no}" for r in rows)
+    head = "id,name"
+    put(tmp_path / "csv" / "x.csv", head + "\n" + "".join(f'{i},"n{i}"\n' if i % 7 else head + "\n" for i in range(20_000)))
+    got = tables.read_repaired_csv(spark, str(tmp_path / "csv")).collect()
+    assert len(got) == 20_000 and sum(r.id == "id" for r in got) == 2858
+    good, bad = tables.read_tsv_tolerant(spark, put(tmp_path / "t" / "x.tsv", "a\tb\n" + "".join("a\tb\n" if i % 5 else "one\n" for i in range(30_000))))
+    assert good.count() == 24_000 and {r.line_no for r in bad.collect()} == {i + 1 for i in range(0, 30_000, 5)}
+
+
+def test_colorstrip_first_wins_over_splits(spark, tmp_path, small_splits):
+    body = "".join(f"SRR{i % 5000},#{i:06d},l{i}\n" for i in range(20_000))
+    put(tmp_path / "s" / "1.txt", "DATASET_COLORSTRIP\nSRR1,#x,too early\nDATA\n" + body)
+    put(tmp_path / "s" / "2.txt", "SRR9,#y,later file\n\n data \nSRR9,#z,later\nSRR77777,#q,new\n")
+    put(tmp_path / "s" / "3.txt", "SRR88888,#q,no data line\n")
+    got = {r["sample"]: (r.color, r.label) for r in formats.read_colorstrip(spark, str(tmp_path / "s")).collect()}
+    assert got == {f"SRR{i}": (f"#{i:06d}", f"l{i}") for i in range(5000)} | {"SRR77777": ("#q", "new")}
+    df = spark.createDataFrame([(f"SRR{i % 900}", f"s{i}") for i in range(1000)], "s string, l string")
+    formats.write_colorstrip(df, str(tmp_path / "w"), "s", "l", "T", per_file=100)
+    files = list((tmp_path / "w").glob("file=*/*.txt"))
+    assert len(files) >= 9 and all(f.read_text().split("\n")[:5] == ["DATASET_COLORSTRIP", "SEPARATOR COMMA", "DATASET_LABEL,T", "COLOR,#000000", "DATA"] for f in files)
+    back = {r["sample"]: r.label for r in formats.read_colorstrip(spark, str(tmp_path / "w" / "*")).collect()}
+    assert back == {f"SRR{i}": min(f"s{j}" for j in (i, i + 900) if j < 1000) for i in range(900)}
+
+
+def test_checksums(spark, tmp_path, small_splits):
+    rng = random.Random(1)
+    contents = {
+        "empty": b"", "feed": b"\n", "text": b"a\r\nb\n\nlast", "noise.parquet": rng.randbytes(700_000), "one line": b"x" * 300_000, "feeds": b"\n" * 70_000,
+        "latin é.txt": "é\n".encode("latin-1") * 50_000, "packed.gz": gzip.compress(b"packed\n" * 5000)}
+    for name, raw in contents.items():
+        (tmp_path / name).write_bytes(raw)
+    for algorithm in ("md5", "sha256"):
+        got = {r.path.rsplit("/", 1)[-1]: r for r in sinks.file_checksums(spark, str(tmp_path), algorithm, chunk=10_000).collect()}
+        assert len(got) == len(contents)
+        for name, raw in contents.items():
+            r = got[name]
+            assert (r.length, r[algorithm]) == (len(raw), hashlib.new(algorithm, raw).hexdigest()), name
