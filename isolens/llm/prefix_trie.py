@@ -42,6 +42,7 @@ def grafted(turns: DataFrame, every: int = 100, heads: int = 6) -> DataFrame:
     Conversation c begins with the first h turns of conversation c - c % every (all if it has fewer,
     none if it is absent), h being crc32 of c's decimals modulo ``heads``; its own turns after its first h follow.
     """
+    turns = save(turns, "turns")  # read four times; ids and lengths only
     h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % heads
     base = F.col("conv_id") - F.col("conv_id") % every
     convs = turns.groupBy("conv_id").agg(F.max("pos").alias("own")).select("conv_id", h.alias("h"), base.alias("base"), "own")
