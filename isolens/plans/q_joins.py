@@ -126,7 +126,7 @@ d AS (SELECT a.c_custkey AS x, b.c_custkey AS y, CASE WHEN a.c_custkey = b.c_cus
 @query("pairwise_tree_distance", "J14", "WITH " + _DIST.replace("PAIRS", "{orders} JOIN {customer} a ON a.c_custkey = o_custkey JOIN (SELECT c_custkey + 1 AS k, * FROM {customer}) b ON a.c_custkey = b.k")
        + " SELECT DISTINCT 'SRR' || CAST(x AS VARCHAR) AS a, 'SRR' || CAST(y AS VARCHAR) AS b, CAST(dist AS DOUBLE) AS distance FROM d")
 def _(q):
-    paths = tree.ancestor_paths(q("tree_edges"))
+    paths = tree.tree_index(q("tree_edges"))
     pairs = q("orders").select(F.concat(F.lit("SRR"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("SRR"), (F.col("o_custkey") - 1).cast("string")).alias("b")).where("a <> 'SRR0'")
     return tree.pairwise_tree_distance(paths, pairs)
 
@@ -139,6 +139,20 @@ def _(q):
     return tree.distance_summary(paths, q("groups").select(F.col("sample").alias("tip"), "lineage"), "lineage")
 
 
+_REAL = _DIST.replace("floor(abs(a.c_acctbal) / 100)", "abs(a.c_acctbal) / 97").replace("floor(abs(b.c_acctbal) / 100)", "abs(b.c_acctbal) / 97")
+
+
+@query("distance_order_summary", "G45", "WITH " + _REAL.replace("PAIRS", "{customer} a JOIN {customer} b ON a.c_custkey < b.c_custkey")
+       + """, m AS (SELECT sample, lineage FROM {groups}), w AS (SELECT ma.lineage, dist FROM d JOIN m ma ON ma.sample = 'SRR' || CAST(x AS VARCHAR) JOIN m mb ON mb.sample = 'SRR' || CAST(y AS VARCHAR) WHERE ma.lineage = mb.lineage)
+SELECT lineage, (SELECT count(*) FROM m WHERE m.lineage = w.lineage) AS n_tips, count(*) AS n_pairs, round(min(dist), 6) AS min_distance, round(median(dist), 6) AS median_distance, round(max(dist), 6) AS max_distance FROM w GROUP BY lineage""")
+def _(q):
+    """The tree of the samples with real branch lengths."""
+    c = q("customer").select(F.concat(F.lit("SRR"), F.col("c_custkey").cast("string")).alias("child"), (F.abs("c_acctbal") / 97).alias("real"))
+    edges = q("tree_edges").join(c, "child", "left").select("child", "parent", F.coalesce("real", F.col("length").cast("double")).alias("length"))
+    found = tree.distance_order_summary(tree.tree_index(edges), q("groups").select(F.col("sample").alias("tip"), "lineage"), "lineage")
+    return rounded(found, "min_distance", "median_distance", "max_distance")
+
+
 @query("with_denominator", "J15", """
 SELECT m.segment, m.marker, m.n, d.n_total, round(100.0 * m.n / d.n_total, 6) AS pct FROM (SELECT segment, marker, count(*) AS n FROM {o_markers} GROUP BY ALL) m JOIN (SELECT segment, count(*) AS n_total FROM {isolates} GROUP BY 1) d USING (segment)""")
 def _(q):

@@ -68,6 +68,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder. Unlike a checkpoint it carries no constraints of its plan, which grow fast where a loop builds on itself."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, for functions that run there."""
     app = spark.sparkContext.applicationId

@@ -82,10 +82,57 @@ def test_distances_against_brute_force(spark):
         vals = [d for (a, b), d in dist.items() if groups[a] == groups[b] == g]
         assert (got[g].n_pairs, got[g].min_distance, got[g].max_distance, got[g].median_distance) == (len(vals), min(vals), max(vals), statistics.median(vals))
     pairs = list(dist)[:50]
-    out = tree.pairwise_tree_distance(paths, spark.createDataFrame(pairs, "a string, b string")).collect()
+    index = tree.tree_index(spark.createDataFrame(edges, "child string, parent string, length long"))
+    out = tree.pairwise_tree_distance(index, spark.createDataFrame(pairs, "a string, b string")).collect()
     assert {(r.a, r.b): r.distance for r in out} == {p: dist[p] for p in pairs}
 
 
+@pytest.mark.parametrize("listed, drawn", [(200_000, 512), (15, 40)])
+def test_real_distances_without_pairs(spark, monkeypatch, listed, drawn):
+    """A tree of chains, stars and ties in real lengths: median, extremes and counts against all pairs."""
+    monkeypatch.setattr(tree, "LISTED", listed)
+    monkeypatch.setattr(tree, "DRAWN", drawn)
+    rng = random.Random(listed)
+    parent = {}
+    for i in range(1, 61):
+        up = i - 1 if i < 25 else 3 if i < 40 else rng.randrange(i)
+        parent[f"n{i}"] = (f"n{up}", rng.choice([0.0, 0.5, rng.random(), 3 * rng.random()]))
+    tips = [n for n in parent if rng.random() < 0.7]  # inner nodes too
+
+    def ups(n):
+        out, d = {n: 0.0}, 0.0
+        while n in parent:
+            d += parent[n][1]
+            n = parent[n][0]
+            out[n] = d
+        return out
+
+    of = {t: ups(t) for t in tips}
+    groups = {t: "ghk"[min(i % 5, 2)] for i, t in enumerate(tips)} | {"n60": "alone"}
+    index = tree.tree_index(spark.createDataFrame([(c, p, x) for c, (p, x) in parent.items()], "child string, parent string, length double"))
+    got = {r.grp: r for r in tree.distance_order_summary(index, spark.createDataFrame(list(groups.items()), "tip string, grp string"), "grp").collect()}
+    assert set(got) == {"g", "h", "k"}
+    of["n60"] = ups("n60")
+    for g, r in got.items():
+        own = [t for t in groups if groups[t] == g]
+        d = [min(of[a][x] + of[b][x] for x in of[a] if x in of[b]) for a, b in itertools.combinations(own, 2)]
+        assert (r.n_tips, r.n_pairs) == (len(own), len(d))
+        assert (r.min_distance, r.median_distance, r.max_distance) == pytest.approx((min(d), statistics.median(d), max(d)), abs=1e-9)
+
+
+def test_jump_table_of_a_deep_chain(spark):
+    n = 10_000
+    edges = spark.range(1, n + 1).selectExpr("id AS child", "id - 1 AS parent", "id % 7 AS length")
+    index = tree.tree_index(edges)
+    assert len(index.levels) == 14 and sum(x.count() for x in index.levels) < n * 14
+    at = [0]
+    for i in range(1, n + 1):
+        at.append(at[-1] + i % 7)
+    pairs = [(0, n), (5, 9999), (77, 77), (9000, 4097), (1, 2)]
+    got = tree.pairwise_tree_distance(index, spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {(r.a, r.b): r.distance for r in got} == {(a, b): abs(at[a] - at[b]) for a, b in pairs}
+
+
 def test_accumulation_draws_agree_with_expectation(spark):
     rows = [(f"s{i}", f"g{j}") for i in range(12) for j in range(20) if (i * 7 + j * 3) % 5 < 3 or j == 0]
     pres = spark.createDataFrame(rows, "sample string, gene string")
