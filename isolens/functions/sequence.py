@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .text import col
 
@@ -14,6 +12,7 @@ BASES = "TCAG"
 AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 CODONS = {a + b + c: AMINO_ACIDS[16 * i + 4 * j + k]
           for i, a in enumerate(BASES) for j, b in enumerate(BASES) for k, c in enumerate(BASES)}
+STOPS = ("TAA", "TAG", "TGA")
 
 
 def revcomp(c: Column | str) -> Column:
@@ -28,35 +27,31 @@ def translate(c: Column | str) -> Column:
     return F.array_join(F.transform(codons, lambda x: F.coalesce(F.try_element_at(table, x), F.lit("X"))), "")
 
 
-_ORF_SCHEMA = T.StructType([
-    T.StructField("start", T.IntegerType()), T.StructField("nt", T.StringType()), T.StructField("frame", T.IntegerType())])
-
-
-@F.pandas_udf(_ORF_SCHEMA)
-def _longest_orf(seqs: pd.Series) -> pd.DataFrame:
-    stops = {"TAA", "TAG", "TGA"}
-    rows = []
-    for seq in seqs:
-        best = (None, "", None)
-        seq = (seq or "").upper()
-        for frame in range(3):
-            opened = None
-            for i in range(frame, len(seq) - 2, 3):
-                codon = seq[i:i + 3]
-                if opened is None:
-                    if codon == "ATG":
-                        opened = i
-                elif codon in stops:
-                    if i + 3 - opened > len(best[1]):
-                        best = (opened + 1, seq[opened:i + 3], frame + 1)
-                    opened = None
-        rows.append(best)
-    return pd.DataFrame(rows, columns=["start", "nt", "frame"]).astype({"start": "Int32", "frame": "Int32"})
+def _frame_orf(seq: Column, frame: int) -> Column:
+    """(n codons, -frame, first codon) of the longest run of one frame: a fold over its start and stop codons; n is 0 without one."""
+    codons = F.regexp_extract_all(F.substr(seq, F.lit(frame + 1)), F.lit("(?s).{3}"), F.lit(0))
+    kind = lambda x: F.when(x == "ATG", 1).when(x.isin(*STOPS), 2).otherwise(0)
+    events = F.filter(F.transform(codons, lambda x, i: F.struct(i.alias("i"), kind(x).alias("kind"))), lambda e: e["kind"] > 0)
+
+    def step(s: Column, e: Column) -> Column:
+        begins, ends = (e["kind"] == 1) & (s["open"] < 0), (e["kind"] == 2) & (s["open"] >= 0)
+        n = e["i"] + 1 - s["open"]
+        longer = ends & (n > s["n"])
+        return F.struct(F.when(begins, e["i"]).when(ends, -1).otherwise(s["open"]).alias("open"),
+                        F.when(longer, n).otherwise(s["n"]).alias("n"), F.when(longer, s["open"]).otherwise(s["at"]).alias("at"))
+
+    zero = F.struct(F.lit(-1).alias("open"), F.lit(0).alias("n"), F.lit(0).alias("at"))
+    return F.aggregate(events, zero, step, lambda s: F.struct(s["n"].alias("n"), F.lit(-frame).alias("f"), s["at"].alias("at")))
 
 
 def longest_orf(c: Column | str) -> Column:
-    """Struct (start, nt, frame) of the longest ATG…stop run over the three forward frames."""
-    return _longest_orf(col(c))
+    """Struct (start, nt, frame) of the longest ATG…stop run over the three forward frames; ties go to the lower frame, then the earlier start."""
+    seq = F.upper(F.coalesce(col(c), F.lit("")))
+    best = F.array_max(F.array(*[_frame_orf(seq, f) for f in range(3)]))
+    start = lambda b: b["at"] * 3 - b["f"] + 1
+    found = F.transform(F.array(best), lambda b: F.struct(
+        F.when(b["n"] > 0, start(b)).alias("start"), F.substr(seq, start(b), b["n"] * 3).alias("nt"), F.when(b["n"] > 0, 1 - b["f"]).alias("frame")))
+    return found[0]
 
 
 def hit_flags(hit_nt: Column | str, ref_nt: Column | str, orf_nt: Column | str, min_share: float = 0.8) -> dict[str, Column]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stats import draw_seed
-from ..session import cut_lineage, spread
+from ..session import cut_lineage, saved, spread
 from .enrichment import bh
 from .ranking import hash_order, sample_up_to
 from .relations import exclude, union_all
@@ -155,6 +155,7 @@ def stratified_selection(df: DataFrame, plan: dict, id_col: str = "id", seed: in
     ``total``, ``early`` = {before, total, targets{source: n}} and ``late`` =
     [{name, lo, hi, targets{source: n}}], ``positive_share``.  Every draw is a seeded hash order.
     """
+    df = saved(df, "pool")  # read by every step below
     spark_map = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
     forced = df.where("forced").withColumn("section", F.lit("forced"))
     pool = df.where("NOT forced")
@@ -164,7 +165,7 @@ def stratified_selection(df: DataFrame, plan: dict, id_col: str = "id", seed: in
     have = block.where("positive").groupBy("source").agg(F.count(F.lit(1)).alias("np"))
     need = block.where("NOT positive").join(have, "source", "left").withColumn(
         "take", F.greatest(F.coalesce(F.try_element_at(spark_map(early["targets"]), F.col("source")), F.lit(0)) - F.coalesce("np", F.lit(0)), F.lit(0)))
-    picked = cut_lineage(block.where("positive").unionByName(sample_up_to(need, "take", "source", id_col, seed).drop("np", "take")))
+    picked = saved(block.where("positive").unionByName(sample_up_to(need, "take", "source", id_col, seed).drop("np", "take")), "picked")
     short = F.greatest(F.lit(early["total"]) - one_value(picked, F.count(F.lit(1))), F.lit(0))
     refill = sample_up_to(exclude(block, picked, id_col).withColumn("take", short), "take", (), id_col, seed + 1).drop("take")
     first = union_all(picked, refill).withColumn("section", F.lit("early"))
@@ -184,9 +185,10 @@ def stratified_selection(df: DataFrame, plan: dict, id_col: str = "id", seed: in
     # arrival order of the section: positives first, then years, patterns and hash; cut at the target
     # (a section holds at most years x target rows here, so the ordered pass is bounded by the plan)
     order = W.partitionBy("section", "source").orderBy(F.desc("positive"), "year", "pattern", hash_order(id_col, seed + 2), id_col)
+    late = saved(late, "late")
     late = late.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= F.col("target")).drop("__r", "target", "need", "take")
 
-    rest = union_all(first, late)
+    rest = saved(union_all(first, late), "rest")
     room = F.lit(plan["total"]) - one_value(forced, F.count(F.lit(1)))
     fits = F.when(room >= 0, room).otherwise(F.raise_error(F.lit("the forced stratum is larger than the whole selection")))
     forced = forced.where(fits >= 0)

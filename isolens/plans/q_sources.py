@@ -310,13 +310,16 @@ def _(q):
 
 
 # One regular expression per frame gives the same runs: codon-aligned text with stops marked.
-@query("longest_orf", "X6", f"""
+_ORF = f"""
 WITH d AS (SELECT doc_id, {_DNA} AS s FROM {{documents}}),
 f AS (SELECT doc_id, fr, substr(s, fr + 1) AS s FROM d, (VALUES (0), (1), (2)) v(fr)),
 c AS (SELECT doc_id, fr, i, substr(s, CAST(i * 3 + 1 AS BIGINT), 3) AS codon FROM f, unnest(generate_series(0, CAST(length(s) // 3 AS BIGINT) - 1)) AS g(i)),
 b AS (SELECT *, coalesce(sum(CASE WHEN codon IN ('TAA','TAG','TGA') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, fr ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM c),
 o AS (SELECT doc_id, fr, seg, min(CASE WHEN codon = 'ATG' THEN i END) AS a, max(CASE WHEN codon IN ('TAA','TAG','TGA') THEN i END) AS z FROM b GROUP BY ALL)
-SELECT d.doc_id, coalesce(max((z - a + 1) * 3), 0) AS nt_length FROM d LEFT JOIN (SELECT * FROM o WHERE a IS NOT NULL AND z IS NOT NULL) o USING (doc_id) GROUP BY d.doc_id""")
+SELECT d.doc_id, coalesce(max((z - a + 1) * 3), 0) AS nt_length FROM d LEFT JOIN (SELECT * FROM o WHERE a IS NOT NULL AND z IS NOT NULL) o USING (doc_id) GROUP BY d.doc_id"""
+
+
+@query("longest_orf", "X6", _ORF)
 def _(q):
     orf = sequence.longest_orf(F.regexp_replace(F.upper("text"), "[^ACGT]", ""))
     return q("documents").select("doc_id", F.length(orf["nt"]).cast("bigint").alias("nt_length"))
@@ -333,7 +336,10 @@ def _(q):
     return j.select("doc_id", *[v.alias(k) for k, v in flags.items() if k == "partial_hit"])
 
 
-@query("hit_flags_full", "X6")
+@query("hit_flags_full", "X6", f"""
+WITH b AS (SELECT doc_id, lang, {_DNA} AS s FROM {{documents}}), r AS (SELECT lang, min(s) AS ref FROM b GROUP BY lang), n AS ({_ORF})
+SELECT b.doc_id, length(s) < greatest(length(ref), 1) AS partial_hit, nt_length > 0 AS orf_found, false AS internal_stop, nt_length = 0 OR nt_length < 0.8 * length(ref) AS frame_disruption
+FROM b JOIN r USING (lang) JOIN n USING (doc_id)""")
 def _(q):
     d = q("documents").select("doc_id", "lang", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("s"))
     ref = d.groupBy("lang").agg(F.min("s").alias("ref"))
