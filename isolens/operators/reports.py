@@ -6,6 +6,7 @@ tables, whose size depends on the number of categories and not on the number of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,9 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .ranking import level_index, top_k
+from ..session import saved
+from .ranking import exact_rank, hash_bucket, level_index, top_k
 from .relations import as_list, null_safe_join, union_all
 
+#: Combinations of seen values that a completed grid may have.
+MOST_CELLS = 10_000_000_000
+
 
 def counts(df: DataFrame, keys, name: str = "n", keep_null: bool = True) -> DataFrame:
     keys = as_list(keys)
@@ -30,6 +35,21 @@ def with_share(df: DataFrame, keys, col: str = "n", total: str = "total", pct: s
     return df.withColumn(total, F.sum(col).over(w)).withColumn(pct, 100.0 * F.try_divide(F.col(col), F.col(total)))
 
 
+def counts_with_total(df: DataFrame, keys, within=(), name: str = "n", total: str = "total", pct: str = "pct") -> DataFrame:
+    """Counts by ``keys`` with the total of ``within`` beside each row, for keys without bound.
+
+    One grouping-sets pass gives counts and totals; the totals, few next to the counts, are joined back, so
+    no group of counts meets in one task as it would in a window.
+    """
+    keys, within = as_list(keys), as_list(within)
+    g = df.groupingSets([keys, within], *keys).agg(F.count(F.lit(1)).alias(name), F.grouping_id().alias("__g"))
+    g = saved(g, "counts")
+    rows = g.where("__g = 0").drop("__g")
+    totals = g.where("__g > 0").select(*within, F.col(name).alias(total))
+    rows = null_safe_join(rows, totals, within, "left") if within else rows.withColumn(total, one_value(totals, F.max(total)))
+    return rows.withColumn(pct, 100.0 * F.try_divide(F.col(name), F.col(total)))
+
+
 def pct_within(df: DataFrame, keys, within) -> DataFrame:
     return with_share(counts(df, keys), within)
 
@@ -52,23 +72,38 @@ def one_value(df: DataFrame, value: Column) -> Column:
     return df.agg(value.alias("v")).scalar()
 
 
-def complete(df: DataFrame, dims: dict[str, Sequence | None], fill: dict) -> DataFrame:
+def _numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The values seen in a column, null among them, numbered from 0 in a hash order, and their count."""
+    h = F.xxhash64(F.struct(name))
+    seen = saved(df.select(name).distinct().withColumn("__h", h), "seen")
+    ids = exact_rank(seen, (), [F.col("__h"), F.col(name)], hash_bucket(F.col("__h")), "__id")
+    return ids.select(name, (F.col("__id") - 1).cast("long").alias(f"__{name}")), seen.count()
+
+
+def complete(df: DataFrame, dims: dict[str, Sequence | None], fill: dict, most: int = MOST_CELLS) -> DataFrame:
     """Every combination of the dimension values, missing measures filled.
 
-    ``None`` takes the values seen in the (already aggregated) table; a list names them. The first
-    seen dimension stays a distributed table, to whose rows the values of the others are exploded,
-    so all but one of them should be short.
+    ``None`` takes the values seen in the (already aggregated) table, null too; a list names them and should be
+    short. Several seen dimensions are numbered, and the numbers of all their combinations, a plain range, are
+    joined back to the values; no list of values is held in one place. More than ``most`` combinations are refused.
     """
-    grid = None
-    for name, values in sorted(dims.items(), key=lambda d: d[1] is not None):
-        if grid is None:
-            grid = df.select(name).distinct() if values is None else df.sparkSession.createDataFrame([(v,) for v in values], f"{name} {dict(df.dtypes)[name]}")
-        elif values is None:
-            # structs keep a null category, which collect_set alone would drop
-            seen = one_value(df, F.collect_set(F.struct(F.col(name).alias("v"))))
-            grid = grid.withColumn(name, F.explode(seen)).withColumn(name, F.col(name)["v"])
-        else:
-            grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    seen = [n for n, values in dims.items() if values is None]
+    if len(seen) > 1:
+        parts = [(n, *_numbered(df, n)) for n in seen]
+        cells = math.prod(count for _, _, count in parts) * math.prod(len(v) for v in dims.values() if v is not None)
+        if cells > most:
+            raise ValueError(f"{cells} combinations of {list(dims)}, more than {most}")
+        grid, step = df.sparkSession.range(math.prod(count for _, _, count in parts)), 1
+        for name, ids, count in parts:
+            grid = grid.withColumn(f"__{name}", F.floor(F.col("id") / step).cast("long") % count).join(ids, f"__{name}").drop(f"__{name}")
+            step *= count
+        grid = grid.drop("id")
+    else:
+        grid = df.select(*seen).distinct() if seen else None
+    for name, values in dims.items():
+        if values is not None:
+            one = df.sparkSession.createDataFrame([(v,) for v in values], f"{name} {dict(df.dtypes)[name]}") if grid is None else None
+            grid = one if grid is None else grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     grid = grid.select(*dims)
     out = null_safe_join(grid, df, list(dims), "left")
     return out.select(*[F.coalesce(F.col(c), F.lit(fill[c])).alias(c) if c in fill else F.col(c) for c in df.columns])
@@ -123,8 +158,7 @@ def marker_combinations(burden: DataFrame, lo: int, hi: int | None = None) -> Da
     """Counts of exact marker combinations with between ``lo`` and ``hi`` markers."""
     n = F.col("n_markers")
     sel = burden.where((n >= lo) & (n <= hi) if hi is not None else n >= lo)
-    c = sel.groupBy("n_markers", "markers").agg(F.count(F.lit(1)).alias("n_isolates"))
-    return with_share(c, [], "n_isolates", "total").drop("total")
+    return counts_with_total(sel, ["n_markers", "markers"], (), "n_isolates").drop("total")
 
 
 def genotype_signatures(df: DataFrame, year: str, markers: str, flags: dict[str, Column],
@@ -267,8 +301,7 @@ def subset_breakdowns(df: DataFrame, cols: Sequence[str], blank: str = "[Missing
     """Counts and percents of several columns at once: unpivot, then one group."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(
         F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit(blank)).alias("value")) for c in cols]))
-    c = df.select(pairs.alias("p")).select("p.*").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
-    return with_share(c, "field")
+    return counts_with_total(df.select(pairs.alias("p")).select("p.*"), ["field", "value"], "field")
 
 
 def year_counts(df: DataFrame, year: str, lo: int, hi: int, by: dict[str, Sequence] | None = None) -> DataFrame:

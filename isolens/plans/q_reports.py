@@ -57,9 +57,9 @@ def _(q):
 
 @query("pct_within", "G3", f"""
 SELECT segment, year, qr_status, n, CAST(sum(n) OVER (PARTITION BY segment, year) AS BIGINT) AS total, round(100.0 * n / sum(n) OVER (PARTITION BY segment, year), 6) AS pct
-FROM (SELECT segment, year, {STATUS_SQL} AS qr_status, count(*) AS n FROM {{o_packed}} WHERE year BETWEEN 1996 AND 2000 GROUP BY ALL)""")
+FROM (SELECT segment, year, {STATUS_SQL} AS qr_status, count(*) AS n FROM {{o_packed}} GROUP BY ALL)""")
 def _(q):
-    d = q.cohort.where("year BETWEEN 1996 AND 2000").withColumn("qr_status", status())
+    d = q.cohort.withColumn("qr_status", status())
     return rounded(reports.pct_within(d, ["segment", "year", "qr_status"], ["segment", "year"]), "pct")
 
 
@@ -98,9 +98,9 @@ def _(q):
 
 @query("genotype_signatures", "G8", """
 SELECT year, CASE WHEN n_markers = 0 THEN 'QS/FQS (no marker)' ELSE replace(packed, ';', ' + ') END AS signature, count(*) AS n_available, count(*) FILTER (selected) AS n_selected, count(*) FILTER (analyzed) AS n_analyzed
-FROM {o_packed} WHERE year BETWEEN 1997 AND 2000 GROUP BY ALL""")
+FROM {o_packed} GROUP BY ALL""")
 def _(q):
-    return reports.genotype_signatures(q.cohort.where("year BETWEEN 1997 AND 2000"), "year", "markers", {"n_selected": sel(), "n_analyzed": ana()})
+    return reports.genotype_signatures(q.cohort, "year", "markers", {"n_selected": sel(), "n_analyzed": ana()})
 
 
 @query("source_audit", "G9", """
@@ -121,14 +121,23 @@ def _(q):
 
 
 @query("complete", "G11", """
-WITH c AS (SELECT isolation_source, year, count(*) AS n FROM {isolates} WHERE status = 'F' AND price > 300000 GROUP BY ALL)
+WITH c AS (SELECT isolation_source, year, count(*) AS n FROM {isolates} GROUP BY ALL)
 SELECT i.s AS isolation_source, y.year, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT isolation_source AS s FROM c) i, (SELECT CAST(unnest(generate_series(1994, 2002)) AS INT) AS year UNION ALL SELECT NULL) y
 LEFT JOIN c ON c.isolation_source = i.s AND c.year IS NOT DISTINCT FROM y.year""")
 def _(q):
-    c = reports.counts(q("isolates").where("status = 'F' AND price > 300000"), ["isolation_source", "year"])
+    c = reports.counts(q("isolates"), ["isolation_source", "year"])
     return reports.complete(c, {"isolation_source": None, "year": [*range(1994, 2003), None]}, {"n": 0})
 
 
+@query("complete_seen", "G11", """
+WITH c AS (SELECT segment, host, year, count(*) AS n FROM {isolates} GROUP BY ALL),
+g AS (SELECT * FROM (SELECT DISTINCT segment FROM c) a, (SELECT DISTINCT host FROM c) b, (SELECT DISTINCT year FROM c) d)
+SELECT g.segment, g.host, g.year, coalesce(c.n, 0) AS n FROM g LEFT JOIN c ON c.segment IS NOT DISTINCT FROM g.segment AND c.host IS NOT DISTINCT FROM g.host AND c.year IS NOT DISTINCT FROM g.year""")
+def _(q):
+    """Three dimensions with the values that occur, null among them."""
+    return reports.complete(reports.counts(q("isolates"), ["segment", "host", "year"]), {"segment": None, "host": None, "year": None}, {"n": 0})
+
+
 @query("sampling_weights_by_period", "G12", f"""
 WITH w AS (SELECT period, segment, qr_status, {_W} FROM (SELECT *, {PERIOD_SQL} AS period, {STATUS_SQL} AS qr_status FROM {{o_packed}}) GROUP BY ALL),
 g AS (SELECT * FROM (VALUES ('Early'), ('1997-1999'), ('Late'), ('Missing year')) p(period), (SELECT DISTINCT segment FROM {{isolates}}) s, (VALUES ('positive'), ('negative')) t(qr_status))
@@ -255,10 +264,10 @@ LINEAGES = ["Clade 1A", "Clade 1B", "Clade 2", "Clade 3", "Unassigned"]
 
 
 @query("composition_table", "G22", """
-WITH g AS (SELECT * FROM (SELECT DISTINCT lineage FROM {groups} WHERE lineage <> 'Clade 3'), (SELECT DISTINCT source FROM {groups} WHERE lineage <> 'Clade 3')), c AS (SELECT lineage, source, count(*) AS n FROM {groups} GROUP BY ALL), f AS (SELECT lineage, source, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (lineage, source))
+WITH g AS (SELECT * FROM (SELECT DISTINCT lineage FROM {groups}), (SELECT DISTINCT source FROM {groups})), c AS (SELECT lineage, source, count(*) AS n FROM {groups} GROUP BY ALL), f AS (SELECT lineage, source, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (lineage, source))
 SELECT lineage, source, n, CAST(sum(n) OVER l AS BIGINT) AS group_n, round(100.0 * n / sum(n) OVER l, 6) AS within_pct, CAST(sum(n) OVER s AS BIGINT) AS category_n, round(100.0 * n / sum(n) OVER s, 6) AS share_pct FROM f WINDOW l AS (PARTITION BY lineage), s AS (PARTITION BY source)""")
 def _(q):
-    return rounded(reports.composition_table(q("groups"), "lineage", "source", [x for x in LINEAGES if x != "Clade 3"]), "within_pct", "share_pct")
+    return rounded(reports.composition_table(q("groups"), "lineage", "source", LINEAGES), "within_pct", "share_pct")
 
 
 @query("group_sizes", "G23", """
