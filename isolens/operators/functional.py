@@ -8,26 +8,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import exact_rank
 from .relations import as_list, null_safe_join
 
 # Category strings that mean "no protein".
 NO_PROTEIN = ("", "-", "NO_PROTEIN")
+#: Records or names packed in one row.
+CHUNK = 10_000
 
 
-def gene_rollup(df: DataFrame, keys, variant: str, effect: str, bin_col: str, pct_in: str, pct_out: str) -> DataFrame:
-    """One row per gene: variant count, packed ids, effects and bins, percent ranges.
+def in_chunks(df: DataFrame, keys, item: str, size: int = CHUNK, out: str = "chunk") -> DataFrame:
+    """Rows numbered by ``item`` within a key, in chunks of ``size`` (column ``out``, from 0).
 
-    ``variants`` keeps the aligned records; the packed texts are for export only.
+    Items with the same first letters are ordered together, so a key with very many rows is numbered by several tasks.
     """
-    record = F.struct(F.col(variant).alias("id"), F.col(effect).alias("effect"), F.col(bin_col).alias("bin"))
+    bucket = F.coalesce(F.substring(F.col(item).cast("string"), 1, 6), F.lit(""))
+    ranked = exact_rank(df, keys, [F.col(item)], bucket, "__r")
+    return ranked.withColumn(out, F.expr(f"(__r - 1) DIV {size}").cast("long")).drop("__r")
+
+
+def gene_rollup(df: DataFrame, keys, variant: str, effect: str, bin_col: str, pct_in: str, pct_out: str, size: int = CHUNK) -> DataFrame:
+    """Genes with variant count, packed ids, effects and bins, percent ranges.
+
+    ``variants`` keeps the aligned records and ``variant_ids`` their ids as text, up to ``size`` in a row: a
+    gene with more has further rows, numbered by ``chunk``, that repeat what holds for the whole gene.
+    """
+    keys = as_list(keys)
 
     def packed(c):
         return F.array_join(F.array_sort(F.collect_set(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)))), ";")
 
-    g = df.groupBy(*as_list(keys)).agg(
-        F.count(F.lit(1)).alias("n_variants"), F.array_sort(F.collect_list(record)).alias("variants"),
-        packed(effect).alias("effects"), packed(bin_col).alias("bins"),
+    record = F.struct(F.col(variant).alias("id"), F.col(effect).alias("effect"), F.col(bin_col).alias("bin"))
+    whole = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_variants"), packed(effect).alias("effects"), packed(bin_col).alias("bins"),
         F.min(pct_in).alias("min_in"), F.max(pct_in).alias("max_in"), F.min(pct_out).alias("min_out"), F.max(pct_out).alias("max_out"))
+    parts = in_chunks(df.select(*keys, variant, effect, bin_col), keys, variant, size)
+    parts = parts.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(record)).alias("variants"))
+    g = null_safe_join(parts, whole, keys, "inner")
     return g.withColumn("variant_ids", F.array_join(F.transform("variants", lambda v: v["id"]), ";"))
 
 
@@ -85,8 +102,12 @@ def clade_overview(df: DataFrame, group: str, cog: str, variant: str, gene: str,
         *[F.count_if(v & known & F.col(f"__{c}")).alias(c.lower()) for c in ("High", "Moderate", "Low")])
 
 
-def cog_summary(df: DataFrame, group: str, gene: str, cog: str, has_protein: str) -> DataFrame:
-    """Genes, available proteins, distinct letters per group, and genes with several letters as text."""
+def cog_summary(df: DataFrame, group: str, gene: str, cog: str, has_protein: str, size: int = CHUNK) -> DataFrame:
+    """Genes, available proteins, distinct letters per group, and genes with several letters as text.
+
+    The text lists up to ``size`` genes of a number of letters; a group with more has further rows, numbered by
+    ``chunk``, with the next genes of each number.
+    """
     g = df.select(group, gene, has_protein, F.when(F.coalesce(F.col(cog), F.lit("")).isin(*NO_PROTEIN), F.lit("NO_PROTEIN"))
                   .otherwise(F.col(cog)).alias("__c")).distinct()
     n = F.when(F.col("__c") == "NO_PROTEIN", 0).otherwise(F.length("__c"))
@@ -94,10 +115,13 @@ def cog_summary(df: DataFrame, group: str, gene: str, cog: str, has_protein: str
     summary = g.groupBy(group).agg(F.count_distinct(gene).alias("n_genes"), F.count_if(F.col(has_protein)).alias("n_proteins"),
                                    F.size(letters).alias("n_letters"))
     multi = g.where(n >= 2).select(group, n.alias("k"), F.format_string("%s (%d COG)", gene, n).alias("t"))
-    multi = multi.groupBy(group, "k").agg(F.count(F.lit(1)).alias("m"), F.array_join(F.array_sort(F.collect_list("t")), "; ").alias("t"))
-    multi = multi.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("k", F.format_string("%d proteins (%d COG): %s", "m", "k", "t").alias("t")))).alias("x"))
-    text = multi.select(group, F.array_join(F.transform("x", lambda s: s["t"]), " | ").alias("multi"))
-    return summary.join(text, group, "left").fillna("None", subset=["multi"])
+    sizes = multi.groupBy(group, "k").agg(F.count(F.lit(1)).alias("m"))
+    parts = in_chunks(multi, [group, "k"], "t", size).groupBy(group, "k", "chunk").agg(F.array_join(F.array_sort(F.collect_list("t")), "; ").alias("t"))
+    parts = null_safe_join(parts, sizes, [group, "k"], "inner")
+    # few numbers of letters, one text each
+    text = parts.groupBy(group, "chunk").agg(F.array_sort(F.collect_list(F.struct("k", F.format_string("%d proteins (%d COG): %s", "m", "k", "t").alias("t")))).alias("x"))
+    text = text.select(group, "chunk", F.array_join(F.transform("x", lambda s: s["t"]), " | ").alias("multi"))
+    return null_safe_join(summary, text, [group], "left").fillna("None", subset=["multi"]).fillna(0, subset=["chunk"])
 
 
 def row_accounting(genes: DataFrame, variants: DataFrame, by, n_col: str, gene: str, cog: str) -> DataFrame:

@@ -404,7 +404,26 @@ SELECT clade, n_genes, n_proteins, n_letters, coalesce(CAST(m.n AS VARCHAR) || '
 def _(q):
     cog = F.when(F.col("p_size") <= 5, F.lit("-")).when(F.col("p_size") <= 10, F.lit(None)).when(F.col("p_size") <= 30, F.upper(F.substring("p_name", 1, 1))).otherwise(F.upper(F.substring("p_name", 1, 2)))
     d = q("part").select(F.col("p_type").alias("clade"), F.col("p_name").alias("gene"), cog.alias("cog"), (F.col("p_brand") < "Brand#2").alias("has_protein"))
-    return functional.cog_summary(d, "clade", "gene", "cog", "has_protein")
+    return functional.cog_summary(d, "clade", "gene", "cog", "has_protein").drop("chunk")
+
+
+@query("gene_rollup_chunks", "G35", f"""
+WITH {_VR}, r AS (SELECT clade, variant, row_number() OVER (PARTITION BY clade ORDER BY variant) AS r FROM vr)
+SELECT clade, CAST((r - 1) // 500 AS BIGINT) AS chunk, CAST(count(*) AS INT) AS n, string_agg(variant, ';' ORDER BY variant) AS variant_ids, max(t.n) AS n_variants FROM r JOIN (SELECT clade, count(*) AS n FROM vr GROUP BY 1) t USING (clade) GROUP BY ALL""")
+def _(q):
+    """All variants of a clade as one large gene, in rows of 500."""
+    g = functional.gene_rollup(_variant_rows(q), "clade", "variant", "effect", "bin", "pin", "pout", size=500)
+    return g.select("clade", "chunk", F.size("variants").alias("n"), "variant_ids", "n_variants")
+
+
+@query("cog_summary_chunks", "G39", r"""
+WITH g AS (SELECT DISTINCT p_name AS gene, p_partkey, upper(substr(p_name, 1, 2)) AS c FROM {part}), r AS (SELECT gene || '#' || CAST(p_partkey AS VARCHAR) || ' (2 COG)' AS t FROM g),
+n AS (SELECT t, (row_number() OVER (ORDER BY t) - 1) // 300 AS chunk, count(*) OVER () AS m FROM r)
+SELECT CAST(chunk AS BIGINT) AS chunk, CAST(max(m) AS VARCHAR) || ' proteins (2 COG): ' || string_agg(t, '; ' ORDER BY t) AS multi FROM n GROUP BY chunk""")
+def _(q):
+    """One group with every part as a protein of two letters, in rows of 300."""
+    d = q("part").select(F.lit("all").alias("clade"), F.concat_ws("#", "p_name", "p_partkey").alias("gene"), F.upper(F.substring("p_name", 1, 2)).alias("cog"), F.lit(True).alias("has_protein"))
+    return functional.cog_summary(d, "clade", "gene", "cog", "has_protein", size=300).select("chunk", "multi")
 
 
 @query("row_accounting", "G40", """
