@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions import stats
 from ..functions.dates import assign_bin
 from ..functions.formatting import format_cell
-from ..session import cut_lineage, spread
+from ..session import cut_lineage, saved, spread
 from .ranking import level_index
 from .relations import as_list, null_safe_join
 from .reports import complete, counts, one_value
@@ -413,10 +413,13 @@ def _letters(groups: pd.Series, pairs: pd.Series, alpha: pd.Series) -> pd.Series
 
 
 def cld(pairs: DataFrame, key, order: Sequence[str], p: str = "p_holm", alpha: float = FDR_ALPHA) -> DataFrame:
-    """Compact letters per group from adjusted pairwise p-values: greedy blocks in group order."""
+    """Compact letters per group from adjusted pairwise p-values: greedy blocks in group order (then by name)."""
     key = as_list(key)
-    both = F.array(F.struct(level_index("group1", order).alias("o"), F.col("group1").alias("g")),
-                   F.struct(level_index("group2", order).alias("o"), F.col("group2").alias("g")))
+
+    def place(c: str) -> Column:
+        return F.coalesce(level_index(c, order), F.lit(len(order) + 1)) if order else F.lit(0)
+
+    both = F.array(*[F.struct(place(c).alias("o"), F.col(c).alias("g")) for c in ("group1", "group2")])
     d = pairs.groupBy(*key).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(both)))).alias("gs"),
         F.collect_list(F.struct("group1", "group2", F.col(p).alias("p"))).alias("ps"))
@@ -449,20 +452,34 @@ def sort_summary(df: DataFrame, tested: str = "p", keys: Sequence[str] = ("type"
 
 def attribute_enrichment(df: DataFrame, group: str, attr: str, groups: Sequence[str], order: Sequence[str] | None = None,
                          monte_carlo: bool = True) -> dict[str, DataFrame]:
-    """Per group: category table, omnibus test over eligible categories, Holm pairs with direction, letters."""
+    """Per group: table of categories with letters, omnibus test over eligible categories, and Holm pairs.
+
+    A category is eligible if some but not all of its rows are in the group. Table: counts, percent of the
+    group, share of the category, letters of the pairs ('' where untested). Omnibus: sizes, test, and the
+    range of both percents over eligible categories. Pairs: counts, shares, percents and their
+    differences, p, Holm p, odds ratio and direction. Categories are ordered by ``order``, then by name.
+    """
     d = df.where(F.col(attr).isNotNull())
     cats = counts(d, attr, "n_total")
     c = complete(counts(d.where(F.col(group).isin(*groups)), [group, attr]), {group: groups, attr: None}, {"n": 0})
     c = c.join(cats, attr).withColumn("within_pct", 100.0 * F.try_divide(
         F.col("n"), F.sum("n").over(W.partitionBy(group)))).withColumn("share_pct", 100.0 * F.try_divide("n", "n_total"))
+    c = saved(c, "categories")
     usable = (F.col("n") > 0) & (F.col("n") < F.col("n_total"))
     rank = F.lit(0) if order is None else F.coalesce(level_index(attr, order), F.lit(len(order) + 1))
     entry = F.struct(rank.alias("o"), F.col(attr).alias("g"), F.col("n").alias("k"), F.col("n_total").alias("n"))
+    ranges = [f(F.when(usable, F.col(x))).alias(f"{x}_{n}") for x in ("within_pct", "share_pct") for n, f in (("min", F.min), ("max", F.max))]
     e = c.groupBy(group).agg(F.array_sort(F.collect_list(F.when(usable, entry))).alias("tested"), F.count(F.lit(1)).alias("n_categories"),
-                             F.sum("n").alias("n_in_group"))
+                             F.count_if(usable).alias("n_tested"), F.sum("n").alias("n_in_group"), F.sum("n_total").alias("n_all"), *ranges)
+    # Fixed value: the text of an untested group.
     e = e.withColumn("reason", F.when(F.size("tested") < 2, F.lit("Fewer than 2 eligible categories for testing.")).otherwise(F.lit("")))
     omnibus = chi2_omnibus(e, group, monte_carlo=monte_carlo)
-    pairs = holm_pairs(group_pair_tables(e.where("reason = ''"), [group]), group)
+    pairs = holm_pairs(group_pair_tables(e.where("reason = ''"), [group, "n_in_group"]), group)
     pairs = pairs.withColumn("direction", F.when(F.col("odds_ratio") > 1, F.lit("Cat1>Cat2")).when(F.col("odds_ratio") < 1, F.lit("Cat2>Cat1"))
                              .otherwise(F.lit("Equal")))
-    return {"table": c.withColumn("tested", F.when(usable, F.lit("YES")).otherwise(F.lit(""))), "omnibus": omnibus, "pairs": pairs}
+    for i, (hit, miss) in enumerate((("a", "b"), ("c", "d")), 1):
+        pairs = pairs.withColumns({f"share{i}_pct": 100.0 * F.col(hit) / (F.col(hit) + F.col(miss)), f"within{i}_pct": 100.0 * F.try_divide(hit, "n_in_group")})
+    pairs = saved(pairs.withColumns({"diff_share_pp": F.col("share1_pct") - F.col("share2_pct"), "diff_within_pp": F.col("within1_pct") - F.col("within2_pct")}).drop("n_in_group"), "pairs")
+    letters = cld(pairs, group, order or ()).withColumnsRenamed({"group": attr})
+    table = c.join(letters, [group, attr], "left").withColumns({"letters": F.coalesce("letters", F.lit("")), "tested": F.when(usable, F.lit("YES")).otherwise(F.lit(""))})
+    return {"table": table, "omnibus": omnibus, "pairs": pairs}

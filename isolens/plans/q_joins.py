@@ -246,14 +246,6 @@ def _(q):
     return ranking.top_k(q.cohort.select(F.explode("raw_markers").alias("token")), "token", 5)
 
 
-@query("sort_summary", "O3", "SELECT symbol, type, total, CASE WHEN total >= 10 THEN CAST(0.5 AS DOUBLE) END AS p FROM (SELECT symbol, min(type) AS type, count(*) AS total FROM {hits} GROUP BY symbol)")
-def _(q):
-    from ..operators.enrichment import sort_summary
-
-    d = q("hits").groupBy("symbol").agg(F.min("type").alias("type"), F.count(F.lit(1)).alias("total"))
-    return sort_summary(d.withColumn("p", F.when(F.col("total") >= 10, F.lit(0.5))))
-
-
 @query("truncate", "O4", """
 SELECT run, segment, status FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY status = 'F' DESC, price, run) AS r FROM {isolates}) WHERE r <= 40""")
 def _(q):

@@ -301,13 +301,15 @@ def _(q):
     return rounded(t.select("o_orderkey", "p_bh", "p_holm"), "p_bh", "p_holm", digits=12)
 
 
-@query("cld", "T11", f"""
-WITH RECURSIVE CTES {_EL_GRID}, {_EL_PAIRS}, {_FISHER}, {_HOLM}, nd AS (SELECT DISTINCT symbol, lineage, CAST(list_position(['Clade 1A','Clade 1B','Clade 2','Clade 3','Unassigned'], lineage) AS INT) AS o FROM ok WHERE symbol IN (FROM sg)),
+_LETTERS = f"""{_EL_GRID}, {_EL_PAIRS}, {_FISHER}, {_HOLM}, nd AS (SELECT DISTINCT symbol, lineage, CAST(list_position(['Clade 1A','Clade 1B','Clade 2','Clade 3','Unassigned'], lineage) AS INT) AS o FROM ok WHERE symbol IN (FROM sg)),
 df AS (SELECT symbol, group1 AS x, group2 AS y FROM ho WHERE p_holm <= 0.05 UNION ALL SELECT symbol, group2, group1 FROM ho WHERE p_holm <= 0.05),
 st AS (SELECT symbol, 1 AS step, CAST([] AS STRUCT(g VARCHAR, l INT)[]) AS given FROM sg UNION ALL SELECT s.symbol, step + 1, CASE WHEN NOT free THEN given ELSE list_append(given, struct_pack(g := lineage, l := lvl)) END FROM (
  SELECT s.*, ((step - 1) // 5) + 1 AS lvl, nd.lineage, nd.lineage IS NOT NULL AND len(list_filter(given, lambda e: e.g = nd.lineage)) = 0 AND len(list_filter(given, lambda e: e.l = ((step - 1) // 5) + 1 AND list_contains(coalesce(dd.ys, []), e.g))) = 0 AS free
- FROM st s LEFT JOIN nd ON nd.symbol = s.symbol AND nd.o = ((step - 1) % 5) + 1 LEFT JOIN (SELECT symbol, x, list(y) AS ys FROM df GROUP BY ALL) dd ON dd.symbol = s.symbol AND dd.x = nd.lineage WHERE step <= 25) s)
-SELECT symbol, e.g AS "group", chr(96 + e.l) AS letters FROM (SELECT symbol, unnest(given) AS e FROM st WHERE step = 26)""")
+ FROM st s LEFT JOIN nd ON nd.symbol = s.symbol AND nd.o = ((step - 1) % 5) + 1 LEFT JOIN (SELECT symbol, x, list(y) AS ys FROM df GROUP BY ALL) dd ON dd.symbol = s.symbol AND dd.x = nd.lineage WHERE step <= 25) s),
+le AS (SELECT symbol, e.g AS lineage, chr(96 + e.l) AS letters FROM (SELECT symbol, unnest(given) AS e FROM st WHERE step = 26))"""
+
+
+@query("cld", "T11", f"WITH RECURSIVE CTES {_LETTERS} SELECT symbol, lineage AS \"group\", letters FROM le")
 def _(q):
     return enrichment.cld(_posthoc(q), "symbol", LINEAGES)
 
@@ -326,12 +328,30 @@ def _(q):
     return enrichment.element_summary(grid, om, none, catalog, "symbol", "lineage", LINEAGES).drop("p", "fdr")
 
 
-@query("element_summary_with_letters", "G27")
+_WITH_LETTERS = ", ".join(f"max(CASE lineage WHEN '{x}' THEN cell END) AS \"{x}\"" for x in LINEAGES)
+
+
+@query("element_summary_with_letters", "G27", f"""
+WITH RECURSIVE CTES {_LETTERS}, ce AS (SELECT symbol, lineage, {_FMT} || translate(coalesce(letters, ''), 'abcde', 'ᵃᵇᶜᵈᵉ') AS cell FROM grid LEFT JOIN le USING (symbol, lineage)),
+m AS (SELECT symbol, type, name FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY n DESC, type, name) AS r FROM (SELECT symbol, type, name, count(*) AS n FROM {{hits}} WHERE coverage >= 80 AND identity >= 90 GROUP BY ALL)) WHERE r = 1),
+w AS (SELECT symbol, {_WITH_LETTERS} FROM ce GROUP BY 1)
+SELECT symbol, type, name, k_all AS total, w.* EXCLUDE (symbol), round(greatest(p, 0), 6) AS p, round(greatest(fdr, 0), 6) AS fdr FROM w JOIN m USING (symbol) JOIN ft USING (symbol) LEFT JOIN bh USING (symbol)""")
 def _(q):
     grid, om = _el_grid(q), _omnibus(q)
     catalog = enrichment.modal_catalog(enrichment.presence_filter(q("hits"), "coverage", "identity"), "symbol", ["type", "name"])
     letters = enrichment.cld(enrichment.pairwise_posthoc(om, "symbol"), "symbol", LINEAGES)
-    return enrichment.sort_summary(enrichment.element_summary(grid, om, letters, catalog, "symbol", "lineage", LINEAGES))
+    return rounded(enrichment.sort_summary(enrichment.element_summary(grid, om, letters, catalog, "symbol", "lineage", LINEAGES)), "p", "fdr")
+
+
+@query("sort_summary", "O3", f"""
+WITH {_EL_GRID}, m AS (SELECT symbol, min(type) AS type FROM {{hits}} WHERE coverage >= 80 AND identity >= 90 GROUP BY 1), t AS (SELECT symbol, type, rs.k_all AS total, {_CHI_P} AS p FROM rs JOIN m USING (symbol) LEFT JOIN ch USING (symbol))
+SELECT *, row_number() OVER (ORDER BY p IS NULL, total DESC, type, symbol) - 1 AS position FROM t""")
+def _(q):
+    """Elements with the p-value of their omnibus test, in the order of the report; position is the row's place in it."""
+    types = enrichment.presence_filter(q("hits"), "coverage", "identity").groupBy("symbol").agg(F.min("type").alias("type"))
+    d = enrichment.chi2_omnibus(_eligible(q), "symbol", monte_carlo=False).select("symbol", F.col("k_all").alias("total"), "p")
+    ordered = enrichment.sort_summary(rounded(d.join(types, "symbol"), "p")).coalesce(1)  # one row per element
+    return ordered.withColumn("position", F.monotonically_increasing_id()).select("symbol", "type", "total", "p", "position")
 
 
 # --- attributes ------------------------------------------------------------------------------
@@ -339,26 +359,42 @@ def _(q):
 _ATT = """ct AS (SELECT source, count(*) AS n_total FROM {groups} GROUP BY 1), c AS (SELECT l.lineage, ct.source, count(g.sample) AS n, n_total FROM (SELECT DISTINCT lineage FROM {groups}) l CROSS JOIN ct LEFT JOIN {groups} g ON g.lineage = l.lineage AND g.source = ct.source GROUP BY ALL)"""
 
 
+_ATT_PAIRS = f"""{_ATT}, pc AS (SELECT *, sum(n) OVER (PARTITION BY lineage) AS n_in, 100.0 * n / sum(n) OVER (PARTITION BY lineage) AS within_pct, 100.0 * n / n_total AS share_pct, n > 0 AND n < n_total AS usable FROM c),
+tables AS (SELECT x.lineage AS symbol, x.source AS group1, y.source AS group2, x.n AS a, x.n_total - x.n AS b, y.n AS c, y.n_total - y.n AS d, x.n_in FROM pc x JOIN pc y ON x.lineage = y.lineage AND x.source < y.source WHERE x.usable AND y.usable), {_FISHER}, {_HOLM}"""
+
+
 @query("attribute_enrichment_table", "T12", f"""
-WITH {_ATT} SELECT lineage, source, n, n_total, round(100.0 * n / sum(n) OVER (PARTITION BY lineage), 6) AS within_pct, round(100.0 * n / n_total, 6) AS share_pct, CASE WHEN n > 0 AND n < n_total THEN 'YES' ELSE '' END AS tested FROM c""")
+WITH RECURSIVE CTES {_ATT_PAIRS}, nd AS (SELECT lineage AS symbol, source AS cat, row_number() OVER (PARTITION BY lineage ORDER BY source) AS o, count(*) OVER (PARTITION BY lineage) AS m FROM pc WHERE usable),
+df AS (SELECT symbol, x, list(y) AS ys FROM (SELECT symbol, group1 AS x, group2 AS y FROM ho WHERE p_holm <= 0.05 UNION ALL SELECT symbol, group2, group1 FROM ho WHERE p_holm <= 0.05) GROUP BY ALL),
+st AS (SELECT DISTINCT symbol, 0 AS step, m, CAST([] AS STRUCT(g VARCHAR, l INT)[]) AS given FROM nd UNION ALL
+ SELECT s.symbol, step + 1, s.m, CASE WHEN len(list_filter(given, lambda e: e.g = nd.cat)) = 0 AND len(list_filter(given, lambda e: e.l = step // s.m + 1 AND list_contains(coalesce(df.ys, []), e.g))) = 0
+  THEN list_append(given, struct_pack(g := nd.cat, l := CAST(step // s.m + 1 AS INT))) ELSE given END
+ FROM st s JOIN nd ON nd.symbol = s.symbol AND nd.o = step % s.m + 1 LEFT JOIN df ON df.symbol = s.symbol AND df.x = nd.cat WHERE step < s.m * s.m),
+le AS (SELECT symbol AS lineage, e.g AS source, chr(96 + e.l) AS letters FROM (SELECT symbol, unnest(given) AS e FROM st WHERE step = m * m AND m >= 2))
+SELECT lineage, source, n, n_total, round(within_pct, 6) AS within_pct, round(share_pct, 6) AS share_pct, coalesce(letters, '') AS letters, CASE WHEN usable THEN 'YES' ELSE '' END AS tested FROM pc LEFT JOIN le USING (lineage, source)""")
 def _(q):
     return rounded(enrichment.attribute_enrichment(q("groups"), "lineage", "source", LINEAGES)["table"], "within_pct", "share_pct")
 
 
 @query("attribute_enrichment_pairs", "T12", f"""
-WITH {_ATT}, tables AS (SELECT x.lineage AS symbol, x.source AS group1, y.source AS group2, x.n AS a, x.n_total - x.n AS b, y.n AS c, y.n_total - y.n AS d FROM c x JOIN c y ON x.lineage = y.lineage AND x.source < y.source WHERE x.n > 0 AND x.n < x.n_total AND y.n > 0 AND y.n < y.n_total), {_FISHER}, {_HOLM}
-SELECT symbol AS lineage, group1, group2, a, b, c, d, {NL.format('p')} AS p, {NL.format('p_holm')} AS p_holm, {_OR} AS odds_ratio, CASE WHEN {_OR} > 1 THEN 'Cat1>Cat2' WHEN {_OR} < 1 THEN 'Cat2>Cat1' ELSE 'Equal' END AS direction FROM ho""")
+WITH {_ATT_PAIRS}, s AS (SELECT *, 100.0 * a / (a + b) AS s1, 100.0 * c / (c + d) AS s2, 100.0 * a / n_in AS w1, 100.0 * c / n_in AS w2 FROM ho)
+SELECT symbol AS lineage, group1, group2, a, b, c, d, {NL.format('p')} AS p, {NL.format('p_holm')} AS p_holm, {_OR} AS odds_ratio, CASE WHEN {_OR} > 1 THEN 'Cat1>Cat2' WHEN {_OR} < 1 THEN 'Cat2>Cat1' ELSE 'Equal' END AS direction,
+ round(s1, 6) AS share1_pct, round(s2, 6) AS share2_pct, round(s1 - s2, 6) AS diff_share_pp, round(w1, 6) AS within1_pct, round(w2, 6) AS within2_pct, round(w1 - w2, 6) AS diff_within_pp FROM s""")
 def _(q):
     d = enrichment.attribute_enrichment(q("groups"), "lineage", "source", LINEAGES)["pairs"]
-    return rounded(d.select("lineage", "group1", "group2", "a", "b", "c", "d", neglog("p"), neglog("p_holm"), "odds_ratio", "direction"), "odds_ratio")
+    more = ["share1_pct", "share2_pct", "diff_share_pp", "within1_pct", "within2_pct", "diff_within_pp"]
+    return rounded(d.select("lineage", "group1", "group2", "a", "b", "c", "d", neglog("p"), neglog("p_holm"), "odds_ratio", "direction", *more), "odds_ratio", *more)
 
 
 @query("attribute_enrichment_omnibus", "T12", f"""
-WITH {_ATT}, u AS (SELECT *, sum(n) OVER w / sum(n_total) OVER w AS sh FROM c WHERE n > 0 AND n < n_total WINDOW w AS (PARTITION BY lineage)), ch AS (SELECT lineage, sum((n - n_total * sh) * (n - n_total * sh) / (n_total * sh * (1 - sh))) AS chi2, count(*) - 1 AS dof FROM u GROUP BY 1)
-SELECT lineage, round(chi2, 6) AS chi2, CAST(dof AS INT) AS dof, {_CHI_P} AS p FROM ch""")
+WITH {_ATT_PAIRS}, u AS (SELECT *, sum(n) OVER w / sum(n_total) OVER w AS sh FROM c WHERE n > 0 AND n < n_total WINDOW w AS (PARTITION BY lineage)), ch AS (SELECT lineage, sum((n - n_total * sh) * (n - n_total * sh) / (n_total * sh * (1 - sh))) AS chi2, count(*) - 1 AS dof FROM u GROUP BY 1),
+r AS (SELECT lineage, count(*) AS n_categories, count(*) FILTER (usable) AS n_tested, CAST(sum(n) AS BIGINT) AS n_in_group, CAST(sum(n_total) AS BIGINT) AS n_all, round(min(within_pct) FILTER (usable), 6) AS within_pct_min, round(max(within_pct) FILTER (usable), 6) AS within_pct_max,
+ round(min(share_pct) FILTER (usable), 6) AS share_pct_min, round(max(share_pct) FILTER (usable), 6) AS share_pct_max FROM pc GROUP BY 1)
+SELECT r.*, round(chi2, 6) AS chi2, CAST(dof AS INT) AS dof, {_CHI_P} AS p FROM ch JOIN r USING (lineage)""")
 def _(q):
     d = enrichment.attribute_enrichment(q("groups"), "lineage", "source", LINEAGES, monte_carlo=False)["omnibus"]
-    return rounded(d.select("lineage", "chi2", "dof", "p"), "chi2", "p")
+    ranges = ["within_pct_min", "within_pct_max", "share_pct_min", "share_pct_max"]
+    return rounded(d.select("lineage", "n_categories", "n_tested", "n_in_group", "n_all", *ranges, "chi2", "dof", "p"), *ranges, "chi2", "p")
 
 
 # --- resampling ------------------------------------------------------------------------------

@@ -102,6 +102,20 @@ def test_holm(spark):
     assert got == {("e", "x"): pytest.approx(0.03), ("e", "z"): pytest.approx(0.06), ("e", "y"): pytest.approx(0.06), ("s", "x"): 0.2}
 
 
+def test_attribute_letters_and_ranges(spark):
+    rows = [(c, g) for c, (inside, outside) in {"x": (90, 10), "y": (85, 15), "z": (5, 95), "all": (7, 0), "none": (0, 7)}.items() for g, n in (("in", inside), ("out", outside)) for _ in range(n)]
+    out = enrichment.attribute_enrichment(spark.createDataFrame(rows, "cat string, grp string"), "grp", "cat", ["in", "out"], monte_carlo=False)
+    table = {(r.grp, r.cat): r for r in out["table"].collect()}
+    assert {c: table["in", c].letters for c in ("x", "y", "z", "all", "none")} == {"x": "a", "y": "a", "z": "b", "all": "", "none": ""}
+    assert {c: table["in", c].tested for c in ("x", "all", "none")} == {"x": "YES", "all": "", "none": ""}
+    pair = {(r.grp, r.group1, r.group2): r for r in out["pairs"].collect()}["in", "x", "z"]
+    assert (pair.share1_pct, pair.share2_pct, pair.diff_share_pp) == pytest.approx((90, 5, 85))
+    assert (pair.within1_pct, pair.diff_within_pp) == pytest.approx((100 * 90 / 187, 100 * 85 / 187)) and pair.direction == "Cat1>Cat2"
+    omnibus = {r.grp: r for r in out["omnibus"].collect()}["in"]
+    assert (omnibus.n_categories, omnibus.n_tested, omnibus.n_in_group, omnibus.n_all) == (5, 3, 187, 314)
+    assert (omnibus.share_pct_min, omnibus.share_pct_max, omnibus.within_pct_max) == pytest.approx((5, 90, 100 * 90 / 187))
+
+
 def test_compact_letters(spark):
     pairs = [("e", "A", "B", 0.01), ("e", "A", "C", 0.5), ("e", "B", "C", 0.5), ("f", "A", "B", 0.9)]
     df = spark.createDataFrame(pairs, "k string, group1 string, group2 string, p_holm double")
