@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Empty the folders of saved tables that nothing reads any more: an empty table is written over each."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            df.sparkSession.range(0).write.mode("overwrite").parquet(unquote(files[0].rpartition("/")[0]))
+
+
 def sent_if_small(df: DataFrame, rows: int, name: str) -> DataFrame:
     """``df`` saved, and marked for broadcast if it has at most ``rows`` rows; larger ones are shuffled."""
     df = save(df, name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, save, sent_if_small, text_key, text_of
+from .common import BLANKS, discard, save, sent_if_small, text_key, text_of
 
 BUCKETS = 1 << 20
 CODE_BITS = 47
@@ -68,6 +68,8 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, crowd: int = 64) -
     classes = lines.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     # ids follow the order of the lines
     classes = save(classes.orderBy("first").withColumn("id", F.monotonically_increasing_id()), "classes")
+    fat, lines = lines, save(lines.select(*KEY, "line_no", "s1", "s2"), "thin")
+    discard(fat)
 
     alone = 1 << CODE_BITS  # keys below this have a token that occurs once
     by_key = Window.partitionBy("key")
@@ -88,7 +90,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, crowd: int = 64) -
     crowded = entries(classes, head=True).where(c("n") > crowd).withColumn("head", F.min(F.struct("id", "size", "pos")).over(by_key))
     crowded = crowded.where((c("id") != c("head.id")) & may_match(c("size"), c("pos"), c("head.size"), c("head.pos")))
     first_try = crowded.select(c("id").alias("b"), c("head.id").alias("a")).distinct()
-    found = save(_verify(docs, classes, first_try, t).select("b").distinct(), "matched")
+    found = _verify(docs, classes, first_try, t).select("b").distinct()
 
     # a pair is of use if its later class has no match yet
     open_too = classes.join(found.select(c("b").alias("id"), F.lit(True).alias("done")), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
@@ -102,13 +104,17 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, crowd: int = 64) -
     gone = found.union(_verify(docs, classes, pairs, t).select("b")).distinct()
 
     marks = classes.join(gone.withColumnRenamed("b", "id").withColumn("gone", F.lit(True)), "id", "left")
-    marks = marks.where(c("gone") | (c("copies") > 1)).select("s1", "s2", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    marks = save(marks.where(c("gone") | (c("copies") > 1)).select("s1", "s2", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "marks")
+    discard(classes)
     marked = lines.select(*KEY, "line_no", "s1", "s2", place.alias("place")).join(marks, ["s1", "s2"])
     return marked.where(c("gone") | (c("place") != c("first"))).select(*KEY, "line_no")
 
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
-    """Pairs ``(a, b)`` of class ids whose sets reach the similarity; only their lines are read again."""
+    """Pairs ``(a, b)`` of class ids whose sets reach the similarity; only their lines are read again.
+
+    Lines travel as text, which is half the size of their codes, and are cut into tokens where a pair meets.
+    """
     pairs = save(pairs.select("a", "b"), "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = classes.join(ids, "id").select("id", "first.*").groupBy(*KEY).agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))
@@ -117,10 +123,13 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, t: float) ->
     on = [texts[k].eqNullSafe(wanted[f"w_{k}"]) if k == "doc_id" else texts[k] == wanted[f"w_{k}"] for k in KEY]
     rows = texts.join(wanted, on).select(F.split("text", "\n").alias("all"), "wanted")
     rows = rows.select(F.explode(F.expr("transform(wanted, w -> struct(w.id AS id, all[w.line_no] AS line))")).alias("w"))
-    sets = save(rows.select("w.id", _codes(F.col("w.line")).alias("codes")).dropDuplicates(["id"]), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("codes").alias("a_codes")), "a").join(sets.select(F.col("id").alias("b"), F.col("codes").alias("b_codes")), "b")
-    common = F.size(F.array_intersect("a_codes", "b_codes"))
-    return both.where(common >= (F.size("a_codes") + F.size("b_codes") - common) * t - 1e-9).select("a", "b")
+    found = save(rows.select("w.id", "w.line").dropDuplicates(["id"]), "found")
+    both = pairs.join(found.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a").join(found.select(F.col("id").alias("b"), F.col("line").alias("b_line")), "b")
+    both = both.select("a", "b", *[F.array_remove(F.array_distinct(F.split(f"{x}_line", BLANKS)), "").alias(f"{x}_set") for x in "ab"])
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    linked = save(both.where(common >= (F.size("a_set") + F.size("b_set") - common) * t - 1e-9).select("a", "b"), "linked")
+    discard(pairs, wanted, found)
+    return linked
 
 
 def _stripped(docs: DataFrame, similarity: float) -> DataFrame:
