@@ -22,7 +22,7 @@ from ..session import cut_lineage, saved, spread
 from .enrichment import bh
 from .ranking import hash_order, sample_up_to
 from .relations import exclude, union_all
-from .reports import one_value
+from .reports import hill_numbers, normalise, one_value
 
 
 def _hill(weights: np.ndarray) -> np.ndarray:
@@ -105,13 +105,10 @@ def _permute(seed: int, which: int, stat):
     return run
 
 
-def _observed(per_group: DataFrame, group: str, which: int) -> DataFrame:
-    @F.pandas_udf(T.DoubleType())
-    def run(counts: pd.Series, patterns: pd.Series) -> pd.Series:
-        return pd.Series([_hill(np.asarray(c, dtype=float) @ np.array([list(p) for p in pats], dtype=float))[which]
-                          for c, pats in zip(counts, patterns)], dtype="float64")
-
-    return per_group.select("*", run(_counts("pats"), _patterns("pats")).alias("q"))
+def observed_hill(patterns: DataFrame, group: str) -> DataFrame:
+    """q0, q1 and q2 of each group from its pattern counts."""
+    weights = patterns.select(group, "c", F.posexplode("pattern").alias("category", "on")).groupBy(group, "category").agg(F.sum(F.col("c") * F.col("on")).alias("weight"))
+    return hill_numbers(normalise(weights, group, "weight"), group)
 
 
 def _reaches(drawn: str, observed: str) -> Column:
@@ -121,7 +118,7 @@ def _reaches(drawn: str, observed: str) -> Column:
 
 def permutation_hill(patterns: DataFrame, group: str, q: int = 1, n_perm: int = 2000, seed: int = 101) -> DataFrame:
     """Global test: range of the Hill number over groups against permuted group labels (one row)."""
-    obs = _observed(_packed(patterns, group), group, q).agg(F.max("q") - F.min("q"))
+    obs = observed_hill(patterns, group).agg((F.max(f"q{q}") - F.min(f"q{q}")).cast("double"))
     pool = patterns.groupBy("pattern").agg(F.sum("c").alias("c")).agg(F.array_sort(F.collect_list(F.struct("pattern", "c"))).alias("pats"))
     sizes = patterns.groupBy(group).agg(F.sum("c").alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct(group, "n"))), lambda s: s["n"]))
     run = _permute(seed, q, lambda v: v.max(axis=0) - v.min(axis=0))
@@ -132,7 +129,8 @@ def permutation_hill(patterns: DataFrame, group: str, q: int = 1, n_perm: int =
 
 def permutation_hill_pairs(patterns: DataFrame, group: str, q: int = 1, n_perm: int = 2000, seed: int = 201) -> DataFrame:
     """Every pair of groups: absolute difference against permuted labels, BH over pairs."""
-    packed = _observed(_packed(patterns, group), group, q)
+    observed = observed_hill(patterns, group).select(group, F.col(f"q{q}").cast("double").alias("q"))
+    packed = _packed(patterns, group).join(observed, group)
     groups = packed.agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), "pats", "q"))).alias("gs"))
     pairs = groups.select("gs", F.posexplode("gs").alias("i", "x")).select("x", F.explode(F.slice("gs", F.col("i") + 2, F.size("gs"))).alias("y"))
     pairs = pairs.select(F.col("x.g").alias("group1"), F.col("y.g").alias("group2"), F.abs(F.col("x.q") - F.col("y.q")).alias("obs_diff"),

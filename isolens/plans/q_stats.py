@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..operators import enrichment, pangenome, ranking, relations, reports, resampling, reshape
 from .q_clean import RUNS_SQL
+from .q_reports import _COMP_SQL as COMP_SQL
 from .q_reports import CATS, LINEAGES, marker_indicators
 from .registry import query, rounded
 
@@ -415,6 +416,23 @@ def _(q):
     return resampling.permutation_hill_pairs(resampling.pattern_counts(marker_indicators(q), "segment", CATS), "segment", q=2, n_perm=2000)
 
 
+_HILL = f"hi AS (SELECT segment, count(*) AS q0, exp(-sum(p * ln(p))) AS q1, 1 / sum(p * p) AS q2 FROM comp GROUP BY 1)"
+
+
+@query("permutation_observed", "T14", f"WITH {COMP_SQL}, {_HILL} SELECT 'q1' AS metric, round(max(q1) - min(q1), 6) AS obs_stat FROM hi")
+def _(q):
+    """The observed range that the global permutation test compares with."""
+    patterns = resampling.pattern_counts(marker_indicators(q), "segment", CATS)
+    return rounded(resampling.permutation_hill(patterns, "segment", q=1, n_perm=50).select("metric", "obs_stat"), "obs_stat")
+
+
+@query("permutation_observed_pairs", "T14", f"WITH {COMP_SQL}, {_HILL} SELECT x.segment AS group1, y.segment AS group2, round(abs(x.q2 - y.q2), 6) AS obs_diff FROM hi x JOIN hi y ON x.segment < y.segment")
+def _(q):
+    """The observed differences that the pairwise permutation tests compare with."""
+    patterns = resampling.pattern_counts(marker_indicators(q), "segment", CATS)
+    return rounded(resampling.permutation_hill_pairs(patterns, "segment", q=2, n_perm=50).select("group1", "group2", "obs_diff"), "obs_diff")
+
+
 @query("levels_of_groups", "O1", "SELECT lineage, CAST(list_position(['Unassigned','Clade 3','Clade 2','Clade 1B','Clade 1A'], lineage) AS INT) AS position, count(*) AS n FROM {groups} GROUP BY ALL")
 def _(q):
     order = list(reversed(LINEAGES))
