@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..session import saved
 from .enrichment import feature_counts, group_totals
 from .ranking import exact_rank, hash_bucket, hash_order
 
@@ -16,6 +17,8 @@ from .ranking import exact_rank, hash_bucket, hash_order
 CORE_PCT, SHELL_PCT = 95.0, 15.0
 ACCESSORY_LO, ACCESSORY_HI, MIN_PRESENT = 0.01, 0.99, 10
 DRAWS, SEED = 100, 123
+#: Curves have every k up to here, and so many points to each doubling beyond.
+EVERY_K, PER_OCTAVE = 4096, 256
 
 
 def gene_percents(presence: DataFrame, groups: DataFrame, sample: str, gene: str, group: str) -> DataFrame:
@@ -53,17 +56,25 @@ def accessory_rows(grid: DataFrame) -> DataFrame:
     return grid.where((F.col("k_all") / F.col("n_all")).between(ACCESSORY_LO, ACCESSORY_HI) & (F.col("k_all") >= MIN_PRESENT))
 
 
+def curve_points(n: Column) -> Column:
+    """All k up to ``EVERY_K``; beyond it those with ``PER_OCTAVE`` steps to each doubling, and n itself."""
+    fine = F.sequence(F.lit(1).cast("bigint"), F.least(n, F.lit(EVERY_K).cast("bigint")))
+    octaves = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda j: F.transform(
+        F.sequence(F.lit(PER_OCTAVE + 1).cast("bigint"), F.lit(2 * PER_OCTAVE).cast("bigint")), lambda m: m * F.lit(EVERY_K // PER_OCTAVE) * F.pow(F.lit(2.0), j).cast("bigint")))
+    return F.array_sort(F.array_distinct(F.concat(fine, F.filter(F.flatten(octaves), lambda k: k < n), F.array(n))))
+
+
 def accumulation_curve(presence: DataFrame, groups: DataFrame, sample: str, gene: str, group: str,
                        points: Sequence[int] | None = None) -> DataFrame:
     """Exact expected total and core genes when k samples of a group are drawn.
 
     A gene held by c of n samples is seen with probability 1 - C(n-c,k)/C(n,k) and is core with
-    probability C(c,k)/C(n,k), so the histogram of gene counts is all that is needed.  ``points``
-    limits the curve to chosen k for very large groups.
+    probability C(c,k)/C(n,k), so the histogram of gene counts is all that is needed. The curve has every k up
+    to 4,096 and 256 points to each doubling beyond (each of them exact), or the chosen ``points``.
     """
     hist = gene_percents(presence, groups, sample, gene, group).groupBy(group, "n", "k").agg(F.count(F.lit(1)).alias("genes"))
     hist = hist.withColumnRenamed("k", "c")
-    ks = F.sequence(F.lit(1).cast("bigint"), F.col("n")) if points is None else F.filter(
+    ks = curve_points(F.col("n")) if points is None else F.filter(
         F.array(*[F.lit(p).cast("bigint") for p in points]), lambda k: k <= F.col("n"))
     d = hist.select("*", F.explode(ks).alias("k"))
     all_k = stats.log_choose("n", "k")
@@ -73,31 +84,53 @@ def accumulation_curve(presence: DataFrame, groups: DataFrame, sample: str, gene
                                      F.sum(F.col("genes") * held).alias("core_genes"))
 
 
+def draw_orders(groups: DataFrame, sample: str, group: str, reps: int, seed: int) -> DataFrame:
+    """(sample, group, rep, pos): a seeded random order of each group's samples for each draw."""
+    orders = groups.select(sample, group).distinct().withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    h = hash_order(F.struct(sample, "rep"), seed)
+    return exact_rank(orders.withColumn("__h", h), [group, "rep"], [F.col("__h"), F.col(sample)], hash_bucket(F.col("__h")), "pos").drop("__h")
+
+
 def accumulation_draws(presence: DataFrame, groups: DataFrame, sample: str, gene: str, group: str, reps: int = DRAWS,
-                       seed: int = SEED) -> DataFrame:
+                       seed: int = SEED, block: int = 64) -> DataFrame:
     """Mean and SD of total and core genes over seeded draws, for every k.
 
     A draw is a random order of the group's samples; its first k samples are a uniform subset for
-    every k.  A gene is seen from its first position on, and is core until its first absence, so a
-    draw needs one pass over the presence rows and no gene × sample matrix.
+    every k.  A gene is seen from its first position on, and is core until its first absence. Both mostly lie
+    among the first positions, so these are looked at in blocks of doubling size, and only genes and draws
+    that a block leaves undecided go on to the next; genes of all samples are decided from the start. The presence
+    rows are thus not multiplied by the number of draws.
     """
-    orders = groups.select(sample, group, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    h = hash_order(F.struct(sample, "rep"), seed)
-    orders = exact_rank(orders.withColumn("__h", h), [group, "rep"], [F.col("__h"), F.col(sample)], hash_bucket(F.col("__h")), "pos").drop("__h")
-    placed = presence.select(sample, gene).distinct().join(orders, sample)
-    # run of positions 1, 2, 3, ... without a gap: position equals its rank inside the gene
-    ranked = exact_rank(placed, [group, "rep", gene], [F.col("pos")], F.floor(F.col("pos") / 65536).cast("int"), "r")
-    per_gene = ranked.groupBy(group, "rep", gene).agg(F.min("pos").alias("first_pos"), F.count_if(F.col("pos") == F.col("r")).alias("run"))
+    orders = saved(draw_orders(groups, sample, group, reps, seed), "orders")
+    held = saved(presence.select(sample, gene).distinct().join(groups.select(sample, group).distinct(), sample), "held")
+    n = saved(orders.where("rep = 1").groupBy(group).agg(F.count(F.lit(1)).alias("n")), "n")
+    each = held.groupBy(group, gene).agg(F.count(F.lit(1)).alias("c")).join(n, group)
+    core = each.where("c = n").groupBy(group).agg(F.count(F.lit(1)).alias("g"))
+    all_reps = F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")
+    state = each.where("c < n").select(group, gene, all_reps, F.lit(None).cast("bigint").alias("first_pos"), F.lit(0).cast("bigint").alias("run"), F.lit(True).alias("alive"))
+    state = saved(state, "state")
+    key, longest, lo = [group, gene, "rep"], n.agg(F.max("n")).first()[0] or 0, 0
+    while lo < longest:
+        hi = lo + block * (1 if lo == 0 else lo // block)
+        todo = state.where("alive OR first_pos IS NULL").select(*key)
+        rows = held.join(todo.select(group, gene).distinct(), [group, gene]).join(orders.where((F.col("pos") > lo) & (F.col("pos") <= hi)), [group, sample])
+        rows = rows.join(todo, key)
+        ranked = exact_rank(rows, key, [F.col("pos")], F.floor(F.col("pos") / 65536).cast("int"), "r")
+        found = ranked.groupBy(*key).agg(F.min("pos").alias("at"), F.count_if(F.col("pos") == F.col("r") + lo).alias("more"))
+        more = F.when(F.col("alive"), F.coalesce("more", F.lit(0).cast("bigint"))).otherwise(0)
+        state = saved(state.join(found, key, "left").select(
+            *key, F.coalesce("first_pos", F.col("at").cast("bigint")).alias("first_pos"), (F.col("run") + more).alias("run"), (F.col("alive") & (more == hi - lo)).alias("alive")), "state")
+        lo = hi
     # per draw: +1 total gene from first_pos on; +1 core gene for k = 1..run
-    n = group_totals(groups, group, sample=sample).select(group, "n")
-    steps = per_gene.select(group, "rep", F.inline(F.array(
-        F.struct(F.col("first_pos").cast("bigint").alias("k"), F.lit(1).alias("dt"), F.lit(0).alias("dc")),
+    steps = state.select(group, "rep", F.inline(F.array(
+        F.struct(F.col("first_pos").alias("k"), F.lit(1).alias("dt"), F.lit(0).alias("dc")),
         F.struct(F.lit(1).cast("bigint").alias("k"), F.lit(0).alias("dt"), (F.col("run") > 0).cast("int").alias("dc")),
         F.struct((F.col("run") + 1).alias("k"), F.lit(0).alias("dt"), (-(F.col("run") > 0).cast("int")).alias("dc")))))
     steps = steps.groupBy(group, "rep", "k").agg(F.sum("dt").alias("dt"), F.sum("dc").alias("dc"))
+    always = core.select(group, all_reps, F.lit(1).cast("bigint").alias("k"), F.col("g").alias("dt"), F.col("g").alias("dc"))
+    steps = steps.unionByName(always).groupBy(group, "rep", "k").agg(F.sum("dt").alias("dt"), F.sum("dc").alias("dc"))
     # a draw has at most n distinct steps; fold them into prefix sums on the k grid
-    grid = n.select(group, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("k")).select(
-        group, "k", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    grid = n.select(group, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("k")).select(group, "k", all_reps)
     w = W.partitionBy(group, "rep").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
     runs = grid.join(steps, [group, "rep", "k"], "left").select(
         group, "rep", "k", F.sum(F.coalesce("dt", F.lit(0))).over(w).alias("t"), F.sum(F.coalesce("dc", F.lit(0))).over(w).alias("c"))

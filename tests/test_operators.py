@@ -2,6 +2,7 @@ import itertools
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -133,6 +134,35 @@ def test_jump_table_of_a_deep_chain(spark):
     assert {(r.a, r.b): r.distance for r in got} == {(a, b): abs(at[a] - at[b]) for a, b in pairs}
 
 
+@pytest.mark.parametrize("block", [2, 64])
+def test_accumulation_draws_against_brute_force(spark, block):
+    rng = random.Random(9)
+    share = [1.0, 0.97, 0.9, 0.9, 0.5, 0.2, 0.05, 0.02]
+    rows = [(f"s{i}", f"g{j}") for i in range(43) for j, p in enumerate(share) if rng.random() < p] + [("s1", "g1"), ("other", "g0"), ("s2", "solo")]
+    grp = [(f"s{i}", "A" if i < 30 else "B") for i in range(43)]
+    pres, groups = spark.createDataFrame(rows, "sample string, gene string"), spark.createDataFrame(grp, "sample string, grp string")
+    got = {(r.grp, r.k): r for r in pangenome.accumulation_draws(pres, groups, "sample", "gene", "grp", reps=7, seed=3, block=block).collect()}
+    order = {}
+    for r in pangenome.draw_orders(groups, "sample", "grp", 7, 3).collect():
+        order.setdefault((r.grp, r.rep), {})[r.pos] = r["sample"]
+    own = {}
+    for x, g in rows:
+        own.setdefault(x, set()).add(g)
+    for g, n in (("A", 30), ("B", 13)):
+        for k in (1, 2, 3, 5, 8, n):
+            taken = [[own.get(order[g, rep][p], set()) for p in range(1, k + 1)] for rep in range(1, 8)]
+            total, core = [len(set().union(*t)) for t in taken], [len(set.intersection(*t)) for t in taken]
+            r = got[g, k]
+            assert (r.total_mean, r.total_sd, r.core_mean, r.core_sd) == pytest.approx((np.mean(total), np.std(total), np.mean(core), np.std(core)))
+        assert got[g, n].total_sd == 0 and got[g, n].core_sd == 0
+
+
+def test_curve_points(spark):
+    got = {r.n: r.k for r in spark.createDataFrame([(1,), (5000,), (1_000_000,)], "n long").select("n", pangenome.curve_points(F.col("n")).alias("k")).collect()}
+    assert got[1] == [1] and got[5000][:4096] == list(range(1, 4097)) and got[5000][4096:4098] == [4112, 4128] and got[5000][-1] == 5000
+    assert got[1_000_000] == sorted(set(got[1_000_000])) and got[1_000_000][-1] == 1_000_000 and len(got[1_000_000]) < 4096 + 256 * 9
+
+
 def test_accumulation_draws_agree_with_expectation(spark):
     rows = [(f"s{i}", f"g{j}") for i in range(12) for j in range(20) if (i * 7 + j * 3) % 5 < 3 or j == 0]
     pres = spark.createDataFrame(rows, "sample string, gene string")
