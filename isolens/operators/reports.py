@@ -123,6 +123,16 @@ def explode_tokens(df: DataFrame, array_col: str, out: str = "marker", outer: bo
     return df.withColumn(out, fn(array_col)).drop(array_col)
 
 
+def marker_counts(df: DataFrame, keys, markers: str) -> DataFrame:
+    """Rows per key and marker (``n``) beside the rows of the key (``n_total``), from one pass over the rows."""
+    keys = as_list(keys)
+    d = df.select(*keys, F.explode(F.array_append(markers, F.lit(None).cast("string"))).alias("marker"))
+    c = counts(d, [*keys, "marker"])
+    # the null marker, one of each row, counts the rows of the key; the window runs over the few markers of a key
+    c = c.withColumn("n_total", F.max(F.when(F.col("marker").isNull(), F.col("n"))).over(W.partitionBy(*keys)))
+    return c.where("marker IS NOT NULL")
+
+
 def marker_frequency(df: DataFrame, id_col: str, markers: str, clamp_hi: bool = True,
                      susceptible: str = "Q/FQ-susceptible", kind: str = "QR/FQR marker") -> DataFrame:
     """Isolates per marker with rate and interval, plus one row for isolates without any marker.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import quality, ranking, relations, reports, resampling, tree
@@ -282,12 +283,21 @@ def _(q):
     return resampling.stratified_selection(pool, _plan(pool.count())).select("id", "section", "year", "source", "positive")
 
 
+# The units of room a stratum gives up or takes, one a step, always from the stratum with most room: all units by height.
 @query("quota_selection", "T17", """
-WITH s AS (SELECT region || ':' || status AS stratum, count(*) AS n FROM {isolates} GROUP BY 1) SELECT stratum, CAST(floor(n / 10) AS BIGINT) AS n FROM s""")
+WITH s AS (SELECT region || ':' || status AS stratum, count(*) // 10 AS target, count(*) FILTER (n_markers > 0) AS pos, count(*) FILTER (n_markers = 0) AS neg FROM {o_packed} GROUP BY 1),
+b AS (SELECT *, greatest(0, target - neg) AS low, least(target, pos) AS high, CAST(greatest(greatest(0, target - neg), least(least(target, pos), round_even(target * 0.8, 0))) AS BIGINT) AS own FROM s),
+g AS (SELECT *, CAST(round_even(sum(target) OVER () * 0.8, 0) AS BIGINT) - CAST(sum(own) OVER () AS BIGINT) AS gap FROM b),
+r AS (SELECT *, CASE WHEN gap >= 0 THEN high - own ELSE own - low END AS room FROM g),
+u AS (SELECT stratum, abs(gap) AS steps, row_number() OVER (ORDER BY level DESC, stratum DESC) AS k FROM (SELECT stratum, gap, unnest(generate_series(1, room)) AS level FROM r)),
+m AS (SELECT stratum, count(*) FILTER (k <= steps) AS moved FROM u GROUP BY 1)
+SELECT stratum, target AS n, own + sign(gap) * coalesce(moved, 0) AS n_positive, CAST((SELECT sum(target) FROM r) AS BIGINT) AS n_all FROM r LEFT JOIN m USING (stratum)""")
 def _(q):
     d = q.cohort.select(F.col("run").alias("id"), F.concat_ws(":", "region", "status").alias("stratum"), (F.size("markers") > 0).alias("positive"))
     targets = d.groupBy("stratum").agg(F.floor(F.count(F.lit(1)) / 10).alias("target"))
-    return reports.counts(resampling.quota_selection(d, targets, "stratum", "positive"), "stratum")
+    picked = resampling.quota_selection(d, targets, "stratum", "positive").dropDuplicates(["id"])
+    rows = picked.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.count_if("positive").alias("n_positive"))
+    return rows.withColumn("n_all", F.sum("n").over(Window.partitionBy()))  # one row per stratum
 
 
 # --- quality ---------------------------------------------------------------------------------

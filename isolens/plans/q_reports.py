@@ -49,9 +49,7 @@ SELECT segment, year, marker, x_n AS n, n_total, {CI} FROM (
 def _(q):
     from ..functions.stats import rate_ci
 
-    c = q.cohort.where("year IS NOT NULL")
-    n = reports.counts(c.select("segment", "year", F.explode("markers").alias("marker")), ["segment", "year", "marker"])
-    d = relations.with_denominator(n, q("isolates").where("year IS NOT NULL"), ["segment", "year"]).drop("pct")
+    d = reports.marker_counts(q.cohort.where("year IS NOT NULL"), ["segment", "year"], "markers")
     return rounded(d.select("*", *[v.alias(k) for k, v in rate_ci("n", "n_total").items()]), "pct", "lo", "hi")
 
 
