@@ -123,12 +123,12 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, t: float) ->
     on = [texts[k].eqNullSafe(wanted[f"w_{k}"]) if k == "doc_id" else texts[k] == wanted[f"w_{k}"] for k in KEY]
     rows = texts.join(wanted, on).select(F.split("text", "\n").alias("all"), "wanted")
     rows = rows.select(F.explode(F.expr("transform(wanted, w -> struct(w.id AS id, all[w.line_no] AS line))")).alias("w"))
-    found = save(rows.select("w.id", "w.line").dropDuplicates(["id"]), "found")
+    found = rows.select("w.id", "w.line").dropDuplicates(["id"])  # dealt out by id once, which serves both joins
     both = pairs.join(found.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a").join(found.select(F.col("id").alias("b"), F.col("line").alias("b_line")), "b")
     both = both.select("a", "b", *[F.array_remove(F.array_distinct(F.split(f"{x}_line", BLANKS)), "").alias(f"{x}_set") for x in "ab"])
     common = F.size(F.array_intersect("a_set", "b_set"))
     linked = save(both.where(common >= (F.size("a_set") + F.size("b_set") - common) * t - 1e-9).select("a", "b"), "linked")
-    discard(pairs, wanted, found)
+    discard(pairs, wanted)
     return linked
 
 

@@ -124,56 +124,6 @@ def _slot_counts(bags: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
     return n, pos
 
 
-def training_bags(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFrame:
-    """Bags ``(y, ids, sizes)`` of at most ``max_docs`` labelled documents, chosen by a hash of doc_id.
-
-    Labels are aggregated per doc_id (1 if any says so; nulls dropped). The chosen labels are a
-    table of bounded size, so they are sent to the texts and the texts stay where they are.
-    """
-    chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    chosen = save(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs), "labels")
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")
-
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            ids, sizes = zip(*_instances(f["text"])) if len(f) else ((), ())
-            yield pd.DataFrame({"y": f["y"], "ids": ids, "sizes": sizes})
-
-    return save(rows.mapInPandas(encode, "y int, ids array<int>, sizes array<int>"), "bags")
-
-
-def _gradient(model: Model, bags: DataFrame) -> tuple[np.ndarray, float, int, int]:
-    """Gradient of the log-likelihood over all bags; terms get a column for bags, too, at no weight."""
-
-    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grad, bias, n, pos = np.zeros(SLOTS), 0.0, 0, 0
-        for f in frames:
-            for y, ids, sizes in zip(f["y"], f["ids"], f["sizes"]):
-                z = _sentence_logits(model, ids, sizes)
-                clean = _log_clean(z)
-                p = np.exp(z + clean)
-                total = clean.sum()
-                scale = np.exp(total) / max(-np.expm1(total), 1e-9) if y else -1.0
-                dz = scale * p
-                np.add.at(grad, ids, np.repeat(dz, sizes))
-                bias, n, pos = bias + dz.sum(), n + 1, pos + y
-        yield pd.DataFrame({"grad": [grad.astype(np.float32).tobytes()], "bias": [bias], "n": [n], "pos": [pos]})
-
-    rows = bags.mapInPandas(part, "grad binary, bias double, n long, pos long").collect()
-    grad = np.zeros(SLOTS)
-    for r in rows:
-        grad += np.frombuffer(r.grad, np.float32)
-    return grad, sum(r.bias for r in rows), sum(r.n for r in rows), sum(r.pos for r in rows)
-
-
-def _support(bags: DataFrame, least: int) -> np.ndarray:
-    """Slots that occur in at least ``least`` of the bags."""
-    counts = bags.select(F.explode(F.array_distinct("ids")).alias("slot")).groupBy("slot").count().where(F.col("count") >= least)
-    out = np.zeros(SLOTS, bool)
-    out[[r.slot for r in counts.collect()]] = True
-    return out
-
-
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 20000, min_share: float = 0.003, rounds: int = 30, rate: float = 0.6,
           penalty: float = 2.0) -> Model:
     """Fit the sentence model so that the noisy-or over a document's sentences explains its label.

@@ -318,7 +318,7 @@ def test_toxicity(spark, docs, rows):
     assert toxicity.classify(docs, none).where("score is null").count() == 0
 
 
-def test_empty_tables(spark, docs):
+def test_empty_tables(spark, docs, tmp_path):
     empty, bench = docs.limit(0), spark.createDataFrame([], "item_id long, text string")
     learn = ~queries._held_out(7)
     words = lm.count_words(empty, learn)
@@ -330,6 +330,19 @@ def test_empty_tables(spark, docs):
     assert lm.score(empty, words, lm.train(empty, words, learn)).count() == 0
     assert lm.score(docs, words, lm.train(empty, words, learn)).count() == docs.count()
     assert toxicity.classify(empty, toxicity.train(empty, spark.createDataFrame([], "doc_id long, toxic int"))).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    rules = spark.createDataFrame([("net/", "net", "/", "block")], "rule string, host string, path string, verdict string")
+    assert url_filter.filter_urls(pages, rules).count() == 0
+    warc.write_archive(pages, str(tmp_path / "archive"))
+    assert warc.parse_records(warc.read_archive(spark, str(tmp_path / "archive"))).count() == 0
+    assert shingle_dedup.keep_one(empty).count() == 0
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_empty_documents(spark, docs, name, stage):
+    ship(spark)
+    out = stage(spark, docs.limit(0), SF)
+    assert out.count() == 0 and (name == "mix" or out.columns == docs.columns)
 
 
 def test_components(spark):
@@ -349,7 +362,7 @@ def test_pipeline(spark, con):
     assert 0.5 * docs.count() < len(rest) < docs.count()
     source = {d: s for d, _, s in rest}
     rest = [(d, t) for d, t, _ in brute.lines([(d, t) for d, t, _ in rest])]
-    of = brute.classes([brute.simhash(t, 5) for _, t in rest])
+    of = jaccard_classes(shingle_sets(rest))
     keep = {}
     for (d, t), c in sorted(zip(rest, of)):
         keep.setdefault(c, (d, t))
@@ -362,4 +375,4 @@ def test_pipeline(spark, con):
     want = con.execute(f"WITH {queries._mix_sql('rest')} SELECT doc_id, source, size, source_size, target, taken, shards FROM mixed").fetchall()
     columns = ["doc_id", "source", "size", "source_size", "target", "taken", "shards"]
     assert canonical([tuple(r) for r in got.select(columns).collect()], columns) == canonical(want, columns)
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "lines", "simhash", "decontamination", "mix"]
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "lines", "near_dedup", "decontamination", "mix"]
