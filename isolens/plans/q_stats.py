@@ -336,7 +336,7 @@ _WITH_LETTERS = ", ".join(f"max(CASE lineage WHEN '{x}' THEN cell END) AS \"{x}\
 WITH RECURSIVE CTES {_LETTERS}, ce AS (SELECT symbol, lineage, {_FMT} || translate(coalesce(letters, ''), 'abcde', 'ᵃᵇᶜᵈᵉ') AS cell FROM grid LEFT JOIN le USING (symbol, lineage)),
 m AS (SELECT symbol, type, name FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY n DESC, type, name) AS r FROM (SELECT symbol, type, name, count(*) AS n FROM {{hits}} WHERE coverage >= 80 AND identity >= 90 GROUP BY ALL)) WHERE r = 1),
 w AS (SELECT symbol, {_WITH_LETTERS} FROM ce GROUP BY 1)
-SELECT symbol, type, name, k_all AS total, w.* EXCLUDE (symbol), round(greatest(p, 0), 6) AS p, round(greatest(fdr, 0), 6) AS fdr FROM w JOIN m USING (symbol) JOIN ft USING (symbol) LEFT JOIN bh USING (symbol)""")
+SELECT symbol, type, name, k_all AS total, w.* EXCLUDE (symbol), CASE WHEN p IS NOT NULL THEN round(greatest(p, 0), 6) END AS p, CASE WHEN fdr IS NOT NULL THEN round(greatest(fdr, 0), 6) END AS fdr FROM w JOIN m USING (symbol) JOIN ft USING (symbol) LEFT JOIN bh USING (symbol)""")
 def _(q):
     grid, om = _el_grid(q), _omnibus(q)
     catalog = enrichment.modal_catalog(enrichment.presence_filter(q("hits"), "coverage", "identity"), "symbol", ["type", "name"])
