@@ -96,7 +96,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int =
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that overlap an item; all columns stay."""
+    """``docs`` without the documents that overlap an item; all columns stay, whatever their names.
+
+    A null or empty text overlaps nothing; rows that repeat id and text go or stay together; an empty table of
+    documents or items changes nothing.
+    """
     found = find_overlaps(docs, benchmark).select(F.col("doc_id").alias("d"), F.struct("h1", "h2", "n").alias("k")).distinct()
     full = docs.select(F.struct("*").alias("doc"), "doc_id", text_key(text_of()).alias("tk"))
     return full.join(found, full.doc_id.eqNullSafe(found.d) & (full.tk == found.k), "left_anti").select("doc.*")

@@ -137,7 +137,8 @@ def write_shards(docs: DataFrame, mixed: DataFrame, path: str, seed: str = "mix"
     """Write the copies of ``docs`` that ``mix`` drew, one folder per shard, shuffled inside each file.
 
     Rows meet their decision by id, source and text rank; a shard is spread over many files. The
-    document that fills its source up is written whole, with ``taken`` beside it.
+    document that fills its source up is written whole, with ``taken`` beside it. Documents without words are in no
+    shard; repeated rows are written as often as they occur; an empty table writes no row.
     """
     text = text_of()
     rank = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.encode(text, "UTF-8"))))

@@ -146,7 +146,8 @@ def listed(spans: str) -> Column:
 def sanitise(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``doc_id`` and the text with each span replaced by its kind in brackets; removed terms leave nothing.
 
-    Of overlapping spans, the one that starts first is replaced and the rest of the others with it.
+    Of overlapping spans, the one that starts first is replaced and the rest of the others with it. A null text comes
+    back empty; rows that repeat id and text share their spans; an empty table gives none, and other columns are left out.
     """
     key = ["doc_id", "h1", "h2", "n"]
     texts = docs.select("doc_id", text_of().alias("text")).select("doc_id", text_key(F.col("text")).alias("k"), "text").select("doc_id", "k.*", "text")
