@@ -1,10 +1,28 @@
 """SQL checks on values and sizes that the supplied tables reach only as larger copies."""
 
+import os
+
 import duckdb
+from compare import compare, connect
 from pyspark.sql import functions as F
 
 from isolens.functions import stats
-from isolens.plans import q_stats
+from isolens.plans import q_stats, registry
+from isolens.plans.bindings import TABLES
+
+registry.load()
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+def folder(path, **changed):
+    """The supplied tables under ``path``, some of them replaced by the rows of a query over them (``{t}``)."""
+    for t in TABLES:
+        source = f"{SF}/{t}.parquet"
+        if t in changed:
+            duckdb.sql(f"COPY ({changed[t].replace('{t}', f"read_parquet('{source}')")}) TO '{path}/{t}.parquet' (FORMAT parquet)")
+        else:
+            os.symlink(source, f"{path}/{t}.parquet")
+    return str(path)
 
 
 def test_chi2_tail_of_large_statistics(spark):
@@ -16,3 +34,12 @@ def test_chi2_tail_of_large_statistics(spark):
     d = spark.createDataFrame(rows, "x double, dof int")
     got = d.select("x", F.when(d.x.isNotNull(), F.round(stats.chi2_sf("x", "dof"), 6)).alias("p")).orderBy(F.asc_nulls_last("x")).collect()
     assert [tuple(r) for r in got] == want
+
+
+def test_gene_rollup_of_a_large_gene(spark, tmp_path):
+    sf = folder(tmp_path, lineitem="SELECT t.* REPLACE ((l_linenumber + 10 * i)::INT AS l_linenumber) FROM (FROM {t} ORDER BY ALL LIMIT 120) t, range(600) r(i)",
+                part="SELECT * REPLACE ('one' AS p_name, 'type' AS p_type) FROM {t}")
+    con = connect(sf)
+    assert con.execute("SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderstatus ORDER BY 1").fetchall()[-1][0] > 20_000
+    ok, note, _ = compare(spark, con, sf, "gene_rollup")
+    assert ok, note
