@@ -7,6 +7,7 @@ from compare import compare, connect
 from pyspark.sql import functions as F
 
 from isolens.functions import stats
+from isolens.operators import pangenome
 from isolens.plans import q_stats, registry
 from isolens.plans.bindings import TABLES
 
@@ -19,7 +20,8 @@ def folder(path, **changed):
     for t in TABLES:
         source = f"{SF}/{t}.parquet"
         if t in changed:
-            duckdb.sql(f"COPY ({changed[t].replace('{t}', f"read_parquet('{source}')")}) TO '{path}/{t}.parquet' (FORMAT parquet)")
+            rows = changed[t].replace("{t}", f"read_parquet('{source}')")
+            duckdb.sql(f"COPY ({rows}) TO '{path}/{t}.parquet' (FORMAT parquet)")
         else:
             os.symlink(source, f"{path}/{t}.parquet")
     return str(path)
@@ -43,3 +45,18 @@ def test_gene_rollup_of_a_large_gene(spark, tmp_path):
     assert con.execute("SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderstatus ORDER BY 1").fetchall()[-1][0] > 20_000
     ok, note, _ = compare(spark, con, sf, "gene_rollup")
     assert ok, note
+
+
+def test_accumulation_curve_has_every_k(spark):
+    n = 5000
+    groups = spark.range(n).select(F.col("id").cast("string").alias("sample"), F.lit("a").alias("grp"))
+    presence = groups.where("sample < '3'").select("sample", F.lit("g").alias("gene"))
+    c = presence.count()
+    got = pangenome.accumulation_curve(presence, groups, "sample", "gene", "grp").orderBy("k").collect()
+    assert [r.k for r in got] == list(range(1, n + 1))
+    missed = 1.0
+    for r in got:
+        missed *= max(n - c - r.k + 1, 0) / (n - r.k + 1)
+        assert abs(r.total_genes - (1 - missed)) < 1e-9
+    some = pangenome.accumulation_curve(presence, groups, "sample", "gene", "grp", points=[1, 1024, 1025, n, n + 1]).collect()
+    assert sorted(r.k for r in some) == [1, 1024, 1025, n]
