@@ -17,21 +17,30 @@ from .common import components, save, text_of, text_key
 BITS = 64
 
 
-def fingerprint(text: str, ngram: int) -> int:
-    """Signed 64-bit SimHash over the shingles of a text, repeats included."""
+def shingle_hashes(text: str, ngram: int) -> np.ndarray:
+    """XXH64 hashes of the shingles of a text, repeats included; a shorter text is one shingle, one without words has none."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(min(ngram, len(words))))))
-    h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """Signed 64-bit SimHash of hashes: the bits set in over half of them."""
     ones = np.zeros(BITS, np.int64)
     for part in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[part:part + (1 << 16)].byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h)).view(">i8")[0])
 
 
+def fingerprint(text: str, ngram: int) -> int:
+    """Signed 64-bit SimHash over the shingles of a text, repeats included."""
+    return majority(shingle_hashes(text, ngram))
+
+
 def with_fingerprint(docs: DataFrame, ngram: int, name: str = "fp") -> DataFrame:
     @F.pandas_udf(T.LongType())
     def fp(texts: pd.Series) -> pd.Series:
