@@ -6,8 +6,9 @@ import duckdb
 from compare import compare, connect
 from pyspark.sql import functions as F
 
+from isolens import session
 from isolens.functions import stats
-from isolens.operators import pangenome
+from isolens.operators import enrichment, pangenome, relations
 from isolens.plans import q_stats, registry
 from isolens.plans.bindings import TABLES
 
@@ -60,3 +61,24 @@ def test_accumulation_curve_has_every_k(spark):
         assert abs(r.total_genes - (1 - missed)) < 1e-9
     some = pangenome.accumulation_curve(presence, groups, "sample", "gene", "grp", points=[1, 1024, 1025, n, n + 1]).collect()
     assert sorted(r.k for r in some) == [1, 1024, 1025, n]
+
+
+def test_parts_follow_the_input(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "odd name %20")
+    spark.range(20_000).selectExpr("concat('s', id % 700) AS sample", "id % 37 AS pos").write.parquet(path)
+    calls = spark.read.parquet(path)
+    labels = spark.range(700).selectExpr("concat('s', id) AS sample", "if(id % 2 = 0, 'a', 'b') AS grp")
+    intervals = spark.createDataFrame([("s0", 5, 20)], "sample string, s int, e int")
+
+    def results():
+        fc = enrichment.feature_counts(calls, labels, "sample", "pos", "grp")
+        flagged = relations.flag_in_interval(calls, intervals, "sample", "pos", "s", "e")
+        return fc, sorted(map(tuple, fc.collect())), sorted(map(tuple, flagged.collect()))
+
+    _, *want = results()
+    monkeypatch.setattr(session, "PART_BYTES", 1 << 10)
+    n = -(-session.input_bytes(calls) // 1024)
+    assert n > 16 and session.by_size(calls, "sample").rdd.getNumPartitions() == n
+    fc, *got = results()
+    assert got == want
+    assert f", {n}), REPARTITION_BY_NUM" in fc._jdf.queryExecution().executedPlan().toString()
