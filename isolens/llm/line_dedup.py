@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, discard, save, sent_if_small, text_key, text_of
+from .common import BLANKS, WORD, discard, save, sent_if_small, text_key, text_of
 
 BUCKETS = 1 << 20
 CODE_BITS = 47
 KEY = ["doc_id", "h1", "h2", "n"]
+#: Sets of more tokens are too many for 64 bits of parity; their pairs are bounded by whole prefixes too.
+LONG = 64
 #: Lists of lines per document go to the texts if they are for at most so many documents (some 100 bytes each), else both are shuffled.
 BROADCAST_DOCS = 500_000
 
@@ -25,12 +27,16 @@ def _lines(docs: DataFrame) -> DataFrame:
     return texts.select("doc_id", "k.*", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def _bucket(code: Column) -> Column:
+    return code.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
 def _rarity(docs: DataFrame) -> Column:
-    """Scalar array: for each bucket of codes, its place on a logarithmic scale of frequency (0: one token or none)."""
+    """Scalar array: for each bucket of codes, its place on a logarithmic scale of frequency (0: one token or none), as the high bits of a key."""
     tokens = docs.select(F.explode(F.split(F.lower(text_of()), BLANKS)).alias("token"))
-    counts = tokens.groupBy(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
+    counts = tokens.groupBy(_bucket(F.xxhash64("token")).alias("b")).agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(0, BUCKETS, 1, 8).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
-    scale = F.floor(F.log2(F.coalesce("n", F.lit(1)).cast("double")) * 1000).cast("int").alias("r")
+    scale = F.shiftleft(F.floor(F.log2(F.coalesce("n", F.lit(1)).cast("double")) * 1000).cast("long"), CODE_BITS).alias("r")
     listed = every.agg(F.sort_array(F.collect_list(F.struct("b", scale))).alias("a"))
     return save(listed.select(F.transform("a", lambda x: x["r"]).alias("a")), "rarity").scalar()
 
@@ -38,8 +44,7 @@ def _rarity(docs: DataFrame) -> Column:
 def _ordered(codes: str, rarity: str) -> Column:
     """Codes as sortable keys, rarest first: the scale above the code."""
     low = (1 << CODE_BITS) - 1
-    return F.sort_array(F.transform(codes, lambda c: F.shiftleft(
-        F.get(rarity, F.pmod(c, F.lit(BUCKETS)).cast("int")).cast("long"), CODE_BITS).bitwiseOR(c.bitwiseAND(F.lit(low)))))
+    return F.sort_array(F.transform(codes, lambda c: F.get(rarity, _bucket(c)).bitwiseOR(c.bitwiseAND(F.lit(low)))))
 
 
 def duplicate_lines(docs: DataFrame, similarity: float = 0.8, crowd: int = 64) -> DataFrame:
@@ -52,20 +57,23 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, crowd: int = 64) -
     Lines with the same set form a class first, so copies cost one row. Tokens are ordered by rarity
     over all lines (all occurrences are counted, in 2 ** 20 hash buckets, so the table has a fixed
     size; ties follow the code, so the order is total and the filters are exact). Classes meet on
-    the tokens of their prefixes, pass the length filter and the positional filter, and are then
-    compared by their whole sets. For tokens in more than ``crowd`` prefixes, each class is first
-    compared with the earliest one there, so that the lines of near copies find a match at once; only
-    what is left is compared with all others.
+    the tokens of their prefixes, pass the length filter, the positional filter and the parity filter
+    (each token flips one of 64 bits, so the bits in which two sets differ are no more than the tokens
+    in which they do) and, if they are long, a bound by all tokens of both prefixes, and are then compared by their whole sets, the nearest by parity first. For tokens
+    in more than ``crowd`` prefixes, each class is before that compared with the earliest one there, so that
+    the lines of near copies find a match at once; only what is left is compared with all others.
     """
     t = similarity
-    lines = _lines(docs).select(*KEY, "line_no", _codes(F.col("line")).alias("codes")).where("size(codes) > 0").withColumn("rarity", _rarity(docs))
+    # blank lines go by a pattern: a filter on the codes would compute them twice
+    lines = _lines(docs).where(F.col("line").rlike(WORD)).select(*KEY, "line_no", _codes(F.col("line")).alias("codes")).withColumn("rarity", _rarity(docs))
     lines = lines.select(*KEY, "line_no", _ordered("codes", "rarity").alias("set"))
     size = F.size("set")
+    parity = F.expr("aggregate(set, 0L, (bits, key) -> bits ^ shiftleft(1L, cast(key & 63 AS int)))")
     prefix = F.slice("set", F.lit(1), size - F.ceil(F.lit(t) * size - 1e-9).cast("int") + 1)
-    lines = save(lines.select(*KEY, "line_no", F.xxhash64("set").alias("s1"), F.xxhash64(F.lit(1), "set").alias("s2"), size.alias("size"), prefix.alias("prefix")), "lines")
+    lines = save(lines.select(*KEY, "line_no", F.xxhash64("set").alias("s1"), F.xxhash64(F.lit(1), "set").alias("s2"), size.alias("size"), parity.alias("parity"), prefix.alias("prefix")), "lines")
 
     place = F.struct(F.col("doc_id").isNull().alias("late"), *KEY, "line_no")
-    classes = lines.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    classes = lines.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *[F.first(k).alias(k) for k in ("size", "parity", "prefix")])
     # ids follow the order of the lines
     classes = save(classes.orderBy("first").withColumn("id", F.monotonically_increasing_id()), "classes")
     fat, lines = lines, save(lines.select(*KEY, "line_no", "s1", "s2"), "thin")
@@ -77,39 +85,59 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, crowd: int = 64) -
     half = F.floor(F.col("size") * (1 - t) / (2 * t) + 1e-9)
 
     def entries(of: DataFrame, *more: str, head: bool = False) -> DataFrame:
-        each = of.select("id", "size", *more, F.posexplode("prefix").alias("pos", "key")).where(F.col("key") >= alone)
+        each = of.select("id", "size", "parity", *more, F.posexplode("prefix").alias("pos", "key")).where(F.col("key") >= alone)
         each = each.where(F.col("pos") <= half) if head else each
         return each.withColumn("n", F.count("*").over(by_key)).where("n > 1")
 
-    def may_match(size_a: Column, pos_a: Column, size_b: Column, pos_b: Column) -> Column:
+    def may_match(a: str, b: str) -> Column:
+        size_a, size_b = c(f"{a}size"), c(f"{b}size")
         need = F.ceil((size_a + size_b) * F.lit(t / (1 + t)) - 1e-9)
         long, short = F.greatest(size_a, size_b), F.least(size_a, size_b)
-        return (short >= long * t - 1e-9) & (pos_a <= size_a - need) & (pos_b <= size_b - need)
+        return (short >= long * t - 1e-9) & (c(f"{a}pos") <= size_a - need) & (c(f"{b}pos") <= size_b - need) & (apart(a, b) <= size_a + size_b - 2 * need)
+
+    def apart(a: str, b: str) -> Column:
+        return F.bit_count(c(f"{a}parity").bitwiseXOR(c(f"{b}parity")))
 
     c = F.col
-    crowded = entries(classes, head=True).where(c("n") > crowd).withColumn("head", F.min(F.struct("id", "size", "pos")).over(by_key))
-    crowded = crowded.where((c("id") != c("head.id")) & may_match(c("size"), c("pos"), c("head.size"), c("head.pos")))
+    crowded = entries(classes, head=True).where(c("n") > crowd).withColumn("head", F.min(F.struct("id", "size", "pos", "parity")).over(by_key))
+    crowded = crowded.where((c("id") != c("head.id")) & may_match("", "head."))
     first_try = crowded.select(c("id").alias("b"), c("head.id").alias("a")).distinct()
     found = _verify(docs, classes, first_try, t).select("b").distinct()
 
     # a pair is of use if its later class has no match yet
     open_too = classes.join(found.select(c("b").alias("id"), F.lit(True).alias("done")), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
     each = entries(open_too, "done")
-    left = each.where(c("pos") <= half).select("key", *[c(k).alias(f"x_{k}") for k in ("id", "size", "pos", "done")])
-    right = each.select("key", *[c(k).alias(f"y_{k}") for k in ("id", "size", "pos", "done")])
+    left, right = (of.select("key", *[c(k).alias(f"{x}_{k}") for k in ("id", "size", "parity", "pos", "done")]) for x, of in (("x", each.where(c("pos") <= half)), ("y", each)))
     first_pos = (c("x_pos") < c("y_pos")) | ((c("x_pos") == c("y_pos")) & (c("x_id") < c("y_id")))
     of_use = ~F.when(c("x_id") > c("y_id"), c("x_done")).otherwise(c("y_done"))
-    met = left.join(right, "key").where(first_pos & of_use & (c("x_id") != c("y_id")) & may_match(c("x_size"), c("x_pos"), c("y_size"), c("y_pos")))
-    pairs = met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-    gone = found.union(_verify(docs, classes, pairs, t).select("b")).distinct()
+    met = left.join(right, "key").where(first_pos & of_use & (c("x_id") != c("y_id")) & may_match("x_", "y_"))
+    met = met.select(F.greatest("x_id", "y_id").alias("b"), F.least("x_id", "y_id").alias("a"), apart("x_", "y_").alias("apart"), (F.greatest("x_size", "y_size") > LONG).alias("long"))
+    first_met = save(met.distinct(), "met")
+    met = save(first_met.where(~c("long")).drop("long").union(_bounded(classes, first_met.where("long").drop("long"), t)), "near")
+    discard(first_met)
+    # one match is enough for a line: its nearest candidate is read first, the others where that is none
+    nearest = met.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select("b", "m.a")
+    near = _verify(docs, classes, nearest, t).select("b").distinct()
+    rest = met.join(near, "b", "left_anti").join(nearest, ["b", "a"], "left_anti")
+    gone = found.union(near).union(_verify(docs, classes, rest, t).select("b")).distinct()
 
     marks = classes.join(gone.withColumnRenamed("b", "id").withColumn("gone", F.lit(True)), "id", "left")
     marks = save(marks.where(c("gone") | (c("copies") > 1)).select("s1", "s2", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "marks")
-    discard(classes)
+    discard(classes, met)
     marked = lines.select(*KEY, "line_no", "s1", "s2", place.alias("place")).join(marks, ["s1", "s2"])
     return marked.where(c("gone") | (c("place") != c("first"))).select(*KEY, "line_no")
 
 
+def _bounded(classes: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """The ``pairs`` of long sets that may still match by their whole prefixes: up to the end of the shorter prefix all
+    common tokens are known, and beyond it there are no more than the smaller rest."""
+    wide = classes.where(F.col("size") >= LONG * t - 1e-9).select("id", "size", "prefix", F.element_at("prefix", -1).alias("last"))
+    both = pairs.join(wide.toDF("a", "a_size", "a_prefix", "a_last"), "a").join(wide.toDF("b", "b_size", "b_prefix", "b_last"), "b")
+    rest = [F.expr(f"{x}_size - size(filter({x}_prefix, key -> key <= least(a_last, b_last)))") for x in "ab"]
+    need = F.ceil((F.col("a_size") + F.col("b_size")) * F.lit(t / (1 + t)) - 1e-9)
+    return both.where(F.size(F.array_intersect("a_prefix", "b_prefix")) + F.least(*rest) >= need).select(pairs.columns)
+
+
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     """Pairs ``(a, b)`` of class ids whose sets reach the similarity; only their lines are read again.
 
@@ -125,9 +153,11 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, t: float) ->
     rows = rows.select(F.explode(F.expr("transform(wanted, w -> struct(w.id AS id, all[w.line_no] AS line))")).alias("w"))
     found = rows.select("w.id", "w.line").dropDuplicates(["id"])  # dealt out by id once, which serves both joins
     both = pairs.join(found.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a").join(found.select(F.col("id").alias("b"), F.col("line").alias("b_line")), "b")
-    both = both.select("a", "b", *[F.array_remove(F.array_distinct(F.split(f"{x}_line", BLANKS)), "").alias(f"{x}_set") for x in "ab"])
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    linked = save(both.where(common >= (F.size("a_set") + F.size("b_set") - common) * t - 1e-9).select("a", "b"), "linked")
+    # arrays of one element name what would be computed again at each mention
+    sets = F.array(F.struct(*[F.array_remove(F.array_distinct(F.split(f"{x}_line", BLANKS)), "").alias(x) for x in "ab"]))
+    reached = F.exists(sets, lambda s: F.exists(
+        F.array(F.size(F.array_intersect(s["a"], s["b"]))), lambda common: common >= (F.size(s["a"]) + F.size(s["b"]) - common) * t - 1e-9))
+    linked = save(both.where(reached).select("a", "b"), "linked")
     discard(pairs, wanted)
     return linked
 

@@ -175,6 +175,25 @@ def test_lines(docs, rows):
     assert crowded == counted(tuple(r) for r in line_dedup.duplicate_lines(docs).collect())
 
 
+def test_unlike_lines_are_not_read_again(spark, monkeypatch):
+    """Lines that share a few tokens only, short or long, are no candidates; near copies of them are found."""
+    rng = random.Random(11)
+    lines = [" ".join(rng.sample([f"w{i}" for i in range(size * 10)], size)) for size in (12, 40, 300) for _ in range(60)]
+    near = [" ".join([*line.split(" ")[1:], "other"]) for line in lines[::7]]
+    rows = list(enumerate(lines + near))
+    verified, plain = [], line_dedup._verify
+
+    def verify(docs, classes, pairs, t):
+        verified.append(pairs.count())
+        return plain(docs, classes, pairs, t)
+
+    monkeypatch.setattr(line_dedup, "_verify", verify)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = counted((r.doc_id, r.text, r.n_removed) for r in line_dedup.line_report(docs).collect())
+    assert got == counted(brute.lines(rows))
+    assert len(near) <= sum(verified) <= 2 * len(near)
+
+
 def test_overlaps(spark, docs, rows):
     rng = random.Random(3)
     text = rows[12][1].replace("\n", " ").split(" ")
