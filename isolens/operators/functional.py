@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import by_size, saved
 from .ranking import exact_rank
 from .relations import as_list, null_safe_join
 
@@ -68,22 +69,36 @@ def letter_array(cog: str, none: str = "NO_PROTEIN") -> Column:
 def functional_summary(df: DataFrame, keys, cog: str, variant: str, gene: str, letter: str = "letter") -> DataFrame:
     """Counts per key and category letter, next to the counts per key.
 
-    Rows are not exploded by letter before they are shuffled.  Variants and genes are each reduced
-    to one row with the set of their letters, and only these counts are expanded.
+    Rows are not exploded by letter before they are shuffled, and letters travel as one short text. Genes, of which
+    there are few, combine before the shuffle; variants, which hardly repeat, are dealt out by the size of the rows, so
+    no map side fills up with them. Only the counts of equal sets of letters are expanded.
     """
     keys = as_list(keys)
-    d = df.select(*keys, letter_array(cog).alias("__l"), F.col(variant).cast("string").alias("__v"), F.col(gene).cast("string").alias("__g"))
-    assigned = d.select(*keys, F.explode("__l").alias(letter)).groupBy(*keys, letter).agg(F.count(F.lit(1)).alias("letter_n"))
+    letters = letter_array(cog)
+    none = F.coalesce(F.col(cog), F.lit("")).isin(*NO_PROTEIN)
+    d = saved(df.select(*keys, F.when(~none, F.array_join(F.array_sort(letters), "")).alias("__s"), F.col(variant).cast("string").alias("__v"), F.col(gene).cast("string").alias("__g")), "rows")
+
+    def spelled(s: Column) -> Column:
+        return F.when(s.isNull(), F.array(F.lit("NO_PROTEIN"))).otherwise(F.split(s, ""))
+
+    assigned = d.groupBy(*keys, "__s").agg(F.count(F.lit(1)).alias("__n")).select(*keys, F.explode(spelled(F.col("__s"))).alias(letter), "__n").groupBy(*keys, letter).agg(F.sum("__n").alias("letter_n"))
     assigned = assigned.withColumn("assignments", F.sum("letter_n").over(W.partitionBy(*keys)))
-    ids = d.select(*keys, "__l", F.inline(F.array(F.struct(F.lit("v").alias("__t"), F.col("__v").alias("__id")), F.struct(F.lit("g").alias("__t"), F.col("__g").alias("__id")))))
-    one = ids.groupBy(*keys, "__t", "__id").agg(F.array_distinct(F.flatten(F.collect_set("__l"))).alias("__l"))
-    # the null letter stands for the key as a whole
-    per = one.select(*keys, "__t", "__id", F.explode(F.array_append("__l", F.lit(None).cast("string"))).alias(letter)).groupBy(*keys, letter).agg(
-        F.count_if((F.col("__t") == "v") & F.col("__id").isNotNull()).alias("variants_in_letter"),
-        F.count_if((F.col("__t") == "g") & F.col("__id").isNotNull()).alias("genes_in_letter"))
+
+    def per_letter(ids: DataFrame, id_col: str, out: str) -> DataFrame:
+        # sets of letters of one id, and how many ids have them; a null text is the none entry
+        sets = ids.groupBy(*keys, id_col).agg(F.array_sort(F.collect_set(F.coalesce("__s", F.lit("")))).alias("__x"))
+        n = sets.groupBy(*keys, "__x").agg(F.count(id_col).alias("__n"))
+        every = F.array_distinct(F.flatten(F.transform("__x", lambda s: spelled(F.nullif(s, F.lit(""))))))
+        # the null letter stands for the key as a whole
+        return n.select(*keys, F.explode(F.array_append(every, F.lit(None).cast("string"))).alias(letter), "__n").groupBy(*keys, letter).agg(F.sum("__n").alias(out))
+
+    genes = per_letter(d.select(*keys, "__g", "__s").distinct(), "__g", "genes_in_letter")
+    variants = per_letter(by_size(d.select(*keys, "__v", "__s"), *keys, "__v"), "__v", "variants_in_letter")
+    per = null_safe_join(variants, genes, [*keys, letter], "inner")
     w, whole = W.partitionBy(*keys), F.col(letter).isNull()
     per = per.withColumn("unique_variants", F.max(F.when(whole, F.col("variants_in_letter"))).over(w)).withColumn(
         "unique_genes", F.max(F.when(whole, F.col("genes_in_letter"))).over(w)).where(~whole)
+    per = per.select(*keys, letter, "variants_in_letter", "genes_in_letter", "unique_variants", "unique_genes")
     return null_safe_join(per, assigned, [*keys, letter], "inner")
 
 

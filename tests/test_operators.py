@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isolens.functions import classify, dates, markers, sequence, text
-from isolens.operators import enrichment, pangenome, quality, ranking, relations, reports, reshape, resampling, tree
+from isolens.operators import enrichment, functional, pangenome, quality, ranking, relations, reports, reshape, resampling, tree
 
 
 def test_null_keys_match(spark):
@@ -249,3 +249,19 @@ def test_compare_counts_null_keys(spark):
     b = spark.createDataFrame([(None, 5), ("y", 2)], "k string, n long")
     got = {r.k: (r.old_n, r.new_n, r.difference) for r in relations.compare_counts(a, b, "k").collect()}
     assert got == {None: (3, 5, 2), "x": (1, 0, -1), "y": (0, 2, 2)}
+
+
+def test_functional_summary_deals_variants_out_before_they_are_grouped(spark):
+    rows = [("a", "v1", "g1", "BA"), ("a", "v1", "g1", "CA"), ("a", "v2", "g1", None), ("a", None, "g2", "A"), ("a", "v3", None, "-"), (None, "v1", "g1", "é𐐀B"), (None, "v1", "g1", "é𐐀B")]
+    df = spark.createDataFrame(rows, "k string, v string, g string, cog string")
+    letters = [(k, v, g, c) for k, v, g, cog in rows for c in (["NO_PROTEIN"] if cog in (None, "-") else sorted(set(cog)))]
+    want = set()
+    for k, c in {(k, c) for k, _, _, c in letters}:
+        key, one = [r for r in letters if r[0] == k], [r for r in letters if r[0] == k and r[3] == c]
+        want.add((k, c, *[len({r[i] for r in x} - {None}) for x in (one, key) for i in (1, 2)], len(one), len(key)))
+    found = functional.functional_summary(df, "k", "cog", "v", "g")
+    got = [tuple(r) for r in found.select("k", "letter", "variants_in_letter", "genes_in_letter", "unique_variants", "unique_genes", "letter_n", "assignments").collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # no letters as arrays in a shuffle of ids, and variants meet by the size of the input
+    assert "__l" not in plan and "REPARTITION_BY_NUM" in plan
