@@ -157,6 +157,27 @@ def test_accumulation_draws_against_brute_force(spark, block):
         assert got[g, n].total_sd == 0 and got[g, n].core_sd == 0
 
 
+def test_accumulation_draws_order_first_positions_only(spark, monkeypatch):
+    groups = spark.range(3000).select(F.concat(F.lit("s"), "id").alias("sample"), F.when(F.col("id") < 2900, "A").when(F.col("id") < 2990, "B").alias("grp"))
+    members = groups.where("grp IS NOT NULL").withColumn("n", F.when(F.col("grp") == "A", 2900).otherwise(90).cast("long"))
+    whole = {tuple(r) for r in pangenome.draw_orders(members, "sample", "grp", 4, 9).select("sample", "grp", "rep", "pos").collect()}
+    for upto in (1, 2, 64, 100, 5000):
+        got = pangenome.first_positions(members, "sample", "grp", 4, 9, upto).select("sample", "grp", "rep", "pos").collect()
+        assert len(got) == len(set(got)) and {tuple(r) for r in got} == {r for r in whole if r[3] <= upto}
+    ordered, plain = [], pangenome.saved
+
+    def saved(df, name):
+        out = plain(df, name)
+        ordered.extend([out.count()] if name == "orders" else [])
+        return out
+
+    monkeypatch.setattr(pangenome, "saved", saved)
+    presence = groups.select("sample", F.explode(F.array(F.lit("all"), F.concat(F.lit("g"), F.abs(F.xxhash64("sample")) % 3))).alias("gene"))
+    got = {(r.grp, r.k): r for r in pangenome.accumulation_draws(presence, groups, "sample", "gene", "grp", reps=4).collect()}
+    assert len(got) == 3000 and got["A", 2900].total_mean == 4 and got["A", 2900].core_mean == 1 and got["A", 1].total_mean == 2
+    assert 0 < sum(ordered) < 4 * 500  # of 4 draws of 2,990 labelled samples
+
+
 def test_curve_points(spark):
     got = {r.n: r.k for r in spark.createDataFrame([(1,), (5000,), (1_000_000,)], "n long").select("n", pangenome.curve_points(F.col("n")).alias("k")).collect()}
     assert got[1] == [1] and got[5000][:4096] == list(range(1, 4097)) and got[5000][4096:4098] == [4112, 4128] and got[5000][-1] == 5000
