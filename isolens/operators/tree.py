@@ -151,7 +151,9 @@ def distance_summary(paths: DataFrame, tips: DataFrame, group: str) -> DataFrame
 #: Steps of the fixed-point scale of real lengths, as powers of two of the largest distance from the root.
 SCALE_BITS = 50
 #: A group's pairs are listed once no more than this many are left; and how many are drawn for pivots before that.
-LISTED, DRAWN = 200_000, 512
+LISTED, DRAWN = 200_000, 1 << 16
+#: Pivots lie so many standard deviations of a drawn rank from the median's.
+AWAY = 4.0
 BINS = 4096
 
 
@@ -239,7 +241,7 @@ def distance_order_summary(index: TreeIndex, tips: DataFrame, group: str) -> Dat
 
     No pair is formed beyond ``LISTED`` of a group. Pairs up to a value are counted by sorted merges in each
     cell; pivots from pairs drawn near the median narrow the range that holds it by a factor of some
-    twenty a round, and ties end on a range of one value. Whole lengths are exact; real ones are rounded to 2^-50
+    sixty a round, and ties end on a range of one value. Whole lengths are exact; real ones are rounded to 2^-50
     of the tree's height. Groups of one tip, and pairs in different trees, have no distance.
     """
     cells, rows, scale = _pair_cells(index, tips, group)
@@ -265,9 +267,10 @@ def distance_order_summary(index: TreeIndex, tips: DataFrame, group: str) -> Dat
         n = (F.floor(want) + (F.pmod(F.xxhash64("lid", F.lit(turn)), F.lit(1 << 20)) < (want - F.floor(want)) * (1 << 20)).cast("long")).cast("int")
         drawn = here.where(n > 0).select(group, "cell", "v", "lo", "hi", "lid", F.explode(F.sequence(F.lit(1), n)).alias("i"))
         drawn = drawn.select(group, "cell", F.col("v").alias("left"), (F.col("lo") + F.pmod(F.xxhash64("lid", "i", F.lit(turn)), F.col("hi") - F.col("lo"))).alias("idx"))
+        drawn = saved(drawn, "drawn")  # a small table, so the right values stay where they are
         found = drawn.join(rights, ["cell", "idx"]).groupBy(group).agg(F.array_sort(F.collect_list(F.col("left") + F.col("v"))).alias("d"))
         share = (F.col("k1") - F.col("c_lo")) / (F.col("c_hi") - F.col("c_lo"))
-        at = F.transform(F.array(*[F.lit(x) for x in (-30, -10, -3, 3, 10, 30)]), lambda x: F.greatest(F.lit(1), F.least(F.size("d"), (share * F.size("d")).cast("int") + x)))
+        at = F.transform(F.array(F.lit(-AWAY), F.lit(AWAY)), lambda x: F.greatest(F.lit(1), F.least(F.size("d"), (share * F.size("d") + x * F.sqrt(F.size("d") * share * (1 - share))).cast("int"))))
         near = F.flatten(F.transform(at, lambda i: F.array(F.element_at("d", i) - 1, F.element_at("d", i))))
         middle = F.expr("vlo + (vhi - vlo) DIV 2")
         pivots = opened.join(found, group, "left").select(group, "vlo", "vhi", "k1", "c_lo", F.explode(F.array_distinct(F.array_append(F.coalesce(near, F.array().cast("array<bigint>")), middle))).alias("p"))
