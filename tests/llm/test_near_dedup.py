@@ -35,3 +35,21 @@ def test_stage_checks_simhash_candidates(spark, monkeypatch, size):
     if bin((want[0] ^ want[1]) & (1 << 64) - 1).count("1") <= 4:
         assert set(want) <= set(linked) and checked[0] > 0
     assert linked or size == 60
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "near_dedup"])
+def test_stages_send_small_batches_to_python(spark, stage):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(i, f"text number {i} of these") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    before = spark.conf.get(setting)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(corpus_pipeline, "table", lambda *_: labels)
+        try:
+            for given, most in ((10_000, 1000), (0, 1000), (300, 300)):
+                spark.conf.set(setting, given)
+                assert dict(corpus_pipeline.STAGES)[stage](spark, docs, "").count() <= 40
+                rows = spark.range(2500).coalesce(1).mapInPandas(lambda frames: (f.head(1).assign(id=len(f)) for f in frames), "id long")
+                assert max(r.id for r in rows.collect()) == most
+        finally:
+            spark.conf.set(setting, before)
