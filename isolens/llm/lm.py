@@ -50,7 +50,7 @@ class _Codes(dict):
     """Code of a heavy word; other words give -1 - class."""
 
     def __missing__(self, word: bytes) -> int:
-        return -1 - word_class(word)
+        return -1 - zlib.crc32(word.rstrip(b".,;:!?")[-2:]) % CLASSES  # as word_class, without the call
 
 
 def count_words(docs: DataFrame, train: Column) -> DataFrame:
@@ -137,18 +137,30 @@ def _features(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack(rows).astype(np.int32)
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Rows of logits as probabilities. One shift serves all rows, unless some row lies too far below the others for floats."""
+    ones = np.ones(x.shape[1], np.float32)
+    y = x - x.max() if len(x) else x
+    np.exp(y, out=y)
+    sums = y @ ones
+    if len(x) and not sums.min() >= 1e-8:
+        y = np.exp(x - x.max(axis=1, keepdims=True))
+        sums = y @ ones
+    y *= (1 / sums)[:, None]
+    return y
+
+
 def _forward(m: Model, feats: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class probabilities, seat probabilities in the true class, and the hashed rows of the seat weights."""
-    a = m.class_bias + m.by_class.take(feats[0], axis=0)
+    a = m.by_class.take(feats[0], axis=0)
+    a += m.class_bias
     for f in feats[1:]:
         a += m.by_class.take(f, axis=0)
     rows = (feats[:2] * 7 + cls * 461) & (FEATURES - 1)
-    b = m.seat_bias.take(cls, axis=0) + m.by_seat.take(rows[0], axis=0) + m.by_seat.take(rows[1], axis=0)
-    for x in (a, b):
-        x -= x.max(axis=1, keepdims=True)
-        np.exp(x, out=x)
-        x /= x.sum(axis=1, keepdims=True)
-    return a, b, rows
+    b = m.seat_bias.take(cls, axis=0)
+    for r in rows:
+        b += m.by_seat.take(r, axis=0)
+    return _softmax(a), _softmax(b), rows
 
 
 def _batches(texts: Iterator[str], table: _Codes) -> Iterator[tuple[list[list[bytes]], np.ndarray, np.ndarray]]:
@@ -169,14 +181,27 @@ def _coded(group: list[list[bytes]], size: int, table: _Codes) -> tuple[list[lis
     return group, codes, np.cumsum([0] + [len(d) for d in group[:-1]])
 
 
-def _step(weights: np.ndarray, square: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
-    """Adaptive step on the rows that occur: their gradients are summed by one sort."""
+def _step(weights: np.ndarray, square: np.ndarray, used: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
+    """Adaptive step on the rows that occur, whose uses are counted: their gradients are put in order by one sort and summed.
+
+    Most rows occur once to three times, and those are summed side by side; only the others are worth a reduction each.
+    """
     order = np.argsort(rows.astype(np.uint16), kind="stable")  # short keys are sorted by radix
     sorted_rows = rows[order]
     first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
-    sums, ids = np.add.reduceat(grad.take(order, axis=0), first, axis=0), sorted_rows[first]
-    square[ids] += (sums * sums).mean(axis=1)
-    weights[ids] -= rate / np.sqrt(square[ids] + 1)[:, None] * sums  # a row seen once moves little
+    times, ids = np.diff(first, append=len(rows)), sorted_rows[first]
+    sums = grad.take(order[first], axis=0)
+    two, three, many = np.flatnonzero(times == 2), np.flatnonzero(times == 3), times > 3
+    sums[two] += grad.take(order[first[two] + 1], axis=0)
+    sums[three] += grad.take(order[first[three] + 1], axis=0) + grad.take(order[first[three] + 2], axis=0)
+    if many.any():
+        n = times[many]
+        sums[many] = np.add.reduceat(grad.take(order[np.repeat(many, times)], axis=0), np.cumsum(n) - n, axis=0)
+    total = square.take(ids) + np.einsum("ij,ij->i", sums, sums) / np.float32(sums.shape[1])
+    square[ids] = total
+    used[ids] += times
+    sums *= (np.float32(rate) / np.sqrt(total + np.float32(1)))[:, None]  # a row seen once moves little
+    weights[ids] = weights.take(ids, axis=0) - sums
 
 
 def _train_round(model: Model, texts: DataFrame, rate: float) -> Model:
@@ -200,11 +225,9 @@ def _train_round(model: Model, texts: DataFrame, rate: float) -> Model:
                     pa[i, c] -= 1
                     pb[i, s] -= 1
                     for r in ft:
-                        _step(m.by_class, squares[0], r, pa, rate)
-                        used[0][:] += np.bincount(r, minlength=FEATURES)
+                        _step(m.by_class, squares[0], used[0], r, pa, rate)
                     for r in rows:
-                        _step(m.by_seat, squares[1], r, pb, rate)
-                        used[1][:] += np.bincount(r, minlength=FEATURES)
+                        _step(m.by_seat, squares[1], used[1], r, pb, rate)
         for k, (w, old, n) in enumerate(((m.by_class, model.by_class, used[0]), (m.by_seat, model.by_seat, used[1]))):
             for j in range(16):
                 rows = slice(j * chunk, (j + 1) * chunk)
@@ -272,7 +295,7 @@ def score(docs: DataFrame, words: DataFrame, model: Model) -> DataFrame:
                 logs[shared] += count_log[shared] - model.other_log[cls[shared]]
                 words_here, at_rare = list(chain.from_iterable(group)), np.flatnonzero(~heavy)
                 ends = np.searchsorted(at_rare, np.append(starts, len(codes)))
-                rare_words = [words_here[i] for i in at_rare]
+                rare_words = [words_here[i] for i in at_rare.tolist()]
                 rare = [Counter(rare_words[a:b]) for a, b in zip(ends, ends[1:])]
                 out = pd.DataFrame({
                     "doc_id": f["doc_id"].iloc[done:done + len(group)].array, "n_tokens": [len(d) for d in group],
