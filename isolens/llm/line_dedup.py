@@ -42,9 +42,10 @@ def _rarity(docs: DataFrame) -> Column:
 
 
 def _ordered(codes: str, rarity: str) -> Column:
-    """Codes as sortable keys, rarest first: the scale above the code."""
+    """Codes as sortable keys, rarest first: the scale above the code. No key is null, so they are sorted as plain numbers."""
     low = (1 << CODE_BITS) - 1
-    return F.sort_array(F.transform(codes, lambda c: F.get(rarity, _bucket(c)).bitwiseOR(c.bitwiseAND(F.lit(low)))))
+    scale = lambda c: F.coalesce(F.get(rarity, _bucket(c)), F.lit(0).cast("long"))
+    return F.sort_array(F.transform(codes, lambda c: scale(c).bitwiseOR(c.bitwiseAND(F.lit(low)))))
 
 
 def duplicate_lines(docs: DataFrame, similarity: float = 0.8, crowd: int = 64) -> DataFrame:
