@@ -90,8 +90,9 @@ def training_bags(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFram
     return save(rows.mapInPandas(encode, "y int, ids array<int>, sizes array<int>"), "bags")
 
 
-def _gradient(model: Model, bags: DataFrame) -> tuple[np.ndarray, float, int, int]:
-    """Gradient of the log-likelihood over all bags; terms get a column for bags, too, at no weight."""
+def _gradient(model: Model, bags: DataFrame, slots: np.ndarray) -> tuple[np.ndarray, float, int, int]:
+    """Gradient of the log-likelihood over all bags, for the terms of ``slots`` (zero elsewhere). Each part sends only
+    these to the driver, so what meets there is as many values as terms with a weight, times the parts."""
 
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grad, bias, n, pos = np.zeros(SLOTS), 0.0, 0, 0
@@ -105,12 +106,12 @@ def _gradient(model: Model, bags: DataFrame) -> tuple[np.ndarray, float, int, in
                 dz = scale * p
                 np.add.at(grad, ids, np.repeat(dz, sizes))
                 bias, n, pos = bias + dz.sum(), n + 1, pos + y
-        yield pd.DataFrame({"grad": [grad.astype(np.float32).tobytes()], "bias": [bias], "n": [n], "pos": [pos]})
+        yield pd.DataFrame({"grad": [grad[slots].astype(np.float32).tobytes()], "bias": [bias], "n": [n], "pos": [pos]})
 
     rows = bags.mapInPandas(part, "grad binary, bias double, n long, pos long").collect()
     grad = np.zeros(SLOTS)
     for r in rows:
-        grad += np.frombuffer(r.grad, np.float32)
+        grad[slots] += np.frombuffer(r.grad, np.float32)
     return grad, sum(r.bias for r in rows), sum(r.n for r in rows), sum(r.pos for r in rows)
 
 
@@ -147,13 +148,14 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 20000, min_share:
         return model
     seen, toxic = _slot_counts(bags, max(5, int(min_share * n)))
     support = seen > 0
+    slots = np.flatnonzero(support)
     given = (toxic + share) / (seen + 1)
     unlikely = toxic - seen * share >= 6 * np.sqrt(seen * share * (1 - share))
     weights = np.where(support & unlikely & (given >= 0.8), np.log(given / (1 - given)) - model.bias, 0)
     model = Model(weights.astype(np.float32), model.bias)
     first, second, bias_first, bias_second = np.zeros(SLOTS), np.zeros(SLOTS), 0.0, 0.0
     for k in range(1, rounds + 1):
-        grad, bias, _, _ = _gradient(model, bags)
+        grad, bias, _, _ = _gradient(model, bags, slots)
         grad, bias = np.where(support, (grad - penalty) / n, 0), bias / n
         first, second = 0.8 * first + 0.2 * grad, 0.99 * second + 0.01 * grad * grad
         bias_first, bias_second = 0.8 * bias_first + 0.2 * bias, 0.99 * bias_second + 0.01 * bias * bias

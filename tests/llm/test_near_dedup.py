@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from isolens.llm import shingle_dedup, simhash
+from isolens.llm import shingle_dedup, simhash, toxicity
 
 
 @pytest.mark.parametrize("size", [60, 600])
@@ -53,3 +53,42 @@ def test_stages_send_small_batches_to_python(spark, stage):
                 assert max(r.id for r in rows.collect()) == most
         finally:
             spark.conf.set(setting, before)
+
+
+def test_texts_that_meet_by_chance_are_not_joined(spark, monkeypatch):
+    rng = random.Random(5)
+    phrases = [" ".join(f"p{k}{i}" for i in range(5)) for k in range(8)]
+    rows = []
+    for i in range(80):  # two phrases that other texts have, too, among some 90 words of its own
+        words = [f"w{rng.randrange(10**9)}" for _ in range(90)]
+        rows.append((i, " ".join([*words[:30], phrases[i % 8], *words[30:60], phrases[(i + i // 8) % 8], *words[60:]])))
+    rows += [(100 + i, text.rsplit(" ", 2 + i % 3)[0] + " end") for i, text in rows[:9]]  # these are near copies
+    saved, save = {"shared": spark.range(99)}, shingle_dedup.save
+
+    def record(df, name):
+        out = save(df, name)
+        saved[name] = out
+        return out
+
+    monkeypatch.setattr(shingle_dedup, "save", record)
+    monkeypatch.setattr(shingle_dedup, "_simhash_pairs", lambda classes, most: spark.createDataFrame([], "a long, b long"))
+    kept = shingle_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(80))
+    assert 0 < saved["shared"].select("id").distinct().count() <= 18
+
+
+def test_training_sends_weights_in_use_only(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, f"{rng.choice(['bad', 'worse']) if i % 2 else 'fine'} word {rng.randrange(50)}.") for i in range(400)], "doc_id long, text string")
+    sent, collect = [], type(docs).collect
+
+    def record(df):
+        rows = collect(df)
+        sent.extend(len(r.grad) for r in rows if "grad" in r)
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", record)
+    model = toxicity.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS toxic"))
+    assert 0 < max(sent) < 10_000
+    found = {r.doc_id: r.predicted for r in collect(toxicity.classify(docs, model))}
+    assert found == {i: i % 2 for i in range(400)}
