@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,30 +24,68 @@ def in_chunks(df: DataFrame, keys, item: str, size: int = CHUNK, out: str = "chu
 
     Items with the same first letters are ordered together, so a key with very many rows is numbered by several tasks.
     """
-    bucket = F.coalesce(F.substring(F.col(item).cast("string"), 1, 6), F.lit(""))
-    ranked = exact_rank(df, keys, [F.col(item)], bucket, "__r")
+    ranked = exact_rank(df, keys, [F.col(item)], _beginning(item, 6), "__r")
     return ranked.withColumn(out, F.expr(f"(__r - 1) DIV {size}").cast("long")).drop("__r")
 
 
+def _ranges(rows: DataFrame, whole: DataFrame, keys, item: str, size: int) -> tuple[DataFrame, int]:
+    """Where the items with one beginning ``__b`` stand within their key: rows ``(*keys, __b, __g, __off, __n)``, and the letters of a beginning.
+
+    As many letters are taken beyond those that all items share as leave no more than ``size`` items of a key together,
+    up to eight; this sets the cost only.
+    """
+    text = F.col(item).cast("string")
+    shared = len(os.path.commonprefix([x or "" for x in rows.agg(F.min(text), F.max(text)).first()]))
+    for letters in range(shared + 2, shared + 9):
+        sizes = rows.groupBy(*keys, _beginning(item, letters).alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+        sizes = saved(null_safe_join(sizes, whole.select(*keys, "__g"), keys, "inner"), "sizes")
+        if (sizes.agg(F.max("__n")).first()[0] or 0) <= size:
+            break
+    before = W.partitionBy("__g").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    return saved(sizes.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))), "ranges"), letters
+
+
+def _beginning(item: str, letters: int) -> Column:
+    return F.coalesce(F.substring(F.col(item).cast("string"), 1, letters), F.lit(""))
+
+
 def gene_rollup(df: DataFrame, keys, variant: str, effect: str, bin_col: str, pct_in: str, pct_out: str, size: int = CHUNK) -> DataFrame:
     """Genes with variant count, packed ids, effects and bins, percent ranges.
 
     ``variants`` keeps the aligned records and ``variant_ids`` their ids as text, up to ``size`` in a row: a
     gene with more has further rows, numbered by ``chunk``, that repeat what holds for the whole gene.
+
+    The input is evaluated once and saved. Ids with the same first letters mostly fall into one chunk, which their number
+    and place tells without an order; only where a chunk ends among them are they ranked. What is shuffled after that
+    are a number for the gene and what the caller takes, ids or records.
     """
     keys = as_list(keys)
 
     def packed(c):
         return F.array_join(F.array_sort(F.collect_set(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)))), ";")
 
-    record = F.struct(F.col(variant).alias("id"), F.col(effect).alias("effect"), F.col(bin_col).alias("bin"))
-    whole = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_variants"), packed(effect).alias("effects"), packed(bin_col).alias("bins"),
-        F.min(pct_in).alias("min_in"), F.max(pct_in).alias("max_in"), F.min(pct_out).alias("min_out"), F.max(pct_out).alias("max_out"))
-    parts = in_chunks(df.select(*keys, variant, effect, bin_col), keys, variant, size)
-    parts = parts.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(record)).alias("variants"))
-    g = null_safe_join(parts, whole, keys, "inner")
-    return g.withColumn("variant_ids", F.array_join(F.transform("variants", lambda v: v["id"]), ";"))
+    rows = saved(df.select(*keys, variant, effect, bin_col, pct_in, pct_out), "rows", large=True)
+    # sets are gathered from the distinct values
+    per = rows.groupBy(*keys, effect, bin_col).agg(
+        F.count(F.lit(1)).alias("__n"), F.min(pct_in).alias("__min_in"), F.max(pct_in).alias("__max_in"), F.min(pct_out).alias("__min_out"),
+        F.max(pct_out).alias("__max_out"))
+    whole = per.groupBy(*keys).agg(
+        F.sum("__n").alias("n_variants"), packed(effect).alias("effects"), packed(bin_col).alias("bins"), F.min("__min_in").alias("min_in"),
+        F.max("__max_in").alias("max_in"), F.min("__min_out").alias("min_out"), F.max("__max_out").alias("max_out"))
+    whole = saved(whole.withColumn("__g", F.monotonically_increasing_id()), "genes")
+    ranges, letters = _ranges(rows, whole, keys, variant, size)
+    placed = null_safe_join(rows.withColumn("__b", _beginning(variant, letters)), ranges, [*keys, "__b"], "inner")
+    one_chunk = F.expr(f"__off DIV {size} = (__off + __n - 1) DIV {size}")
+    record = [variant, effect, bin_col]
+    known = placed.where(one_chunk).select("__g", F.expr(f"__off DIV {size}").alias("chunk"), *record)
+    rank = F.row_number().over(W.partitionBy("__g", "__b").orderBy(variant))
+    cut = placed.where(~one_chunk).withColumn("__r", rank + F.col("__off") - 1).select("__g", F.expr(f"__r DIV {size}").alias("chunk"), *record)
+    parts = by_size(known.unionByName(cut), "__g", "chunk").groupBy("__g", "chunk").agg(
+        F.array_sort(F.collect_list(F.struct(F.col(variant).alias("id"), F.col(effect).alias("effect"), F.col(bin_col).alias("bin")))).alias("variants"),
+        F.array_join(F.array_sort(F.collect_list(variant)), ";").alias("variant_ids"))
+    # a row for each chunk, so the packed rows stay where they are
+    heads = whole.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_variants - 1) DIV {size}"))))
+    return parts.join(heads, ["__g", "chunk"]).select(*keys, "chunk", "variants", *[c for c in whole.columns if c not in keys and not c.startswith("__")], "variant_ids")
 
 
 def collapse_cog(df: DataFrame, gene: str, cog: str, order: Column) -> DataFrame:

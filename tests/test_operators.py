@@ -286,3 +286,31 @@ def test_functional_summary_deals_variants_out_before_they_are_grouped(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     # no letters as arrays in a shuffle of ids, and variants meet by the size of the input
     assert "__l" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_gene_rollup_reads_its_input_once(spark, tmp_path):
+    rng = random.Random(8)
+    ids = [f"chr1:{rng.randrange(10**4)}" for _ in range(900)] + ["chr1:77"] * 60 + ["x", None]
+    rows = [("c" if i % 3 else None, f"g{i % 2}", v, rng.choice(["a", "b", "", None]), rng.choice(["hi", "lo", None]), float(i % 9), i / 7) for i, v in enumerate(ids)]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(rows, "clade string, gene string, id string, effect string, bin string, pin double, pout double").write.parquet(path)
+    g = functional.gene_rollup(spark.read.parquet(path), ["clade", "gene"], "id", "effect", "bin", "pin", "pout", size=50)
+    assert not [f for f in g.inputFiles() if str(tmp_path) in f]  # the joins behind it are not run again for each branch
+    got = {(r.clade, r.gene, r.chunk): r for r in g.collect()}
+    genes = {}
+    for r in rows:
+        genes.setdefault(r[:2], []).append(r)
+    want = {(*k, c) for k, v in genes.items() for c in range(-(-len(v) // 50))}
+    assert set(got) == want
+    for (clade, gene), v in genes.items():
+        order = sorted((r[2] for r in v), key=lambda x: (x is not None, x or ""))
+        parts = [got[clade, gene, c] for c in range(-(-len(v) // 50))]
+        for c, p in enumerate(parts):
+            assert p.variant_ids == ";".join(x for x in order[50 * c:50 * (c + 1)] if x is not None)
+            assert len(p.variants) == len(order[50 * c:50 * (c + 1)]) and p.n_variants == len(v)
+            assert (p.min_in, p.max_in, p.min_out, p.max_out) == (min(r[5] for r in v), max(r[5] for r in v), min(r[6] for r in v), max(r[6] for r in v))
+            assert p.effects == ";".join(sorted({r[3] for r in v if r[3]})) and p.bins == ";".join(sorted({r[4] for r in v if r[4]}))
+        records = sorted(((x.id, x.effect, x.bin) for p in parts for x in p.variants), key=repr)
+        assert records == sorted((r[2:5] for r in v), key=repr)
+    empty = functional.gene_rollup(spark.read.parquet(path).where("false"), ["clade", "gene"], "id", "effect", "bin", "pin", "pout")
+    assert empty.columns == g.columns and empty.collect() == []
