@@ -92,3 +92,33 @@ def test_training_sends_weights_in_use_only(spark, monkeypatch):
     assert 0 < max(sent) < 10_000
     found = {r.doc_id: r.predicted for r in collect(toxicity.classify(docs, model))}
     assert found == {i: i % 2 for i in range(400)}
+
+
+def test_simhash_chains_limit_no_pair(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for i in range(12):  # pairs on both sides of 0.8 and on it; what is like what is not told by the chain
+        n = rng.choice([8, 22, 44, 104, 250])
+        base = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        for k in range(5):
+            cut = rng.choice([0, 1, (n - 4) // 5, (n - 4) // 5 + 1])
+            words = [*base[cut:], *(f"e{rng.randrange(10**6)}" for _ in range(rng.choice([0, 0, 1])))]
+            rows.append((10 * i + k, " ".join(words)))
+    sets = [set(shingle_dedup.shingles(t, 5)) for _, t in rows]
+    of = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if of[i] != of[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                of = [of[j] if x == of[i] else x for x in of]
+    seen = []
+
+    def one_chain(fps, most):
+        out = fps.selectExpr("fp AS node", f"{-2**63} AS component")
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "link", one_chain)
+    kept = shingle_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [min(d for (d, _), x in zip(rows, of) if x == k) for k in set(of)]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+    assert seen[0] > len(want) > 12
